@@ -10,6 +10,7 @@ import pyarrow as pa
 #: Bytes hashed at once; texts are cut between words, so this bounds memory and changes no result.
 BLOCK = 4 << 20
 U = np.uint64
+MASK = (1 << 64) - 1
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 #: Word bytes: all but white space; letters, digits and non-ASCII.
@@ -82,7 +83,7 @@ def runs(hashes: np.ndarray, k: int) -> np.ndarray:
     m = len(hashes) - k + 1
     if m <= 0:
         return np.zeros(0, U)
-    total = np.full(m, U(k) * U(0xD6E8FEB86659FD93))
+    total = np.full(m, U(k * 0xD6E8FEB86659FD93 & MASK))
     for i, p in enumerate(_powers(k + 1, 0xC2B2AE3D27D4EB4F)[1:]):
         total += hashes[i : i + m] * p
     return mix(total)

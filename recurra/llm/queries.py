@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from recurra.llm import exact_dedup, mixing, sharding
+from recurra.llm import decontamination, exact_dedup, mixing, near_dedup, sharding
 from recurra.llm.storage import table
 
 
@@ -21,7 +21,16 @@ def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_classes(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_mixing, op2_sharding, op4_exact_dedup)}
+def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_classes(table(spark, sf_dir, "documents"))
+
+
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return decontamination.contamination(docs, table(spark, sf_dir, "benchmark"))
+
+
+QUERIES = {f.__name__: f for f in (op1_mixing, op2_sharding, op4_exact_dedup, op7_near_dedup, op8_decontamination)}
 
 ORACLES = {
     "op1_mixing": r"""
@@ -47,4 +56,30 @@ ORACLES = {
         WITH d AS (SELECT doc_id, length(coalesce(text, '')) AS n, regexp_replace(coalesce(text, ''), '[ \t\n\x0b\f\r]+', '', 'g') AS content FROM documents),
         c AS (SELECT doc_id, content, first_value(doc_id) OVER (PARTITION BY content ORDER BY n DESC, doc_id) AS keep_id, count(*) OVER (PARTITION BY content) AS group_size FROM d)
         SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(content) AS text_sha256 FROM c""",
+    "op7_near_dedup": r"""
+        WITH RECURSIVE w AS (
+            SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^ \t\n\x0b\f\r]+') AS w FROM documents),
+        s AS (
+            SELECT DISTINCT doc_id, unnest(list_transform(range(1, greatest(len(w) - 3, 2)), lambda i: array_to_string(w[i : i + 4], ' '))) AS s FROM w WHERE len(w) > 0),
+        n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+        p AS (
+            SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS shared FROM s AS a JOIN s AS b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY ALL),
+        l AS (
+            SELECT x, y FROM p JOIN n AS nx ON x = nx.doc_id JOIN n AS ny ON y = ny.doc_id WHERE 100 * shared >= 75 * (nx.n + ny.n - shared)),
+        r AS (SELECT x AS doc_id, x AS o FROM l UNION SELECT r.doc_id, l.y FROM r JOIN l ON r.o = l.x),
+        c AS (SELECT doc_id, min(o) AS c FROM r GROUP BY doc_id)
+        SELECT w.doc_id, coalesce(n.n, 0) AS n_shingles, coalesce(c.c, w.doc_id) AS component_id, coalesce(c.c, w.doc_id) = w.doc_id AS kept
+        FROM w LEFT JOIN n USING (doc_id) LEFT JOIN c USING (doc_id)""",
+    "op8_decontamination": r"""
+        WITH t AS (SELECT 'd' AS k, doc_id AS id, text FROM documents UNION ALL SELECT 'b', item_id, text FROM benchmark),
+        w AS (SELECT k, id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9a-z\x{80}-\x{10FFFF}]+') AS w FROM t),
+        i AS (SELECT id AS item, least(13, len(w)) AS n, unnest(list_transform(range(1, greatest(len(w) - 11, 2)), lambda i: array_to_string(w[i : i + 12], ' '))) AS s FROM w WHERE k = 'b' AND len(w) > 0),
+        z AS (SELECT DISTINCT n FROM i),
+        d AS (SELECT id, n, unnest(range(1, len(w) - n + 2)) AS p0, w FROM w, z WHERE k = 'd' AND len(w) >= n),
+        h AS (SELECT d.id, d.p0, d.n, i.item FROM d JOIN (SELECT DISTINCT item, n, s FROM i) AS i ON i.n = d.n AND i.s = array_to_string(d.w[d.p0 : d.p0 + d.n - 1], ' ')),
+        c AS (SELECT id, count(DISTINCT p) AS n_hit FROM (SELECT id, unnest(range(p0, p0 + n)) AS p FROM h) GROUP BY id),
+        m AS (SELECT id, count(DISTINCT item) AS n_items, string_agg(DISTINCT CAST(item AS VARCHAR), ',' ORDER BY CAST(item AS VARCHAR)) AS items FROM h GROUP BY id)
+        SELECT w.id AS doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256,
+               coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+        FROM w LEFT JOIN c USING (id) LEFT JOIN m USING (id) WHERE k = 'd'""",
 }
