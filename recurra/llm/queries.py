@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from recurra.llm import decontamination, exact_dedup, mixing, near_dedup, sharding
+from recurra.llm import decontamination, exact_dedup, mixing, near_dedup, sharding, url_filter
 from recurra.llm.storage import table
 
 
@@ -30,7 +30,11 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.contamination(docs, table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op1_mixing, op2_sharding, op4_exact_dedup, op7_near_dedup, op8_decontamination)}
+def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.filter_urls(table(spark, sf_dir, "pages"))
+
+
+QUERIES = {f.__name__: f for f in (op1_mixing, op2_sharding, op4_exact_dedup, op7_near_dedup, op8_decontamination, op10_url_filter)}
 
 ORACLES = {
     "op1_mixing": r"""
@@ -82,4 +86,16 @@ ORACLES = {
         SELECT w.id AS doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256,
                coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
         FROM w LEFT JOIN c USING (id) LEFT JOIN m USING (id) WHERE k = 'd'""",
+    "op10_url_filter": r"""
+        WITH r AS (SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
+        u AS (
+            SELECT page_id, translate(regexp_extract(coalesce(rest, ''), '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+                   regexp_extract(coalesce(rest, ''), '^[^/?#]*([^?#]*)', 1) AS path
+            FROM r),
+        k AS (SELECT * FROM (VALUES ('org', '/', 'allow'), ('example.org', '/es/', 'block'), ('example.org', '/en/1', 'block'), ('com', '/fr/', 'allow'), ('com', '/de/', 'block')) AS k(h, p, v)),
+        f AS (
+            SELECT page_id, arg_max(h || p, length(h || p)) AS rule, arg_max(v, length(h || p)) AS v
+            FROM u JOIN k ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p) GROUP BY page_id)
+        SELECT u.page_id, host, path, rule, coalesce(v, CASE WHEN regexp_matches(host, '(^|\.)(ads-track|free-bets|cheap-pills|spam-farm|casino-win|adult-x)\.example\.(com|net|org)$') THEN 'block' ELSE 'allow' END) AS verdict
+        FROM u LEFT JOIN f USING (page_id)""",
 }
