@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from recurra.llm import decontamination, exact_dedup, mixing, near_dedup, sharding, url_filter
+from recurra.llm import decontamination, exact_dedup, language_id, mixing, near_dedup, sharding, url_filter
 from recurra.llm.storage import table
 
 
@@ -21,6 +21,10 @@ def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_classes(table(spark, sf_dir, "documents"))
 
 
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.identify(table(spark, sf_dir, "documents"))
+
+
 def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_classes(table(spark, sf_dir, "documents"))
 
@@ -34,7 +38,7 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.filter_urls(table(spark, sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op1_mixing, op2_sharding, op4_exact_dedup, op7_near_dedup, op8_decontamination, op10_url_filter)}
+QUERIES = {f.__name__: f for f in (op1_mixing, op2_sharding, op4_exact_dedup, op6_language_id, op7_near_dedup, op8_decontamination, op10_url_filter)}
 
 ORACLES = {
     "op1_mixing": r"""
