@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from recurra.llm import decontamination, exact_dedup, language_id, mixing, near_dedup, sharding, url_filter
+from recurra.llm import decontamination, exact_dedup, language_id, mixing, near_dedup, sharding, toxicity, url_filter
 from recurra.llm.storage import table
 
 
@@ -17,6 +17,11 @@ def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(table(spark, sf_dir, "documents"), 40)
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return toxicity.score(docs, table(spark, sf_dir, "labels")).select("doc_id", "held_out", "score", "predicted")
+
+
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_classes(table(spark, sf_dir, "documents"))
 
@@ -38,7 +43,7 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.filter_urls(table(spark, sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op1_mixing, op2_sharding, op4_exact_dedup, op6_language_id, op7_near_dedup, op8_decontamination, op10_url_filter)}
+QUERIES = {f.__name__: f for f in (op1_mixing, op2_sharding, op3_toxicity, op4_exact_dedup, op6_language_id, op7_near_dedup, op8_decontamination, op10_url_filter)}
 
 ORACLES = {
     "op1_mixing": r"""
