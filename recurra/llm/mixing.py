@@ -89,3 +89,10 @@ def mix(docs: DataFrame, quality: DataFrame | None = None) -> DataFrame:
     split = placed.where("upto > rest and before < rest").withColumn("extra", (upto - F.col("size") / 2.0 <= F.col("rest")).cast("long"))
     out = whole.unionByName(split).withColumn("copies", F.col("epochs") + F.col("extra"))
     return out.select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
+
+
+def mixed(docs: DataFrame, quality: DataFrame | None = None) -> DataFrame:
+    """docs' columns: each row as many times as the mix takes it. Rows of a doc_id share what is decided for its first row."""
+    copies = mix(docs, quality).where("copies > 0 and doc_id is not null").groupBy("doc_id").agg(F.max("copies").alias("__copies")).withColumnRenamed("doc_id", "__id")
+    placed = docs.join(copies, docs["doc_id"] == F.col("__id")).drop("__id")
+    return placed.withColumn("__time", F.explode(F.sequence(F.lit(1), F.col("__copies").cast("int")))).drop("__time", "__copies")

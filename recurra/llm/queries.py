@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from recurra.llm import decontamination, exact_dedup, language_id, mixing, near_dedup, sharding, toxicity, url_filter
+from recurra.llm import decontamination, exact_dedup, language_id, mixing, near_dedup, sharding, token_counts, toxicity, url_filter
 from recurra.llm.storage import table
 
 
@@ -26,6 +26,10 @@ def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_classes(table(spark, sf_dir, "documents"))
 
 
+def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.token_counts(table(spark, sf_dir, "documents"))
+
+
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(table(spark, sf_dir, "documents"))
 
@@ -43,7 +47,7 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.filter_urls(table(spark, sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op1_mixing, op2_sharding, op3_toxicity, op4_exact_dedup, op6_language_id, op7_near_dedup, op8_decontamination, op10_url_filter)}
+QUERIES = {f.__name__: f for f in (op1_mixing, op2_sharding, op3_toxicity, op4_exact_dedup, op5_token_counts, op6_language_id, op7_near_dedup, op8_decontamination, op10_url_filter)}
 
 ORACLES = {
     "op1_mixing": r"""
