@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from recurra.llm import decontamination, exact_dedup, language_id, mixing, near_dedup, sharding, token_counts, toxicity, url_filter
+from recurra.llm import decontamination, exact_dedup, language_id, line_dedup, mixing, near_dedup, sharding, token_counts, toxicity, url_filter
 from recurra.llm.storage import table
 
 
@@ -43,11 +43,15 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.contamination(docs, table(spark, sf_dir, "benchmark"))
 
 
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.line_report(table(spark, sf_dir, "documents"))
+
+
 def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.filter_urls(table(spark, sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op1_mixing, op2_sharding, op3_toxicity, op4_exact_dedup, op5_token_counts, op6_language_id, op7_near_dedup, op8_decontamination, op10_url_filter)}
+QUERIES = {f.__name__: f for f in (op1_mixing, op2_sharding, op3_toxicity, op4_exact_dedup, op5_token_counts, op6_language_id, op7_near_dedup, op8_decontamination, op9_line_dedup, op10_url_filter)}
 
 ORACLES = {
     "op1_mixing": r"""
