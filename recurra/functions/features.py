@@ -186,6 +186,6 @@ def stage_signature(channels: DataFrame, lookback: int, key: str = "episode", st
     stage = F.coalesce(*[F.when(F.col("step") < bounds[i + 1], F.lit(i)) for i in range(stages)])
     zero = lambda x: F.coalesce(x, F.lit(0.0))
     return channels.withColumn("stage", stage).groupBy(key, "stage").agg(
-        (zero(F.sum("return")) / 0.08).alias("net"), (zero(F.stddev_pop("return")) / 0.02).alias("volatility"),
+        (zero(F.max_by("close_path", "step") - F.min_by("close_path", "step")) / 0.08).alias("net"), (zero(F.stddev_samp("return")) / 0.02).alias("volatility"),
         zero(F.avg("volume_robust_z")).alias("volume_z"), (zero(F.sum("relative_return")) / 0.08).alias("relative"),
     )

@@ -170,7 +170,7 @@ def dense_channels(spark: SparkSession, sf_dir: str, bars: DataFrame, bench: Dat
 @query(
     "chn_16_stage_signature",
     EPISODES_SQL + """, s AS (SELECT *, (SELECT count(*) FROM range(1, 12) AS r(i) WHERE step >= (63 * i) // 12) AS stage, (lv - vm) / nullif(1.4826 * vmad, 0) AS vz FROM d)
-    SELECT episode, stage, round(coalesce(sum(ret), 0) / 0.08, 6) + 0.0::DOUBLE AS net, round(coalesce(stddev_pop(ret), 0) / 0.02, 6) AS volatility, round(coalesce(avg(vz), 0), 6) + 0.0::DOUBLE AS volume_z, round(coalesce(sum(rret), 0) / 0.08, 6) + 0.0::DOUBLE AS relative
+    SELECT episode, stage, round((arg_max(path, step) - arg_min(path, step)) / 0.08, 6) + 0.0::DOUBLE AS net, round(coalesce(stddev_samp(ret), 0) / 0.02, 6) AS volatility, round(coalesce(avg(vz), 0), 6) + 0.0::DOUBLE AS volume_z, round(coalesce(sum(rret), 0) / 0.08, 6) + 0.0::DOUBLE AS relative
     FROM s GROUP BY ALL""",
     bars="brand_week", bench="market_week",
 )
