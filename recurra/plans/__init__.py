@@ -1,6 +1,6 @@
 """Named queries over the driver's tables."""
 
-from recurra.plans import base, features, outcomes, search  # noqa: F401
+from recurra.plans import base, features, forecasts, outcomes, search  # noqa: F401
 from recurra.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
