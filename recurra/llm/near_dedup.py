@@ -6,10 +6,10 @@
 2. Rows with equal sets are one class member, so copies are never expanded.
 3. Signatures are cut into BANDS bands of ROWS values. Two sets with similarity 0.75 share no band with probability
    (1 - 0.75**4)**32 < 6e-6. Each member of a bucket is verified against the bucket's first member only.
-4. Verified pairs are joined to components. In a bucket whose members then lie in several components, the members
-   outside the pivot's are verified against all members of other components, except where the distances to the
-   pivot, known exactly by now, rule a link out: Jaccard distance is a metric, so |d(x,p) - d(y,p)| > 0.25 means no link.
-   Pairs far below the threshold by signature (more than 5 standard deviations) are left out too.
+4. Verified pairs are joined to components. Where a pivot's buckets hold members of several components, the members
+   outside the pivot's component are held against all members of its buckets, in blocks of MANY_X by MANY_Y texts: an
+   inverted index of a block's shingles gives the exact similarity of each pair, and only links between different
+   components leave the task, one for each two of them.
 Links are confirmed on the full shingle sets of the texts, never on signatures.
 
 Defined results: a null, empty or white-space text has no shingles, is linked with nothing and is kept; a text of one
@@ -33,8 +33,8 @@ from recurra.llm.storage import written
 WORDS, BINS, ROWS, BANDS = 5, 128, 4, 32
 #: A link: OVER * |intersection| >= UNDER * |union|.
 OVER, UNDER = 100, 75
-#: Equal bins of the signature below which a pair can't be at 0.75: 128 * 0.75 less 5 standard deviations (4.9).
-LEAST_EQUAL = 71
+#: Texts in a block of members outside their pivot's component, and of members they are held against.
+MANY_X, MANY_Y = 256, 1024
 #: Elements of several texts sketched together.
 TOGETHER = 1 << 16
 
@@ -97,11 +97,10 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         band = np.broadcast_to(np.arange(BANDS, dtype=U) * U(0xD1B54A32D192ED03), bits.shape[:2]).copy()
         for r in range(ROWS):
             band = mix(band * U(0x9E3779B97F4A7C15) + bits[:, :, r])
-        short = (mix(signature.view(U)) & U(0xFFFF)).astype(np.uint16)
         offsets = np.arange(len(sets) + 1, dtype=np.int32) * BANDS
         return pa.RecordBatch.from_arrays(
-            [ids, pa.array(n), pa.array(keys[:, 0]), pa.array(keys[:, 1]), pa.ListArray.from_arrays(pa.array(offsets), pa.array(band.astype(np.int64).reshape(-1))), pa.array([x.tobytes() for x in short], pa.binary())],
-            ["doc_id", "n_shingles", "k1", "k2", "bands", "sketch"],
+            [ids, pa.array(n), pa.array(keys[:, 0]), pa.array(keys[:, 1]), pa.ListArray.from_arrays(pa.array(offsets), pa.array(band.astype(np.int64).reshape(-1)))],
+            ["doc_id", "n_shingles", "k1", "k2", "bands"],
         )
 
     for batch in batches:
@@ -126,61 +125,80 @@ def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(both[:, 0]), pa.array(both[:, 1])], ["a", "b", "common", "total"])
 
 
-def _near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs whose signatures don't rule a link out."""
-    for batch in batches:
-        x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint16).reshape(-1, BINS) for c in ("sa", "sb"))
-        yield batch.select(["a", "b"]).filter(pa.array((x == y).sum(axis=1) >= LEAST_EQUAL))
+def _bridges(key: tuple, rows: pa.Table) -> pa.Table:
+    """Links between different components in a block: (a, b) are the components."""
+    sets = list(text_sets(rows.column("text").combine_chunks()))
+    outside, home = np.array(rows.column("x")), np.array(rows.column("c"))
+    x, y = np.flatnonzero(outside), np.flatnonzero(~outside)
+    found: set[tuple[int, int]] = set()
+    if len(x) and len(y):
+        owner = np.repeat(np.arange(len(y)), [len(sets[i]) for i in y])
+        element = np.concatenate([sets[i] for i in y])
+        order = np.argsort(element, kind="stable")
+        element, owner = element[order], owner[order]
+        sizes = np.array([len(sets[i]) for i in y])
+        for i in x:
+            lo, hi = np.searchsorted(element, sets[i], "left"), np.searchsorted(element, sets[i], "right")
+            n = hi - lo
+            at = np.repeat(lo - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
+            common = np.bincount(owner[at], minlength=len(y))
+            link = (OVER * common >= UNDER * (len(sets[i]) + sizes - common)) & (home[y] != home[i])
+            found |= {(min(c, int(home[i])), max(c, int(home[i]))) for c in set(home[y[link]].tolist())}
+    return pa.table({"a": pa.array([p for p, _ in found], pa.int64()), "b": pa.array([q for _, q in found], pa.int64())})
 
 
 def sketches(docs: DataFrame) -> DataFrame:
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_sketch, "doc_id long, n_shingles long, k1 long, k2 long, bands array<long>, sketch binary")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_sketch, "doc_id long, n_shingles long, k1 long, k2 long, bands array<long>")
 
 
-def confirmed(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """pairs (a, b) with common, total and link, from the texts."""
+def texts_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """(doc_id, text) of the rows with one of the ids."""
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    wanted = written(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "near-wanted")
-    few = wanted.count() <= 2_000_000  # so many ids are 16 MB; beyond, the ids are joined by a shuffle
-    texts = texts.join(F.broadcast(wanted) if few else wanted, "doc_id", "left_semi")
-    texts = written(texts, "near-texts")
+    few = ids.count() <= 2_000_000  # so many ids are 16 MB; beyond, the ids are joined by a shuffle
+    return written(texts.join(F.broadcast(ids) if few else ids, "doc_id", "left_semi"), "near-texts")
+
+
+def confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """pairs (a, b) with common, total and link, from the texts."""
     ta, tb = (texts.select(F.col("doc_id").alias(c), F.col("text").alias(f"t{c}")) for c in "ab")
     full = pairs.join(ta, "a").join(tb, "b").select("a", "b", "ta", "tb")
     out = full.mapInArrow(_confirm, "a long, b long, common long, total long")
     return out.distinct().withColumn("link", OVER * F.col("common") >= UNDER * F.col("total"))
 
 
+def bridges(groups: DataFrame, label: DataFrame, texts: DataFrame) -> DataFrame:
+    """Links between components that share a pivot's buckets. groups: (p, a), the members of each pivot's buckets."""
+    home = label.select(F.col("node").alias("a"), F.col("component").alias("c"))
+    placed = groups.join(home, "a", "left").withColumn("c", F.coalesce("c", "a"))
+    top = label.select(F.col("node").alias("p"), F.col("component").alias("pc"))
+    placed = written(placed.join(top, "p", "left").withColumn("outside", F.col("c") != F.coalesce("pc", "p")).drop("pc"), "near-placed")
+    sizes = placed.groupBy("p").agg(F.count("*").alias("n"), F.count_if("outside").alias("k")).where("k > 0")
+    blocks = sizes.select("p", F.ceil(F.col("k") / MANY_X).cast("int").alias("bx"), F.ceil(F.col("n") / MANY_Y).cast("int").alias("by"))
+    rows = placed.join(blocks, "p")
+    part = lambda n: F.pmod(F.xxhash64("a"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    x = rows.where("outside").select("p", "a", "c", F.lit(True).alias("x"), part("bx").alias("i"), every("by").alias("j"))
+    y = rows.select("p", "a", "c", F.lit(False).alias("x"), every("bx").alias("i"), part("by").alias("j"))
+    full = x.unionByName(y).join(texts.withColumnRenamed("doc_id", "a"), "a")
+    return full.groupBy("p", "i", "j").applyInArrow(_bridges, "a long, b long").distinct()
+
+
 def near_classes(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for each row."""
     marks = written(sketches(docs), "near-sketches")
-    sets = marks.where("n_shingles > 0").groupBy("k1", "k2").agg(F.min("doc_id").alias("a"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
+    sets = marks.where("n_shingles > 0").groupBy("k1", "k2").agg(F.min("doc_id").alias("a"), F.first("bands").alias("bands"))
     sets = written(sets.where("a is not null"), "near-sets")
-    members = sets.select("a", "n", F.posexplode("bands").alias("band", "bucket"))
+    members = sets.select("a", F.posexplode("bands").alias("band", "bucket"))
     pivots = members.groupBy("band", "bucket").agg(F.min("a").alias("p"), F.count("*").alias("size")).where("size > 1").drop("size")
-    members = written(members.join(pivots, ["band", "bucket"]).select("band", "bucket", "a", "n", "p"), "near-members")
-    stars = written(confirmed(members.where("a != p").select(F.col("p").alias("a"), F.col("a").alias("b")).distinct(), docs), "near-stars")
-    links = stars.where("link").select("a", "b")
-    label = components(links)
-    # buckets with members of several components
-    far = stars.select(F.col("a").alias("p"), F.col("b").alias("a"), (1 - F.col("common") / F.col("total")).alias("d"))
-    placed = members.join(far, ["p", "a"], "left").join(label.withColumnRenamed("node", "a"), "a", "left")
-    placed = placed.select("band", "bucket", "p", "a", "n", F.coalesce("d", F.lit(0.0)).alias("d"), F.coalesce("component", "a").alias("c"))
-    home = label.select(F.col("node").alias("p"), F.col("component").alias("pc"))
-    placed = written(placed.join(home, "p", "left").withColumn("outside", F.col("c") != F.coalesce("pc", "p")), "near-placed")
-    split = placed.where("outside").select("band", "bucket").distinct()
-    x = placed.where("outside").select("band", "bucket", *[F.col(k).alias(f"x{k}") for k in "andc"])
-    y = placed.join(split, ["band", "bucket"], "left_semi").where("a != p").select("band", "bucket", *[F.col(k).alias(f"y{k}") for k in "andc"], F.col("outside").alias("yo"))
-    near = (F.col("xc") != F.col("yc")) & (F.abs(F.col("xd") - F.col("yd")) <= 0.25 + 1e-9) & (OVER * F.least("xn", "yn") >= UNDER * F.greatest("xn", "yn")) & (~F.col("yo") | (F.col("xa") < F.col("ya")))
-    rest = x.join(y, ["band", "bucket"]).where(near).select(F.least("xa", "ya").alias("a"), F.greatest("xa", "ya").alias("b")).distinct()
-    rest = rest.join(stars.select("a", "b"), ["a", "b"], "left_anti")
-    sa, sb = (sets.select(F.col("a").alias(c), F.col("sketch").alias(f"s{c}")) for c in "ab")
-    rest = written(rest.join(sa, "a").join(sb, "b").select("a", "b", "sa", "sb").mapInArrow(_near, "a long, b long"), "near-rest")
-    if not rest.isEmpty():
-        more = written(confirmed(rest, docs).where("link").select("a", "b"), "near-more")
-        bridges = more.join(label.select(F.col("node").alias("a"), F.col("component").alias("ca")), "a", "left").join(label.select(F.col("node").alias("b"), F.col("component").alias("cb")), "b", "left")
-        bridges = bridges.select(F.coalesce("ca", "a").alias("x"), F.coalesce("cb", "b").alias("y")).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).where("a != b").distinct()
-        over = components(bridges).select(F.col("node").alias("component"), F.col("component").alias("top"))
-        known = label.unionByName(bridges.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(label, "node", "left_anti").withColumn("component", F.col("node")))
+    groups = written(members.join(pivots, ["band", "bucket"]).select("p", "a").where("a != p").distinct(), "near-groups")
+    texts = texts_of(docs, written(groups.select("a").union(groups.select("p")).distinct().withColumnRenamed("a", "doc_id"), "near-wanted"))
+    stars = confirmed(groups.select(F.col("p").alias("a"), F.col("a").alias("b")), texts)
+    label = components(written(stars.where("link").select("a", "b"), "near-stars"))
+    more = written(bridges(groups, label, texts), "near-bridges")
+    if not more.isEmpty():
+        over = components(more).select(F.col("node").alias("component"), F.col("component").alias("top"))
+        ends = more.select(F.col("a").alias("node")).union(more.select("b")).distinct()
+        known = label.unionByName(ends.join(label, "node", "left_anti").withColumn("component", F.col("node")))
         label = written(known.join(over, "component", "left").select("node", F.coalesce("top", "component").alias("component")), "near-labels")
     classes = sets.join(label.withColumnRenamed("node", "a"), "a", "left").select("k1", "k2", F.coalesce("component", "a").alias("component"))
     out = marks.select("doc_id", "n_shingles", "k1", "k2").where("n_shingles > 0").join(classes, ["k1", "k2"], "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
