@@ -109,7 +109,7 @@ def _spans(windows) -> Callable:
             found = list(w.find(batch.column("text")))
             spans = [[{"start": a, "stop": b, "item": x} for a, b, x in s] for _, s in found]
             kind = pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32()), ("item", pa.string())]))
-            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array([n for n, _ in found], pa.int64()), pa.array(spans, kind)], ["row", "n_words", "spans"])
+            yield pa.RecordBatch.from_arrays([batch.column("__row"), pa.array([n for n, _ in found], pa.int64()), pa.array(spans, kind)], ["__row", "n_words", "spans"])
 
     return scan
 
@@ -117,7 +117,7 @@ def _spans(windows) -> Callable:
 def _together(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         spans = [(n, [(s["start"], s["stop"], s["item"]) for part in x for s in part]) for n, x in zip(batch.column("n_words").to_pylist(), batch.column("spans").to_pylist())]
-        yield pa.RecordBatch.from_arrays([batch.column("row"), *_judged(iter(spans))], ["row", *[x.split()[0] for x in JUDGED.split(", ")]])
+        yield pa.RecordBatch.from_arrays([batch.column("__row"), *_judged(iter(spans))], ["__row", *[x.split()[0] for x in JUDGED.split(", ")]])
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -132,15 +132,15 @@ def contamination(docs: DataFrame, benchmark: DataFrame, block_bytes: int = BLOC
         schema = ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*[F.col(f"`{c}`") for c in keep]).schema], JUDGED])
         return docs.select(*[F.col(f"`{c}`") for c in [*keep, "text"]]).mapInArrow(_judge(windows), schema)
     blocks = -(-total // (block_bytes // 2))
-    rows = written(docs.withColumn("row", F.monotonically_increasing_id()), "contamination-rows")
+    rows = written(docs.withColumn("__row", F.monotonically_increasing_id()), "contamination-rows")
     found = None
     for b in range(blocks):
         part = items.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == b)
         windows = spark.sparkContext.broadcast(Windows([tuple(r) for r in part.collect()]))
-        hits = rows.select("row", "text").mapInArrow(_spans(windows), f"row long, n_words long, spans {SPAN}")
+        hits = rows.select("__row", "text").mapInArrow(_spans(windows), f"__row long, n_words long, spans {SPAN}")
         found = hits if found is None else found.unionByName(hits)
-    whole = found.groupBy("row").agg(F.first("n_words").alias("n_words"), F.collect_list("spans").alias("spans"))
-    return rows.select("row", *[F.col(f"`{c}`") for c in keep]).join(whole.mapInArrow(_together, f"row long, {JUDGED}"), "row").drop("row")
+    whole = found.groupBy("__row").agg(F.first("n_words").alias("n_words"), F.collect_list("spans").alias("spans"))
+    return rows.select("__row", *[F.col(f"`{c}`") for c in keep]).join(whole.mapInArrow(_together, f"__row long, {JUDGED}"), "__row").drop("__row")
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
