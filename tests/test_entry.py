@@ -8,6 +8,7 @@ import sys
 from pathlib import Path
 
 import duckdb
+import pandas as pd
 import pytest
 
 import __spark_entry__
@@ -19,7 +20,7 @@ ROOT = Path(__file__).parents[1]
 
 def rows(frame) -> list[tuple]:
     names = sorted(frame.columns)
-    plain = lambda v: None if v is None or v != v else f"{float(v):.6g}" if isinstance(v, float) else str(v)
+    plain = lambda v: None if pd.isna(v) else f"{float(v):.6g}" if isinstance(v, float) else str(v)
     return sorted((tuple(plain(v) for v in r) for r in frame[names].itertuples(index=False)), key=str)
 
 
