@@ -129,12 +129,14 @@ def near_by_hand(rows: list[tuple]) -> dict:
     for d, t in rows:
         w = [x.lower() for x in split(t)]
         sets[d] = {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
-    top = {d: d for d in sets}
-    for _ in sets:
-        for a in sets:
-            for b in sets:
-                if sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b]):
-                    top[a] = top[b] = min(top[a], top[b])
+    links = [(a, b) for a in sets for b in sets if a < b and sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b])]
+    top, changed = {d: d for d in sets}, True
+    while changed:
+        changed = False
+        for a, b in links:
+            low = min(top[a], top[b])
+            changed |= top[a] != low or top[b] != low
+            top[a] = top[b] = low
     return {d: (len(sets[d]), top[d]) for d in sets}
 
 
@@ -325,12 +327,45 @@ def test_url_filter(spark):
     assert url_filter.filter_urls(pages.where("false")).count() == 0
 
 
-def test_pipeline(spark, tmp_path, docs, labels):
+def contaminated_by_hand(rows: list[tuple], items: list[str]) -> set[int]:
+    cut = lambda t: "".join(c if c.isascii() and c.isalnum() or not c.isascii() else " " for c in (t or "").translate(str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"))).split(" ")
+    words = lambda t: [w for w in cut(t) if w]
+    windows = defaultdict(set)
+    for t in items:
+        w = words(t)
+        n = min(13, len(w))
+        windows[n] |= {tuple(w[i : i + n]) for i in range(len(w) - n + 1)} if n else set()
+    out = set()
+    for d, t in rows:
+        w = words(t)
+        hit = {p for n, own in windows.items() for i in range(len(w) - n + 1) if tuple(w[i : i + n]) in own for p in range(i, i + n)}
+        if hit and 20 * len(hit) >= len(w):
+            out.add(d)
+    return out
+
+
+def test_pipeline_against_plain_stages(spark):
+    """Every stage on what the one before kept, each against a plain version; toxicity against its own scores."""
     import corpus_pipeline
 
     folder = "/root/testdata/sf0.001"
     frame = spark.read.parquet(f"{folder}/documents.parquet")
-    for name, stage in corpus_pipeline.STAGES[:-1]:
-        out = stage(spark, frame, folder)
-        assert out.columns == frame.columns, name
-    assert corpus_pipeline.run(spark, folder).where("slot = 0").count() <= 40
+    columns, outs = frame.columns, []
+    for name, stage in corpus_pipeline.STAGES:
+        before = [(r["doc_id"], r["text"]) for r in frame.collect()]
+        frame = near_dedup.written(stage(spark, frame, folder), "test-stage")
+        outs.append((name, before, frame))
+        assert name == "sharding" or frame.columns == columns
+    kept = [{r["doc_id"] for r in f.collect()} for _, _, f in outs]
+    labels = spark.read.parquet(f"{folder}/labels.parquet")
+    scores = toxicity.score(spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text"), labels).collect()
+    assert kept[0] == {r["doc_id"] for r in scores if r["predicted"] == 0}
+    classes = near_by_hand(outs[1][1])
+    assert kept[1] == {d for d, (_, top) in classes.items() if d == top}
+    bench = [r["text"] for r in spark.read.parquet(f"{folder}/benchmark.parquet").collect()]
+    assert kept[2] == {d for d, _ in outs[2][1]} - contaminated_by_hand(outs[2][1], bench)
+    mixed = Counter(r["doc_id"] for r in outs[3][2].collect())
+    want = Counter({r["doc_id"]: r["copies"] for r in mixing.mix(outs[2][2], labels).collect() if r["copies"]})
+    assert mixed == want
+    final = outs[4][2].collect()
+    assert Counter(r["doc_id"] for r in final) == mixed and {r["shard"] for r in final} <= set(range(40))
