@@ -10,6 +10,8 @@ A key that many lines share is never expanded into pairs. Its lines go, by hash,
 probes meets a block of the index in one task and only confirmed links leave it. Linked lines form classes. Of a class
 the first line of all texts stays, in the order of doc_id and place; white-space lines always stay.
 
+Lines are known by a 64-bit digest: of n distinct lines about n * n / 2**65 pairs are taken for equal wrongly.
+
 Defined results: a null text counts as empty (no lines that count); repeated rows are one text as to its lines, so their
 lines stay in each; a null doc_id comes first; an empty table gives no rows; other columns are left alone.
 """
@@ -81,22 +83,30 @@ def _id(line: str) -> int:
     return xxhash.xxh3_64_intdigest(line) - (1 << 63)
 
 
-def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _split(text: str | None) -> Iterator[tuple[int, str]]:
+    for place, line in enumerate((text or "").split("\n")):
+        if line := line.strip():
+            yield place, line
+
+
+def _places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """doc_id, place and id of each line."""
     for batch in batches:
-        doc, place, ids, text = [], [], [], []
-        for d, t in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
-            for p, line in enumerate((t or "").split("\n")):
-                if line := line.strip():
-                    doc.append(d)
-                    place.append(p)
-                    ids.append(_id(line))
-                    text.append(line)
-        yield pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(place, pa.int32()), pa.array(ids, pa.int64()), pa.array(text, pa.string())], ["doc_id", "place", "id", "line"])
+        rows = [(d, p, _id(line)) for d, t in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()) for p, line in _split(t)]
+        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int64(), pa.int32(), pa.int64()))], ["doc_id", "place", "id"])
+
+
+def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """id and text of the distinct lines of each batch that are long enough for edits."""
+    for batch in batches:
+        lines = list({line for t in batch.column("text").to_pylist() for _, line in _split(t) if len(line) >= LEAST})
+        yield pa.RecordBatch.from_arrays([pa.array([_id(x) for x in lines], pa.int64()), pa.array(lines, pa.string())], ["id", "line"])
 
 
 def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        rows = [(k, i, role) for i, line in zip(batch.column("id").to_pylist(), batch.column("line").to_pylist()) for role, keys in enumerate(keys_of(line)) for k in keys]
+        lines = {line for t in batch.column("text").to_pylist() for _, line in _split(t) if len(line) >= LEAST}
+        rows = [(k, i, role) for line in lines for i in (_id(line),) for role, keys in enumerate(keys_of(line)) for k in keys]
         yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.int8())], ["key", "id", "role"])
 
 
@@ -136,12 +146,19 @@ def _block(_: tuple, rows: pa.Table) -> pa.Table:
     return pa.table({"a": pa.array([p for p, _ in out], pa.int64()), "b": pa.array([q for _, q in out], pa.int64())})
 
 
-def line_links(lines: DataFrame) -> DataFrame:
-    """Links (a, b) whose components are those of all pairs within EDITS. lines: distinct (id, line)."""
-    keys = written(lines.where(F.length("line") >= LEAST).mapInArrow(_keys, "key long, id long, role byte"), "line-keys")
+def line_links(docs: DataFrame) -> DataFrame:
+    """Links (a, b) of line ids whose components are those of all pairs of lines within EDITS.
+
+    Texts stay where they are until it is known which lines have a key in common with another; only theirs are moved.
+    """
+    texts = docs.select("text")
+    keys = written(texts.mapInArrow(_keys, "key long, id long, role byte"), "line-keys")
     stats = keys.groupBy("key").agg(F.min("id").alias("least"), F.max("id").alias("most"), F.sum("role").alias("probes"), F.count("*").alias("n"))
     stats = stats.where("least < most and probes > 0 and n > probes").select("key", (F.col("n") - F.col("probes")).alias("indexed"), "probes")
-    full = written(keys.join(stats, "key"), "line-members")
+    full = written(keys.join(stats, "key").distinct(), "line-members")
+    wanted = written(full.select("id").distinct(), "line-wanted")
+    few = wanted.count() <= 2_000_000  # so many ids are 16 MB; beyond, the ids are joined by a shuffle
+    lines = written(texts.mapInArrow(_texts, "id long, line string").join(F.broadcast(wanted) if few else wanted, "id", "left_semi").distinct(), "line-texts")
     crowded = F.col("indexed") * F.col("probes") > PER_BLOCK * PER_BLOCK // 16
     few = full.where(~crowded)
     x, y = few.where("role = 1").select("key", F.col("id").alias("x")), few.where("role = 0").select("key", F.col("id").alias("y"))
@@ -159,16 +176,16 @@ def line_links(lines: DataFrame) -> DataFrame:
 
 def line_marks(docs: DataFrame) -> DataFrame:
     """doc_id, place, dropped for each line that is more than white space; places count from 0."""
-    at = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_lines, "doc_id long, place int, id long, line string")
-    order = F.coalesce("doc_id", F.lit(-(1 << 63))).cast("decimal(38,0)") * F.lit(1 << 31).cast("decimal(38,0)") + F.col("place").cast("decimal(38,0)")
-    order = order.cast("decimal(38,0)")
-    lines = written(at.groupBy("id", "line").agg(F.min(order).alias("first")), "lines")
-    label = components(written(line_links(lines.select("id", "line")), "line-links")).withColumnRenamed("node", "id")
-    known = lines.select("id", "first").join(label, "id").withColumnRenamed("component", "class")
-    first = known.groupBy("class").agg(F.min("first").alias("class_first"))
-    stays = lines.select("id", "first").join(known.select("id", "class").join(first, "class").select("id", "class_first"), "id", "left").select("id", F.coalesce("class_first", "first").alias("first"))
-    light = at.select("doc_id", "place", "id", order.alias("order"))
-    return light.join(stays, "id").select("doc_id", "place", (F.col("order") != F.col("first")).alias("dropped"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    at = written(rows.mapInArrow(_places, "doc_id long, place int, id long"), "line-places")
+    wide = lambda c: c.cast("decimal(38,0)")
+    order = (wide(F.coalesce("doc_id", F.lit(-(1 << 63)))) * wide(F.lit(1 << 31)) + wide(F.col("place"))).cast("decimal(38,0)")
+    label = components(written(line_links(rows), "line-links")).withColumnRenamed("node", "id")
+    firsts = at.groupBy("id").agg(F.min(order).alias("first"))
+    firsts = firsts.join(label, "id", "left").withColumn("class", F.coalesce("component", "id")).drop("component")
+    best = firsts.groupBy("class").agg(F.min("first").alias("first"))
+    stays = firsts.select("id", "class").join(best, "class").select("id", "first")
+    return at.join(stays, "id").select("doc_id", "place", (order != F.col("first")).alias("dropped"))
 
 
 def line_report(docs: DataFrame) -> DataFrame:
