@@ -50,7 +50,6 @@ REPORTING = ("said", "says", "called", "quote", "quoted", "word", "term", "sagte
 LEET = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "$": "s", "@": "a"}
 WORD = np.zeros(256, bool)
 WORD[[*range(0x30, 0x3A), *range(0x61, 0x7B), *range(0x80, 0x100), 0x24, 0x40]] = True
-#: General punctuation and guillemets are no letters: their bytes end a word.
 FOLD = LOWER.copy()
 for _a, _b in LEET.items():
     FOLD[ord(_a)] = ord(_b)
@@ -153,13 +152,13 @@ class Automaton:
         return hit, fate[hit]
 
 
-def _words(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """Folded bytes, starts, stops, index of each text's first word and the end, for runs of rows."""
+def _words(column: pa.Array) -> Iterator[tuple[np.ndarray, ...]]:
+    """Folded bytes, starts, stops, index of each text's first word and the end, bytes as they are, for runs of rows."""
     for _, data, ends in byte_batches(column):
-        quotes = np.zeros(len(data) + 2, bool)
-        quotes[:-2] = (data == 0xC2) | (data == 0xE2)  # U+0080 to U+00BF, U+2000 to U+2FFF: signs, no letters
-        quotes[1:-1] |= quotes[:-2] & True
-        sign = quotes[:-2] | np.concatenate([[False], quotes[:-3]]) if len(data) else quotes[:0]
+        two, three = data == 0xC2, data == 0xE2  # U+0080 to U+00BF, U+2000 to U+2FFF: signs, no letters
+        sign = two | three
+        sign[1:] |= (two | three)[:-1]
+        sign[2:] |= three[:-2]
         folded = FOLD[data]
         shown = folded.copy()
         shown[sign & (data >= 0x80)] = 0x20
