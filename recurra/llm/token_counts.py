@@ -65,7 +65,7 @@ class Vocabulary:
     def counts(self, words: list[bytes]) -> np.ndarray:
         """Tokens of each word, by one pass over the trie of all, level by level."""
         words = [SPACE + w for w in words]
-        order = sorted(range(len(words)), key=words.__getitem__)
+        order = np.array(sorted(range(len(words)), key=words.__getitem__), np.int64)
         data = np.frombuffer(b"".join(words[i] for i in order), np.uint8)
         lengths = np.array([len(words[i]) for i in order])
         starts = np.cumsum(lengths) - lengths
@@ -101,7 +101,7 @@ class Vocabulary:
             count.append(fewest)
             node[live] = number
             done = lengths[live] == d
-            out[np.array(order)[live[done]]] = fewest[number[done]]
+            out[order[live[done]]] = fewest[number[done]]
         return out
 
     def texts(self, column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
