@@ -52,6 +52,9 @@ def exact_classes(docs: DataFrame) -> DataFrame:
 
 
 def exact_dedup(docs: DataFrame) -> DataFrame:
-    """docs without the rows that exact_classes() drops; repeated rows of a doc_id that stays are one."""
-    kept = exact_classes(docs).where("kept and doc_id is not null").select(F.col("doc_id").alias("kept_id")).distinct()
-    return docs.join(kept, docs["doc_id"] == kept["kept_id"], "left_semi").dropDuplicates(["doc_id"])
+    """One row of each class of exact_classes(): the longest original, then the smallest doc_id (null last), then the first row."""
+    rows = written(docs.withColumn("__row", F.monotonically_increasing_id()), "exact-docs")
+    sized = rows.select("__row", F.col("doc_id").cast("long").alias("doc_id"), normalised(F.col("text")).alias("content"), F.length(F.coalesce("text", F.lit(""))).alias("length"))
+    best = F.max(F.struct(_order().cast("decimal(38,0)").alias("best"), (-F.col("__row")).alias("at")))
+    kept = sized.groupBy("content").agg(best.alias("best")).select((-F.col("best.at")).alias("__row"))
+    return rows.join(kept, "__row", "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -61,9 +61,12 @@ def source_targets(sizes: DataFrame) -> DataFrame:
     )
 
 
-def mix(docs: DataFrame, quality: DataFrame | None = None) -> DataFrame:
-    """doc_id, source, size, source_size, target, copies, taken for each row. quality: (doc_id, quality), one of a doc_id."""
-    rows = docs.select("doc_id", "source", words(F.col("text")).alias("size"))
+def mix(docs: DataFrame, quality: DataFrame | None = None, row: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, source, size, source_size, target, copies, taken for each row. quality: (doc_id, quality), one of a doc_id.
+
+    row: a column that numbers the rows, if there is one; it settles ties and is returned.
+    """
+    rows = docs.select("doc_id", "source", *row, words(F.col("text")).alias("size"))
     if quality is not None:
         marks = quality.where("doc_id is not null").groupBy("doc_id").agg(F.max("quality").alias("quality"))
         rows = rows.join(marks, "doc_id", "left")
@@ -71,7 +74,7 @@ def mix(docs: DataFrame, quality: DataFrame | None = None) -> DataFrame:
         rows = rows.withColumn("quality", F.lit(None).cast("int"))
     weight = F.when(F.col("quality") == 1, QUALITY[1]).when(F.col("quality") == 0, QUALITY[0]).otherwise(QUALITY[None])
     key = -F.log(uniform(F.col("doc_id"))) / weight
-    rows = written(rows.select("doc_id", "source", "size", F.round(key, 12).alias("key")).withColumn("bucket", F.least(F.lit(BUCKETS - 1), F.floor((1 - F.exp(-F.col("key"))) * BUCKETS)).cast("int")), "mix-rows")
+    rows = written(rows.select("doc_id", "source", *row, "size", F.round(key, 12).alias("key")).withColumn("bucket", F.least(F.lit(BUCKETS - 1), F.floor((1 - F.exp(-F.col("key"))) * BUCKETS)).cast("int")), "mix-rows")
     sums = rows.groupBy("source", "bucket").agg(F.sum("size").alias("bucket_size"))
     sums = written(sums, "mix-sums")
     targets = source_targets(sums.groupBy("source").agg(F.sum("bucket_size").alias("source_size")))
@@ -83,16 +86,17 @@ def mix(docs: DataFrame, quality: DataFrame | None = None) -> DataFrame:
     d, g = rows.alias("d"), ranges.alias("g")
     placed = d.join(g, F.expr("d.bucket = g.bucket and d.source <=> g.source")).select("d.*", "g.source_size", "g.target", "g.epochs", "g.rest", "g.before", "g.upto")
     whole = placed.where("upto <= rest or before >= rest").withColumn("extra", ((F.col("upto") <= F.col("rest")) & (F.col("rest") > 0)).cast("long"))
-    order = Window.partitionBy("source", "bucket").orderBy("key", F.col("doc_id").asc_nulls_first())
+    order = Window.partitionBy("source", "bucket").orderBy("key", F.col("doc_id").asc_nulls_first(), *row)
     upto = F.col("before") + F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, 0))
     # the document at the border enters if that brings the sum nearer to the rest
     split = placed.where("upto > rest and before < rest").withColumn("extra", (upto - F.col("size") / 2.0 <= F.col("rest")).cast("long"))
     out = whole.unionByName(split).withColumn("copies", F.col("epochs") + F.col("extra"))
-    return out.select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
+    return out.select("doc_id", "source", *row, "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
 
 
 def mixed(docs: DataFrame, quality: DataFrame | None = None) -> DataFrame:
-    """docs' columns: each row as many times as the mix takes it. Rows of a doc_id share what is decided for its first row."""
-    copies = mix(docs, quality).where("copies > 0 and doc_id is not null").groupBy("doc_id").agg(F.max("copies").alias("__copies")).withColumnRenamed("doc_id", "__id")
-    placed = docs.join(copies, docs["doc_id"] == F.col("__id")).drop("__id")
-    return placed.withColumn("__time", F.explode(F.sequence(F.lit(1), F.col("__copies").cast("int")))).drop("__time", "__copies")
+    """docs' columns: each row as many times as the mix takes it, decided for each row by a number that is written with it."""
+    rows = written(docs.withColumn("__row", F.monotonically_increasing_id()), "mixed-rows")
+    copies = mix(rows, quality, ("__row",)).where("copies > 0").select("__row", F.col("copies").alias("__copies"))
+    placed = rows.join(copies, "__row")
+    return placed.withColumn("__time", F.explode(F.sequence(F.lit(1), F.col("__copies").cast("int")))).select(*[F.col(f"`{c}`") for c in docs.columns])

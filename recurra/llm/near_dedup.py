@@ -13,8 +13,10 @@
 Links are confirmed on the full shingle sets of the texts, never on signatures.
 
 Defined results: a null, empty or white-space text has no shingles, is linked with nothing and is kept; a text of one
-to four words is one shingle; a repeated row is in the class of its text; rows with a null doc_id count as members, but
-no component is named by them; an empty table gives no rows; other columns are left alone.
+to four words is one shingle; a repeated row is in the class of its text; an empty table gives no rows; other columns are
+left alone. Rows are told apart by a row number that is written with them, never by doc_id: null doc_ids and texts that
+share a doc_id are rows like others. A class is named by its smallest doc_id (null if it has none) and keeps one row, of
+the smallest doc_id (a null one last), then of the smallest row number.
 """
 
 from __future__ import annotations
@@ -23,7 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from recurra.llm.bytewise import MASK, U, mix, shingle_set, texts_words
@@ -31,6 +33,7 @@ from recurra.llm.components import components
 from recurra.llm.storage import written
 
 WORDS, BINS, ROWS, BANDS = 5, 128, 4, 32
+LAST = (1 << 63) - 1
 #: A link: OVER * |intersection| >= UNDER * |union|.
 OVER, UNDER = 100, 75
 #: Texts in a block of members outside their pivot's component, and of members they are held against.
@@ -89,7 +92,7 @@ def digest(elements: np.ndarray) -> tuple[int, int]:
 
 
 def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    def out(ids, sets):
+    def out(rows, sets):
         signature = superminhash(sets)
         n = np.array([len(s) for s in sets], np.int64)
         keys = np.array([digest(s) for s in sets], np.int64).reshape(-1, 2)
@@ -99,20 +102,20 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             band = mix(band * U(0x9E3779B97F4A7C15) + bits[:, :, r])
         offsets = np.arange(len(sets) + 1, dtype=np.int32) * BANDS
         return pa.RecordBatch.from_arrays(
-            [ids, pa.array(n), pa.array(keys[:, 0]), pa.array(keys[:, 1]), pa.ListArray.from_arrays(pa.array(offsets), pa.array(band.astype(np.int64).reshape(-1)))],
-            ["doc_id", "n_shingles", "k1", "k2", "bands"],
+            [rows.column("row"), rows.column("doc_id"), pa.array(n), pa.array(keys[:, 0]), pa.array(keys[:, 1]), pa.ListArray.from_arrays(pa.array(offsets), pa.array(band.astype(np.int64).reshape(-1)))],
+            ["row", "doc_id", "n_shingles", "k1", "k2", "bands"],
         )
 
     for batch in batches:
-        ids, sets, first, held = batch.column("doc_id"), [], 0, 0
+        sets, first, held = [], 0, 0
         for s in text_sets(batch.column("text")):
             sets.append(s)
             held += len(s)
             if held >= TOGETHER:
-                yield out(ids.slice(first, len(sets)), sets)
+                yield out(batch.slice(first, len(sets)), sets)
                 first, sets, held = first + len(sets), [], 0
         if sets:
-            yield out(ids.slice(first, len(sets)), sets)
+            yield out(batch.slice(first, len(sets)), sets)
 
 
 def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -148,19 +151,18 @@ def _bridges(key: tuple, rows: pa.Table) -> pa.Table:
 
 
 def sketches(docs: DataFrame) -> DataFrame:
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_sketch, "doc_id long, n_shingles long, k1 long, k2 long, bands array<long>")
+    return docs.select("row", "doc_id", "text").mapInArrow(_sketch, "row long, doc_id long, n_shingles long, k1 long, k2 long, bands array<long>")
 
 
-def texts_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """(doc_id, text) of the rows with one of the ids."""
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    few = ids.count() <= 2_000_000  # so many ids are 16 MB; beyond, the ids are joined by a shuffle
-    return written(texts.join(F.broadcast(ids) if few else ids, "doc_id", "left_semi"), "near-texts")
+def texts_of(docs: DataFrame, rows: DataFrame) -> DataFrame:
+    """(row, text) of the rows with one of the numbers."""
+    few = rows.count() <= 2_000_000  # so many numbers are 16 MB; beyond, they are joined by a shuffle
+    return written(docs.select("row", "text").join(F.broadcast(rows) if few else rows, "row", "left_semi"), "near-texts")
 
 
 def confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """pairs (a, b) with common, total and link, from the texts."""
-    ta, tb = (texts.select(F.col("doc_id").alias(c), F.col("text").alias(f"t{c}")) for c in "ab")
+    ta, tb = (texts.select(F.col("row").alias(c), F.col("text").alias(f"t{c}")) for c in "ab")
     full = pairs.join(ta, "a").join(tb, "b").select("a", "b", "ta", "tb")
     out = full.mapInArrow(_confirm, "a long, b long, common long, total long")
     return out.distinct().withColumn("link", OVER * F.col("common") >= UNDER * F.col("total"))
@@ -179,19 +181,26 @@ def bridges(groups: DataFrame, label: DataFrame, texts: DataFrame) -> DataFrame:
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     x = rows.where("outside").select("p", "a", "c", F.lit(True).alias("x"), part("bx").alias("i"), every("by").alias("j"))
     y = rows.select("p", "a", "c", F.lit(False).alias("x"), every("bx").alias("i"), part("by").alias("j"))
-    full = x.unionByName(y).join(texts.withColumnRenamed("doc_id", "a"), "a")
+    full = x.unionByName(y).join(texts.withColumnRenamed("row", "a"), "a")
     return full.groupBy("p", "i", "j").applyInArrow(_bridges, "a long, b long").distinct()
 
 
-def near_classes(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept for each row."""
+def numbered(docs: DataFrame, *columns: Column) -> DataFrame:
+    """docs' columns, or the given ones, and the number `__row` of each row, written so that all that reads it agrees."""
+    return written(docs.select(*(columns or [F.col(f"`{c}`") for c in docs.columns]), F.monotonically_increasing_id().alias("__row")), "near-rows")
+
+
+def _decided(docs: DataFrame) -> DataFrame:
+    """row, doc_id, n_shingles, component_id, kept for each row of docs (row, doc_id, text)."""
     marks = written(sketches(docs), "near-sketches")
-    sets = marks.where("n_shingles > 0").groupBy("k1", "k2").agg(F.min("doc_id").alias("a"), F.first("bands").alias("bands"))
-    sets = written(sets.where("a is not null"), "near-sets")
+    wide = lambda c: c.cast("decimal(38,0)")
+    order = (wide(F.coalesce("doc_id", F.lit(LAST))) * wide(F.lit(str(1 << 63))) + wide(F.col("row"))).cast("decimal(38,0)")
+    sets = marks.where("n_shingles > 0").groupBy("k1", "k2").agg(F.min("row").alias("a"), F.first("bands").alias("bands"), F.min("doc_id").alias("name"), F.min(order).alias("first"))
+    sets = written(sets, "near-sets")
     members = sets.select("a", F.posexplode("bands").alias("band", "bucket"))
     pivots = members.groupBy("band", "bucket").agg(F.min("a").alias("p"), F.count("*").alias("size")).where("size > 1").drop("size")
     groups = written(members.join(pivots, ["band", "bucket"]).select("p", "a").where("a != p").distinct(), "near-groups")
-    texts = texts_of(docs, written(groups.select("a").union(groups.select("p")).distinct().withColumnRenamed("a", "doc_id"), "near-wanted"))
+    texts = texts_of(docs, written(groups.select("a").union(groups.select("p")).distinct().withColumnRenamed("a", "row"), "near-wanted"))
     stars = confirmed(groups.select(F.col("p").alias("a"), F.col("a").alias("b")), texts)
     label = components(written(stars.where("link").select("a", "b"), "near-stars"))
     more = written(bridges(groups, label, texts), "near-bridges")
@@ -200,13 +209,22 @@ def near_classes(docs: DataFrame) -> DataFrame:
         ends = more.select(F.col("a").alias("node")).union(more.select("b")).distinct()
         known = label.unionByName(ends.join(label, "node", "left_anti").withColumn("component", F.col("node")))
         label = written(known.join(over, "component", "left").select("node", F.coalesce("top", "component").alias("component")), "near-labels")
-    classes = sets.join(label.withColumnRenamed("node", "a"), "a", "left").select("k1", "k2", F.coalesce("component", "a").alias("component"))
-    out = marks.select("doc_id", "n_shingles", "k1", "k2").where("n_shingles > 0").join(classes, ["k1", "k2"], "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
-    out = out.unionByName(marks.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
-    return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+    members = sets.join(label.withColumnRenamed("node", "a"), "a", "left").select("k1", "k2", "name", "first", F.coalesce("component", "a").alias("component"))
+    best = members.groupBy("component").agg(F.min("name").alias("component_id"), F.min("first").alias("first"))
+    classes = members.select("k1", "k2", "component").join(best, "component").drop("component")
+    out = marks.where("n_shingles > 0").join(classes, ["k1", "k2"]).select("row", "doc_id", "n_shingles", "component_id", (order == F.col("first")).alias("kept"))
+    return out.unionByName(marks.where("n_shingles = 0").select("row", "doc_id", "n_shingles", F.col("doc_id").alias("component_id"), F.lit(True).alias("kept")))
+
+
+def near_classes(docs: DataFrame) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept for each row; of each class one row is kept."""
+    rows = numbered(docs, F.col("doc_id").cast("long").alias("doc_id"), F.col("text"))
+    return _decided(rows.withColumnRenamed("__row", "row")).drop("row")
 
 
 def near_dedup(docs: DataFrame) -> DataFrame:
-    """One row of each class of near_classes(): the one with the smallest doc_id; repeated rows of it are one."""
-    drop = near_classes(docs).where("not kept and doc_id is not null").select(F.col("doc_id").alias("dropped_id")).distinct()
-    return docs.join(drop, docs["doc_id"] == drop["dropped_id"], "left_anti").dropDuplicates(["doc_id"])
+    """The row that is kept of each class of near_classes(), and all rows without shingles."""
+    rows = numbered(docs)
+    decided = _decided(rows.select(F.col("__row").alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "text"))
+    drop = decided.where("not kept").select(F.col("row").alias("__row"))
+    return rows.join(drop, "__row", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
