@@ -24,7 +24,8 @@ from pyspark.sql import DataFrame
 from recurra.llm.bytewise import NOT_SPACE, U, batches as byte_batches, mix, word_bounds, word_hashes
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
-LONGEST = 16
+#: Bytes of the longest piece of VOCABULARY, and those after which only ends of still longer pieces are followed.
+LONGEST, DEEP = 128, 16
 BYTE = -16000
 SPACE = b" "
 #: Bytes of text whose distinct pre-tokens share a trie.
@@ -36,10 +37,10 @@ def piece_score(rank: int) -> int:
 
 
 def pieces(path: str = VOCABULARY) -> dict[bytes, int]:
-    """Scores of the pieces of at most LONGEST bytes in a file of base64 pieces and ranks."""
+    """Scores of all pieces in a file of base64 pieces and ranks."""
     with open(path, "rb") as f:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-    return {p: piece_score(r) for p, r in ranks.items() if len(p) <= LONGEST}
+    return {p: piece_score(r) for p, r in ranks.items()}
 
 
 class Vocabulary:
@@ -49,11 +50,15 @@ class Vocabulary:
 
     def __init__(self, scores: dict[bytes, int]) -> None:
         self.tables: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        self.longest = max(map(len, scores), default=0)
+        self.tails = np.zeros(1 << 18, bool)  # hashes of the last DEEP bytes of longer pieces
         by_length: dict[int, list[tuple[int, int]]] = {}
         for p, s in scores.items():
             h = np.zeros(1, U)
-            for c in reversed(p):
+            for n, c in enumerate(reversed(p), 1):
                 h = mix(h * self.STEP + U(c + 1))
+                if n == DEEP < len(p):
+                    self.tails[h >> U(46)] = True
             by_length.setdefault(len(p), []).append((int(h[0]), s))
         for n, rows in by_length.items():
             rows.sort()
@@ -85,7 +90,13 @@ class Vocabulary:
             parents.append(up[new])
             best, fewest = score[d - 1][up[new]] + BYTE, count[d - 1][up[new]] + 1
             h, at, level = np.zeros(int(new.sum()), U), np.arange(int(new.sum())), d
-            for n in range(1, min(d, LONGEST) + 1):
+            who = at
+            for n in range(1, min(d, self.longest) + 1):
+                if n == DEEP + 1:
+                    on = np.flatnonzero(self.tails[h >> U(46)])
+                    h, at, who = h[on], at[on], who[on]
+                    if not len(on):
+                        break
                 h = mix(h * self.STEP + letters[level][at].astype(U) + U(1))
                 at, level = parents[level][at], level - 1
                 if n in self.tables:
@@ -95,6 +106,7 @@ class Vocabulary:
                     ok = keys[place] == h[maybe]
                     maybe, place = maybe[ok], place[ok]
                     s, c = score[level][at[maybe]] + values[place], count[level][at[maybe]] + 1
+                    maybe = who[maybe]
                     better = (s > best[maybe]) | ((s == best[maybe]) & (c < fewest[maybe]))
                     best[maybe[better]], fewest[maybe[better]] = s[better], c[better]
             score.append(best)
