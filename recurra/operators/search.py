@@ -293,13 +293,23 @@ def nearest_vectors(vectors: DataFrame, queries: DataFrame, k: int, block: int =
             for f in frames:
                 if len(f):
                     x, own = np.stack(f["embedding"].to_numpy()).astype(np.float64), f["vec_id"].to_numpy()
-                    d = np.sqrt(np.maximum(0, (q**2).sum(1)[:, None] + (x**2).sum(1)[None, :] - 2 * q @ x.T))
-                    d[ids[:, None] == own[None, :]] = np.inf
-                    near = np.argsort(d, axis=1, kind="stable")[:, : 2 * k]
-                    rows = np.repeat(np.arange(len(ids)), near.shape[1])
-                    exact = np.sqrt(((q[rows] - x[near.ravel()]) ** 2).sum(1))
-                    keep = ids[rows] != own[near.ravel()]
-                    yield pd.DataFrame({"query_id": ids[rows][keep], "vec_id": own[near.ravel()][keep], "distance": exact[keep]})
+                    size = (q**2).sum(1)[:, None] + (x**2).sum(1)[None, :]
+                    square, error = size - 2 * q @ x.T, size * (4 * (q.shape[1] + 4) * np.finfo(float).eps)
+                    far = np.sqrt(np.maximum(0, square + error))
+                    far[ids[:, None] == own[None, :]] = np.inf
+                    last = np.partition(far, k - 1, axis=1)[:, k - 1] if len(own) >= k else np.full(len(ids), np.inf)
+                    # no row beyond the k-th, not even one that rounding makes its equal, can be nearer than this
+                    open_ = (np.sqrt(np.maximum(0, square - error)) <= last[:, None] + 2e-6) & (ids[:, None] != own[None, :])
+                    for i in range(len(ids)):
+                        near = np.flatnonzero(open_[i])
+                        exact = np.sqrt(((q[i] - x[near]) ** 2).sum(1))
+                        order = np.lexsort((own[near], exact))
+                        near, exact = near[order], exact[order]
+                        place = np.arange(len(near)) - np.searchsorted(exact, exact)  # among equals, by vec_id
+                        keep = place < k
+                        if len(near) >= k:
+                            keep &= exact <= exact[k - 1] + 2e-6
+                        yield pd.DataFrame({"query_id": ids[i], "vec_id": own[near[keep]], "distance": exact[keep]})
 
         part = vectors.mapInPandas(run, "query_id long, vec_id long, distance double")
         out = part if out is None else out.unionByName(part)
