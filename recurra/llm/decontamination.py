@@ -5,8 +5,9 @@ is one window. Windows of a text are hashed on its bytes; a bitmap of the items'
 binary search finds their items, and the words themselves are compared. Only a checked size of windows is broadcast:
 a larger benchmark is scanned in blocks of items, and the hits of a text, a few numbers each, are put together.
 
-Defined results: a null or empty text, or one without words, has n_words 0, n_hit 0 and is clean; a null or wordless
-item never occurs; repeated rows each return a row; equal items all count; with an empty benchmark all is clean; an
+Defined results: a null or empty text, or one without words, has n_words 0, n_hit 0 and is clean; an item
+of null or wordless text never occurs; the windows of an item with a null item_id count in n_hit, but it is no item of
+n_items and items_sha256; repeated rows each return a row; equal items all count; with an empty benchmark all is clean; an
 empty table gives no rows; other columns are left alone.
 """
 
@@ -33,7 +34,7 @@ SPAN = "array<struct<start:int,stop:int,item:string>>"
 class Windows:
     """Windows of items by length: sorted hashes with the window each stands for."""
 
-    def __init__(self, items: list[tuple[str, str]]) -> None:
+    def __init__(self, items: list[tuple[str | None, str]]) -> None:
         self.by_length: dict[int, list[tuple[int, bytes, str]]] = {}
         column = pa.array([t for _, t in items], pa.string())
         for first, data, starts, stops, hashes, rows in texts_words(column, ALPHANUMERIC):
@@ -79,7 +80,7 @@ def _verdict(n_words: int, spans: list[tuple[int, int, str]]) -> tuple[int, int,
         hit[a] += 1
         hit[b] -= 1
     n_hit = int((np.cumsum(hit) > 0).sum())
-    items = sorted({x for _, _, x in spans})
+    items = sorted({x for _, _, x in spans if x is not None})
     return n_hit, len(items), hashlib.sha256(",".join(items).encode()).hexdigest(), n_hit > 0 and 20 * n_hit >= n_words
 
 
@@ -125,7 +126,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, block_bytes: int = BLOC
     spark = docs.sparkSession
     judged = [x.split()[0] for x in JUDGED.split(", ")]
     keep = [c for c in docs.columns if c not in (*judged, "text")]
-    items = benchmark.where("item_id is not null and text is not null").select(F.col("item_id").cast("string").alias("item_id"), "text")
+    items = benchmark.where("text is not null").select(F.col("item_id").cast("string").alias("item_id"), "text")
     total = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     if total <= block_bytes:
         windows = spark.sparkContext.broadcast(Windows([tuple(r) for r in items.collect()]))
@@ -151,7 +152,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def without_spans(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """docs with the hit words of contaminated texts removed, from the first hit byte to the last of each span."""
-    items = benchmark.where("item_id is not null and text is not null").select(F.col("item_id").cast("string").alias("item_id"), "text")
+    items = benchmark.where("text is not null").select(F.col("item_id").cast("string").alias("item_id"), "text")
     total = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     if total > BLOCK_BYTES:
         raise ValueError(f"spans are removed for a benchmark of {BLOCK_BYTES} bytes at most; this one has {total}")
