@@ -22,13 +22,15 @@ the smallest doc_id (a null one last), then of the smallest row number.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from recurra.llm.bytewise import MASK, U, mix, shingle_set, texts_words
+from recurra.llm.bytewise import MASK, U, mix, shingle_set, texts_bounds, texts_words, word_classes
 from recurra.llm.components import components
 from recurra.llm.storage import written
 
@@ -37,7 +39,9 @@ LAST = (1 << 63) - 1
 #: A link: OVER * |intersection| >= UNDER * |union|.
 OVER, UNDER = 100, 75
 #: Texts in a block of members outside their pivot's component, and of members they are held against.
-MANY_X, MANY_Y = 256, 1024
+MANY_X, MANY_Y = 96, 384
+#: Bytes of pairs of texts whose words are compared together.
+PAIR_BYTES = 4 << 20
 #: Elements of several texts sketched together.
 TOGETHER = 1 << 16
 
@@ -77,25 +81,47 @@ def superminhash(sets: list[np.ndarray], bins: int = BINS) -> np.ndarray:
     return out
 
 
-def text_sets(column: pa.Array) -> Iterator[np.ndarray]:
-    """The shingle set of each text."""
-    for _, _, _, _, hashes, rows in texts_words(column):
+def hashed_sets(column: pa.Array) -> Iterator[tuple[np.ndarray, tuple[int, int]]]:
+    """The shingle hashes of each text, and 128 bits of a cryptographic digest of those and of its distinct words."""
+    for _, data, starts, stops, hashes, rows in texts_words(column):
         for a, b in zip(rows[:-1], rows[1:]):
-            yield shingle_set(hashes[a:b], WORDS)
-
-
-def digest(elements: np.ndarray) -> tuple[int, int]:
-    """128 bits of a set; its size is in them."""
-    tail = len(elements) * 0x9FB21C651E98DF25
-    sums = [int(mix(elements + U(k)).sum(dtype=U)) + tail for k in (0x632BE59BD9B4E019, 0x2545F4914F6CDD1D)]
-    return tuple(mix(np.array([x & MASK for x in sums], U)).view(np.int64).tolist())
+            elements = shingle_set(hashes[a:b], WORDS)
+            _, at = np.unique(hashes[a:b], return_index=True)
+            n = stops[a:b][at] - starts[a:b][at]
+            first = np.cumsum(n) - n
+            place = np.arange(n.sum()) + np.repeat(starts[a:b][at] - first, n)
+            sums = blake2b(elements.tobytes(), digest_size=16)
+            sums.update(n.tobytes())
+            sums.update(data[place].tobytes())
+            yield elements, tuple(np.frombuffer(sums.digest(), np.int64).tolist())
+
+
+def exact_sets(*columns: pa.Array) -> list[np.ndarray]:
+    """The shingles of each text as sorted numbers: equal numbers are equal words, compared byte by byte."""
+    whole = pa.concat_arrays([c.cast(pa.large_string()) for c in columns])
+    out: list[np.ndarray] = []
+    for _, data, starts, stops, rows in texts_bounds(whole, most=None):
+        first, word = word_classes(data, starts, stops)
+        none, n = len(first), np.diff(rows)
+        owner = np.repeat(np.arange(len(n)), n)
+        ends = rows[owner + 1]
+        place = np.arange(len(word))
+        number = word.astype(np.int64)
+        for k in range(1, WORDS):  # runs of k + 1 words, numbered anew at each step so that the numbers stay small
+            following = np.where(place + k < ends, word[np.minimum(place + k, len(word) - 1)], none)
+            number = np.unique(number * (none + 1) + following, return_inverse=True)[1].astype(np.int64)
+        begins = place < np.maximum(ends - WORDS + 1, rows[owner] + 1)
+        number, owner = number[begins], owner[begins]
+        cuts = np.searchsorted(owner, np.arange(len(n) + 1))
+        out += [np.unique(number[a:b]) for a, b in zip(cuts[:-1], cuts[1:])]
+    return out
 
 
 def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    def out(rows, sets):
+    def out(rows, sets, keys):
         signature = superminhash(sets)
         n = np.array([len(s) for s in sets], np.int64)
-        keys = np.array([digest(s) for s in sets], np.int64).reshape(-1, 2)
+        keys = np.array(keys, np.int64).reshape(-1, 2)
         bits = np.ascontiguousarray(signature).view(U).reshape(len(sets), BANDS, ROWS)
         band = np.broadcast_to(np.arange(BANDS, dtype=U) * U(0xD1B54A32D192ED03), bits.shape[:2]).copy()
         for r in range(ROWS):
@@ -107,30 +133,37 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
     for batch in batches:
-        sets, first, held = [], 0, 0
-        for s in text_sets(batch.column("text")):
+        sets, keys, first, held = [], [], 0, 0
+        for s, k in hashed_sets(batch.column("text")):
             sets.append(s)
+            keys.append(k)
             held += len(s)
             if held >= TOGETHER:
-                yield out(batch.slice(first, len(sets)), sets)
-                first, sets, held = first + len(sets), [], 0
+                yield out(batch.slice(first, len(sets)), sets, keys)
+                first, sets, keys, held = first + len(sets), [], [], 0
         if sets:
-            yield out(batch.slice(first, len(sets)), sets)
+            yield out(batch.slice(first, len(sets)), sets, keys)
 
 
 def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Sizes of intersection and union of the full sets of pairs of texts."""
     for batch in batches:
-        both = np.empty((batch.num_rows, 2), np.int64)
-        for i, (x, y) in enumerate(zip(text_sets(batch.column("ta")), text_sets(batch.column("tb")))):
-            same = len(np.intersect1d(x, y, assume_unique=True))
-            both[i] = same, len(x) + len(y) - same
-        yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(both[:, 0]), pa.array(both[:, 1])], ["a", "b", "common", "total"])
+        bytes_ = np.cumsum(sum(pc.binary_length(batch.column(c)).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("ta", "tb")))
+        at = 0
+        while at < batch.num_rows:
+            to = max(at + 1, int(np.searchsorted(bytes_, (bytes_[at - 1] if at else 0) + PAIR_BYTES, side="right")))
+            part = batch.slice(at, to - at)
+            sets = exact_sets(part.column("ta"), part.column("tb"))
+            n = part.num_rows
+            same = np.array([len(np.intersect1d(x, y, assume_unique=True)) for x, y in zip(sets[:n], sets[n:])], np.int64)
+            both = np.array([len(x) + len(y) for x, y in zip(sets[:n], sets[n:])], np.int64)
+            yield pa.RecordBatch.from_arrays([part.column("a"), part.column("b"), pa.array(same), pa.array(both - same)], ["a", "b", "common", "total"])
+            at = to
 
 
 def _bridges(key: tuple, rows: pa.Table) -> pa.Table:
     """Links between different components in a block: (a, b) are the components."""
-    sets = list(text_sets(rows.column("text").combine_chunks()))
+    sets = exact_sets(*rows.column("text").chunks)
     outside, home = np.array(rows.column("x")), np.array(rows.column("c"))
     x, y = np.flatnonzero(outside), np.flatnonzero(~outside)
     found: set[tuple[int, int]] = set()

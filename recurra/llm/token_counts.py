@@ -21,7 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from recurra.llm.bytewise import NOT_SPACE, U, batches as byte_batches, mix, word_bounds, word_hashes
+from recurra.llm.bytewise import NOT_SPACE, U, batches as byte_batches, mix, word_bounds, word_classes
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Bytes of the longest piece of VOCABULARY, and those after which only ends of still longer pieces are followed.
@@ -121,7 +121,7 @@ class Vocabulary:
         for _, data, ends in byte_batches(column, BLOCK):
             starts, stops = word_bounds(data, ends, NOT_SPACE)
             rows = np.searchsorted(starts, ends)
-            _, first, which = np.unique(word_hashes(data, starts, stops), return_index=True, return_inverse=True)
+            first, which = word_classes(data, starts, stops)
             tokens = self.counts([data[starts[i] : stops[i]].tobytes() for i in first]) if len(first) else np.zeros(0, np.int64)
             upto = np.concatenate([[0], np.cumsum(tokens[which])]) if len(which) else np.zeros(1, np.int64)
             yield np.diff(rows), np.diff(upto[rows])

@@ -61,11 +61,46 @@ def test_words_and_shingles_by_hand():
         assert got == [[w.lower() for w in cut(t)] for t in column.to_pylist()]
 
 
-def test_long_texts_are_cut_between_words(monkeypatch):
-    column = pa.array([LONG, "x " * 100])
-    whole = [h.tolist() for *_, h, _ in bytewise.texts_words(column)]
-    monkeypatch.setattr(bytewise, "BLOCK", 100)
-    assert [h.tolist() for *_, h, _ in bytewise.texts_words(column)] == whole
+def drift(n: int) -> str:
+    """The Thue-Morse word: it and its mirror have one hash under any polynomial modulo a power of two."""
+    return "".join("ab"[i.bit_count() & 1] for i in range(n))
+
+
+MIRROR = str.maketrans("ab", "ba")
+TWINS = [(drift(n), drift(n).translate(MIRROR)) for n in (1024, 2048, 8192)]
+
+
+def test_words_that_fool_polynomial_hashes():
+    for x, y in TWINS:
+        for _, _, _, _, hashes, _ in bytewise.texts_words(pa.array([f"{x} {y}"])):
+            assert hashes[0] != hashes[1]
+
+
+def test_word_classes_go_by_bytes(monkeypatch):
+    """Also when different words have one hash."""
+    import numpy as np
+
+    monkeypatch.setattr(bytewise, "word_hashes", lambda data, starts, stops: (stops - starts).astype(np.uint64) % 2)
+    words = ["a", "b", "ccc", "a", "b", "z" * 70, "y" * 70, "z" * 70, "ccc", "z" * 69 + "q", "ab" * 8, "ab" * 7 + "ac"]
+    data, ends = np.frombuffer(" ".join(words).encode(), np.uint8), np.cumsum([len(w) + 1 for w in words]) - 1
+    starts = ends - [len(w) for w in words]
+    first, which = bytewise.word_classes(data, starts, ends)
+    assert [words[first[k]] for k in which] == words and len(set(which.tolist())) == len(set(words))
+
+
+def test_exact_sets_are_sets_of_word_sequences():
+    texts = [d[1] for d in DOCS[:9]] + [f"{a} {b} x y z" for a, b in TWINS] + [f"{b} {a} x y z" for a, b in TWINS]
+    sets = near_dedup.exact_sets(pa.array(texts[:4]), pa.array(texts[4:]))
+    for a, x in zip(texts, sets):
+        for b, y in zip(texts, sets):
+            plain = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set() for w in ([q.lower() for q in split(t)] for t in (a, b))]
+            assert len(set(x.tolist()) & set(y.tolist())) == len(plain[0] & plain[1])
+
+
+def test_near_dedup_compares_words(spark):
+    rows = [(10 * i + j, t) for i, (x, y) in enumerate(TWINS) for j, t in enumerate((f"{x} p q r s", f"{y} p q r s", x, y))]
+    got = {r["doc_id"]: r["component_id"] for r in near_dedup.near_classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {i: i for i, _ in rows}
 
 
 def test_mixing(docs, labels, empty):
@@ -148,6 +183,14 @@ def test_near_dedup(spark, docs, empty):
         if r["doc_id"] in plain:
             assert (r["n_shingles"], r["component_id"]) == plain[r["doc_id"]], r
     assert near_dedup.near_classes(empty).count() == 0 and near_dedup.near_dedup(docs).columns == docs.columns
+    # rows that share an id, or have none: each text is in its own class
+    by_text = near_by_hand([(i, t) for i, t in enumerate(sorted({d[1] or "" for d in DOCS}))])
+    ids = defaultdict(list)
+    for i, t in enumerate(sorted({d[1] or "" for d in DOCS})):
+        ids[by_text[i][1] if by_text[i][0] else -1 - i] += [d[0] for d in DOCS if (d[1] or "") == t]
+    want = Counter((d, min((x for x in own if x is not None), default=None) if k >= 0 else d) for k, own in ids.items() for d in own)
+    assert Counter((r["doc_id"], r["component_id"]) for r in rows) == want
+    assert sum(r["kept"] for r in rows) == sum(len(own) if k < 0 else 1 for k, own in ids.items())
 
 
 def test_near_dedup_finds_chains_of_edits(spark):
