@@ -1,63 +1,100 @@
 """Line dedup: a segment-partition edit join over the distinct lines of all texts.
 
-Lines are cut at line feeds, without white space at their ends. Lines of LEAST characters and more with an edit
-distance of at most EDITS are linked; shorter ones must be equal. A line cut into EDITS + 1 segments keeps one of them
-whole under EDITS edits, so every line gives its segments to an index, keyed by (length, segment, hash), and probes the
-keys of the lengths within EDITS with the substrings that could be that segment: those that begin within EDITS of
-its place. Candidates are verified with an edit distance whose states, the diagonals within EDITS, are bits of one number.
-
-A key that many lines share is never expanded into pairs. Its lines go, by hash, to blocks of PER_BLOCK; a block of
-probes meets a block of the index in one task and only confirmed links leave it. Linked lines form classes. Of a class
-the first line of all texts stays, in the order of doc_id and place; white-space lines always stay.
-
-Lines are known by a 64-bit digest: of n distinct lines about n * n / 2**65 pairs are taken for equal wrongly.
-
-Defined results: a null text counts as empty (no lines that count); repeated rows are one text as to its lines, so their
-lines stay in each; a null doc_id comes first; an empty table gives no rows; other columns are left alone.
+Lines are cut at line feeds, without white space at their ends. Two lines are linked if their edit distance, in code
+points, is at most what the shorter one's length allows (EDITS). A line that allows e edits is cut into e + 1 segments;
+under e edits one of them stays whole, so every line gives its segments to an index, keyed by (length, segment, hash),
+and probes the keys of shorter lengths with the substrings that could be that segment (those of the multi-match-aware
+selection). Lines of one length meet in the index itself. Hashes of substrings are differences of prefix sums, so all
+keys of a batch are made by array arithmetic. They only propose pairs: a pair is verified on its texts, with an edit
+distance whose states, the diagonals within reach, are bits of one number for each pair, for all pairs of a task at once.
+
+Keys are dealt out once, sorted, and read in order: a key goes on only if it has an indexed line and another line. A key
+that many lines of one batch have is dealt over SALTS tasks. A key that many lines share is never expanded into pairs:
+its lines go, by hash, to blocks of PER_BLOCK; two blocks meet in one task and only a forest of the links leaves it.
+Linked lines form classes. Of a class the first line of all texts stays, in the order of doc_id and place; white-space
+lines always stay.
+
+Equal lines are known by a 128-bit cryptographic digest: for 10**12 distinct lines a wrong merge has a chance of 1.5e-15.
+
+Defined results: a null text counts as empty (no lines that count); rows are told apart by a number, so repeated rows and
+rows that share a doc_id, or have none, are texts of their own; a null doc_id comes first; of rows with one doc_id the
+order is that of a hash of their texts; an empty table gives no rows; other columns are left alone.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from hashlib import blake2b
 from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from recurra.llm.bytewise import STEP, U, mix
 from recurra.llm.components import components
-from recurra.llm.storage import written
+from recurra.llm.storage import forget, written
 
-EDITS, LEAST = 1, 24
+#: (characters, edits): what lines of so many characters and more allow. Shorter lines than the first must be equal.
+EDITS = ((8, 1), (80, 2), (160, 3), (320, 4))
+MOST = max(e for _, e in EDITS)
 #: Lines of a crowded key that meet in a task; a key with more pairs than that squared over 16 is crowded.
 PER_BLOCK = 512
-
-
-def edit_distance(a: str, b: str, most: int) -> int:
-    """Levenshtein distance, or most + 1 if it is larger. reach[e]: bit d is set if e edits lead to diagonal d - most."""
-    shift = len(b) - len(a)
-    if abs(shift) > most:
-        return most + 1
-    n = min(len(a), len(b))
-    head = next((i for i in range(n) if a[i] != b[i]), n)
-    tail = next((i for i in range(n - head) if a[-1 - i] != b[-1 - i]), n - head)
-    a, b = a[head : len(a) - tail], b[head : len(b) - tail]
-    width = (1 << (2 * most + 1)) - 1
-    reach = [((1 << (e + 1)) - 1) << most & width for e in range(most + 1)]
-    for i, c in enumerate(a):
-        same = sum(1 << k for k in range(2 * most + 1) if 0 <= i + k - most < len(b) and b[i + k - most] == c)
-        new: list[int] = []
-        for e in range(most + 1):
-            x = reach[e] & same
-            if e:
-                x |= reach[e - 1] | reach[e - 1] >> 1 | new[e - 1] << 1
-            new.append(x & width)
-        reach = new
-        if not any(reach):
-            return most + 1
-    return next((e for e in range(most + 1) if reach[e] >> (shift + most) & 1), most + 1)
+#: A key of more lines of one batch is dealt over so many tasks.
+LOCAL, SALTS = 16, 64
+#: Code points whose keys are made together, and pairs that are verified together.
+TOGETHER, PAIRS = 1 << 21, 1 << 15
+INDEXED = -(1 << 63)
+
+
+def allowed(n: np.ndarray) -> np.ndarray:
+    """Edits that lines of n characters allow."""
+    out = np.zeros(len(n), np.int64)
+    for least, edits in EDITS:
+        out[n >= least] = edits
+    return out
+
+
+def _points(lines: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Code points of all lines, and each line's start and length."""
+    size = np.array([len(x) for x in lines], np.int64)
+    return np.frombuffer("".join(lines).encode("utf-32-le", "surrogatepass"), np.uint32), np.cumsum(size) - size, size
+
+
+def within(a: list[str], b: list[str]) -> np.ndarray:
+    """Whether each pair of lines is linked. reach[e] of a pair: bit d is set if e edits lead to diagonal d - MOST."""
+    (pa_, sa, na), (pb, sb, nb) = _points(a), _points(b)
+    most = allowed(np.minimum(na, nb))
+    shift, out = nb - na, np.zeros(len(a), bool)
+    live = np.flatnonzero(np.abs(shift) <= most)
+    width = 2 * MOST + 1
+    pb = np.concatenate([np.full(MOST, 0xFFFFFFFF, np.uint32), pb, np.full(width, 0xFFFFFFFF, np.uint32)])
+    start = [((1 << (e + 1)) - 1) << MOST & (1 << width) - 1 for e in range(MOST + 1)]
+    reach = np.tile(np.array(start, np.uint16)[:, None], (1, len(live)))
+    full, i = np.uint16((1 << width) - 1), 0
+    while len(live):
+        done = na[live] == i
+        if done.any():
+            at = live[done]
+            out[at] = reach[most[at], np.flatnonzero(done)] >> (shift[at] + MOST).astype(np.uint16) & 1
+            live, reach = live[~done], reach[:, ~done]
+            continue
+        c, same = pa_[sa[live] + i], np.zeros(len(live), np.uint16)
+        for k in range(width):
+            j = i + k - MOST
+            near = (pb[sb[live] + j + MOST] == c) & (j < nb[live]) & (j >= 0)
+            same |= near.astype(np.uint16) << np.uint16(k)
+        new = reach & same
+        for e in range(1, MOST + 1):
+            new[e] |= reach[e - 1] | reach[e - 1] >> np.uint16(1) | new[e - 1] << np.uint16(1)
+            new[e] &= full
+        reach, i = new, i + 1
+        if i % 8 == 0:
+            alive = reach[most[live], np.arange(len(live))] != 0
+            live, reach = live[alive], reach[:, alive]
+    return out
 
 
 def segments(n: int, edits: int) -> list[tuple[int, int]]:
@@ -66,21 +103,51 @@ def segments(n: int, edits: int) -> list[tuple[int, int]]:
     return list(pairwise(cuts))
 
 
-def keys_of(line: str, edits: int = EDITS) -> tuple[list[int], list[int]]:
-    """The keys a line is indexed under, and those it is looked up under among lines that are no longer."""
-    n = len(line)
-    key = lambda k, i, piece: xxhash.xxh3_64_intdigest(f"{k}:{i}:{piece}") - (1 << 63)
-    index = [key(n, i, line[a:b]) for i, (a, b) in enumerate(segments(n, edits))]
-    probe = set()
-    for k in range(max(LEAST, n - edits), n + 1):
-        for i, (a, b) in enumerate(segments(k, edits)):
-            for at in range(max(0, a - (edits - (n - k)) // 2), min(n - (b - a), a + (edits + n - k) // 2) + 1):
-                probe.add(key(k, i, line[at : at + b - a]))
-    return index, sorted(probe)
+def keys_of(lines: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray, bool]]:
+    """(keys, numbers of the lines that have them, whether these are the index) of lines."""
+    points, start, n = _points(lines)
+    power = np.concatenate([np.ones(1, U), np.full(len(points), STEP, U)]).cumprod(dtype=U)
+    back = np.concatenate([np.ones(1, U), np.full(len(points), pow(STEP, -1, 1 << 64), U)]).cumprod(dtype=U)
+    sums = np.concatenate([np.zeros(1, U), (mix(points.astype(U) + U(1)) * power[:-1]).cumsum(dtype=U)])
+
+    def key(who: np.ndarray, k: np.ndarray, i: int, at: np.ndarray, long: np.ndarray) -> np.ndarray:
+        a = start[who] + at
+        return mix((sums[a + long] - sums[a]) * back[a] ^ mix(k.astype(U) * U(MOST + 1) + U(i))).view(np.int64)
+
+    own = allowed(n)
+    for edits in sorted({e for _, e in EDITS}):
+        who = np.flatnonzero(own == edits)
+        for i in range(edits + 1):
+            a, b = n[who] * i // (edits + 1), n[who] * (i + 1) // (edits + 1)
+            yield key(who, n[who], i, a, b - a), who, True
+        for less in range(edits + 1):
+            who = np.flatnonzero(allowed(n - less) == edits)
+            k = n[who] - less
+            for i in range(edits + 1):
+                a, b = k * i // (edits + 1), k * (i + 1) // (edits + 1)
+                for by in range(max(-i, less - (edits - i)), min(i, less + edits - i) + 1):
+                    if less or by:  # else it is the segment itself
+                        ok = (a + by >= 0) & (b + by <= n[who])
+                        yield key(who[ok], k[ok], i, a[ok] + by, (b - a)[ok]), who[ok], False
+
+
+def groups_of(lines: list[str]) -> Iterator[list[str]]:
+    """Runs of lines of about TOGETHER code points."""
+    upto = np.cumsum([len(x) for x in lines])
+    at = 0
+    while at < len(lines):
+        to = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + TOGETHER, side="right")))
+        yield lines[at:to]
+        at = to
 
 
-def _id(line: str) -> int:
-    return xxhash.xxh3_64_intdigest(line) - (1 << 63)
+def digest(line: str) -> bytes:
+    return blake2b(line.encode("utf-8", "surrogatepass"), digest_size=16).digest()
+
+
+def _short(line: str) -> int:
+    """63 bits that stand for a line while pairs are looked for."""
+    return xxhash.xxh3_64_intdigest(line) >> 1
 
 
 def _split(text: str | None) -> Iterator[tuple[int, str]]:
@@ -90,115 +157,200 @@ def _split(text: str | None) -> Iterator[tuple[int, str]]:
 
 
 def _places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """doc_id, place and id of each line."""
+    """row, doc_id, hash of the text, place and digest of each line; a text without lines has one of place -1."""
+    names = ["row", "doc_id", "hash", "place", "d1", "d2"]
     for batch in batches:
-        rows = [(d, p, _id(line)) for d, t in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()) for p, line in _split(t)]
-        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int64(), pa.int32(), pa.int64()))], ["doc_id", "place", "id"])
+        texts = batch.column("text").to_pylist()
+        count, place, digests, hashes = np.zeros(len(texts), np.int64), [], [], np.zeros(len(texts), np.int32)
+        for r, text in enumerate(texts):
+            hashes[r] = xxhash.xxh3_64_intdigest(text or "") >> 33
+            own = list(_split(text)) or [(-1, "")]
+            count[r] = len(own)
+            place += [p for p, _ in own]
+            digests += [digest(x) for _, x in own]
+        who = pa.array(np.repeat(np.arange(len(texts)), count))
+        both = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2)
+        yield pa.RecordBatch.from_arrays([*[batch.column(c).take(who) for c in ("row", "doc_id")], pa.array(hashes).take(who), pa.array(place, pa.int32()), pa.array(both[:, 0]), pa.array(both[:, 1])], names)
+
+
+def _distinct(column: pa.Array) -> list[str]:
+    """Distinct lines of texts that allow an edit."""
+    return list({line for t in column.to_pylist() for _, line in _split(t) if len(line) >= EDITS[0][0]})
 
 
 def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """id and text of the distinct lines of each batch that are long enough for edits."""
     for batch in batches:
-        lines = list({line for t in batch.column("text").to_pylist() for _, line in _split(t) if len(line) >= LEAST})
-        yield pa.RecordBatch.from_arrays([pa.array([_id(x) for x in lines], pa.int64()), pa.array(lines, pa.string())], ["id", "line"])
+        lines = _distinct(batch.column("text"))
+        both = np.frombuffer(b"".join(map(digest, lines)), np.int64).reshape(-1, 2)
+        yield pa.RecordBatch.from_arrays([pa.array([_short(x) for x in lines], pa.int64()), pa.array(both[:, 0]), pa.array(both[:, 1]), pa.array(lines, pa.string())], ["id", "d1", "d2", "line"])
 
 
 def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """key, salt and ref (a line's number, INDEXED added for the index) of each key of each distinct line of a run of lines.
+
+    A key of more than LOCAL lines has salts from 1 to SALTS, and a row of the index and one of a probe, of no line, at salt 0.
+    """
+    for batch in batches:
+        for lines in groups_of(_distinct(batch.column("text"))):
+            short = np.array([_short(x) for x in lines], np.int64)
+            parts = list(keys_of(lines))
+            key = np.concatenate([k for k, _, _ in parts])
+            ref = np.concatenate([short[who] + (INDEXED if indexed else 0) for _, who, indexed in parts])
+            order = np.argsort(key)
+            key, ref = key[order], ref[order]
+            begins = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+            n = np.diff(np.append(begins, len(key)))
+            signs = key[begins[n > LOCAL]]
+            salt = np.where(np.repeat(n > LOCAL, n), 1 + (mix(ref.view(U)) % U(SALTS)).astype(np.int64), 0)
+            key, ref = np.concatenate([key, signs, signs]), np.concatenate([ref, np.full(len(signs), INDEXED), np.full(len(signs), -1)])
+            salt = np.concatenate([salt, np.zeros(2 * len(signs), np.int64)]).astype(np.int16)
+            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(salt), pa.array(ref)], ["key", "salt", "ref"])
+
+
+def _meeting(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows in the order of (key, salt, ref): those of keys with an indexed line and another line; all that are salted."""
+    held: tuple[int, int, int] | None = None  # (key, salt, ref) of the last run's only ref so far
+    last: tuple[int, int] | None = None  # (key, salt) of the last row, if its run goes on
     for batch in batches:
-        lines = {line for t in batch.column("text").to_pylist() for _, line in _split(t) if len(line) >= LEAST}
-        rows = [(k, i, role) for line in lines for i in (_id(line),) for role, keys in enumerate(keys_of(line)) for k in keys]
-        yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.int8())], ["key", "id", "role"])
+        key, salt, ref = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("key", "salt", "ref"))
+        if not len(key):
+            continue
+        if held is not None:
+            key, salt, ref = np.append(held[0], key), np.append(held[1], salt), np.append(held[2], ref)
+        begins = np.concatenate([[True], (key[1:] != key[:-1]) | (salt[1:] != salt[:-1])])
+        number = np.cumsum(begins) - 1
+        first = np.flatnonzero(begins)
+        several = np.zeros(len(first), bool)
+        several[number[ref != ref[first][number]]] = True
+        indexed = ref[first] < -1  # the index comes first in a run; -1 is the probe of no line
+        alive = (several & indexed) | (salt[first] > 0)
+        if last is not None and held is None and last == (int(key[0]), int(salt[0])):
+            alive[0] = last_alive
+        tail = (int(key[-1]), int(salt[-1]))
+        last, last_alive, held = tail, bool(alive[-1]), None
+        keep = alive[number]
+        if not last_alive and indexed[-1]:  # one line of the index so far
+            held = (*tail, int(ref[-1]))
+        keep &= (ref != INDEXED) & (ref != -1)
+        keep[1:] &= (ref[1:] != ref[:-1]) | begins[1:]  # a line that several batches have
+        yield pa.RecordBatch.from_arrays([pa.array(key[keep]), pa.array(ref[keep])], ["key", "ref"])
 
 
 def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        ok = [edit_distance(x, y, EDITS) <= EDITS for x, y in zip(batch.column("la").to_pylist(), batch.column("lb").to_pylist())]
-        yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
+        for at in range(0, batch.num_rows, PAIRS):
+            part = batch.slice(at, PAIRS)
+            yield part.select(["a", "b"]).filter(pa.array(within(part.column("la").to_pylist(), part.column("lb").to_pylist()), pa.bool_()))
 
 
 def _block(_: tuple, rows: pa.Table) -> pa.Table:
-    """A forest of the links between the probes (role 1) and the indexed lines (role 0) of one block."""
-    ids, role, lines = rows.column("id").to_pylist(), np.array(rows.column("role")), rows.column("line").to_pylist()
-    top = {i: i for i in ids}
+    """A forest of the links between the lines of one side (0) and those of the other (1) of a block."""
+    nodes, side, lines = rows.column("node").to_pylist(), np.array(rows.column("side"), np.int8), rows.column("line").to_pylist()
+    top = {i: i for i in nodes}
 
     def find(i: int) -> int:
         while top[i] != i:
             top[i] = i = top[top[i]]
         return i
 
-    x, y = np.flatnonzero(role == 1), np.flatnonzero(role == 0)
-    points = [np.frombuffer(line.encode("utf-32-le"), np.uint32) for line in lines]
-    wide = max((len(points[i]) for i in y), default=0)
-    left, right = np.zeros((len(y), wide + 1), np.uint32), np.zeros((len(y), wide + 1), np.uint32)
-    for r, i in enumerate(y):
-        left[r, : len(points[i])], right[r, : len(points[i])] = points[i], points[i][::-1]
-    size, out = np.array([len(points[i]) for i in y]), []
-    for i in x:
-        n = min(wide, len(points[i]))
-        head, tail = ((m[:, :n] != p[:n]).argmax(axis=1) + n * (m[:, :n] == p[:n]).all(axis=1) for m, p in ((left, points[i]), (right, points[i][::-1])))
-        # one edit or none leaves all but one character to the common head and tail; more edits are tried one by one
-        near = head + tail >= np.maximum(size, len(points[i])) - 1 if EDITS == 1 else np.ones(len(y), bool)
-        for j in np.flatnonzero(near):
-            a, b = find(ids[i]), find(ids[y[j]])
-            if a != b and edit_distance(lines[i], lines[y[j]], EDITS) <= EDITS:
+    x, y = np.flatnonzero(side == 1), np.flatnonzero(side == 0)
+    out = []
+    step = max(1, PAIRS // max(1, len(y)))
+    for at in range(0, len(x), step):
+        left, right = np.repeat(x[at : at + step], len(y)), np.tile(y, len(x[at : at + step]))
+        apart = np.array([find(nodes[i]) for i in x[at : at + step]])[:, None] != np.array([find(nodes[j]) for j in y])[None, :]
+        left, right = left[apart.reshape(-1)], right[apart.reshape(-1)]
+        ok = within([lines[i] for i in left], [lines[j] for j in right])
+        for i, j in zip(left[ok], right[ok]):
+            a, b = find(nodes[i]), find(nodes[j])
+            if a != b:
                 top[max(a, b)] = min(a, b)
-                out.append((min(ids[i], ids[y[j]]), max(ids[i], ids[y[j]])))
+                out.append((min(nodes[i], nodes[j]), max(nodes[i], nodes[j])))
     return pa.table({"a": pa.array([p for p, _ in out], pa.int64()), "b": pa.array([q for _, q in out], pa.int64())})
 
 
-def line_links(docs: DataFrame) -> DataFrame:
-    """Links (a, b) of line ids whose components are those of all pairs of lines within EDITS.
+def line_links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Lines (node, d1, d2) that may be linked, and links (a, b) of nodes with the components that all links have.
 
     Texts stay where they are until it is known which lines have a key in common with another; only theirs are moved.
     """
     texts = docs.select("text")
-    keys = written(texts.mapInArrow(_keys, "key long, id long, role byte"), "line-keys")
-    stats = keys.groupBy("key").agg(F.min("id").alias("least"), F.max("id").alias("most"), F.sum("role").alias("probes"), F.count("*").alias("n"))
-    stats = stats.where("least < most and probes > 0 and n > probes").select("key", (F.col("n") - F.col("probes")).alias("indexed"), "probes")
-    full = written(keys.join(stats, "key").distinct(), "line-members")
+    keys = texts.mapInArrow(_keys, "key long, salt short, ref long").repartition("key", "salt").sortWithinPartitions("key", "salt", "ref")
+    full = written(keys.mapInArrow(_meeting, "key long, ref long").distinct().select("key", F.col("ref").bitwiseAND((1 << 63) - 1).alias("id"), (F.col("ref") < 0).alias("indexed")), "line-members")
     wanted = written(full.select("id").distinct(), "line-wanted")
-    few = wanted.count() <= 2_000_000  # so many ids are 16 MB; beyond, the ids are joined by a shuffle
-    lines = written(texts.mapInArrow(_texts, "id long, line string").join(F.broadcast(wanted) if few else wanted, "id", "left_semi").distinct(), "line-texts")
-    crowded = F.col("indexed") * F.col("probes") > PER_BLOCK * PER_BLOCK // 16
-    few = full.where(~crowded)
-    x, y = few.where("role = 1").select("key", F.col("id").alias("x")), few.where("role = 0").select("key", F.col("id").alias("y"))
-    pairs = x.join(y, "key").where("x != y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-    la, lb = (lines.select(F.col("id").alias(c), F.col("line").alias(f"l{c}")) for c in "ab")
+    few = wanted.count() <= 2_000_000  # so many numbers are 16 MB; beyond, they are joined by a shuffle
+    lines = texts.mapInArrow(_texts, "id long, d1 long, d2 long, line string").join(F.broadcast(wanted) if few else wanted, "id", "left_semi").distinct()
+    lines = written(lines.withColumn("node", F.monotonically_increasing_id()), "line-texts")
+    forget(wanted)
+    stats = full.groupBy("key").agg(F.count_if("indexed").alias("own"), F.count("*").alias("n")).where("own > 0 and n > 1")
+    placed = written(full.join(stats, "key").join(lines.select("id", "node"), "id"), "line-placed")
+    forget(full)
+    crowded = F.col("own") * F.col("n") > PER_BLOCK * PER_BLOCK // 16
+    some = placed.where(~crowded)
+    x, y = some.select("key", F.col("node").alias("x"), F.col("indexed").alias("too")), some.where("indexed").select("key", F.col("node").alias("y"))
+    pairs = x.join(y, "key").where("x != y and (not too or x < y)").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    la, lb = (lines.select(F.col("node").alias(c), F.col("line").alias(f"l{c}")) for c in "ab")
     links = pairs.join(la, "a").join(lb, "b").select("a", "b", "la", "lb").mapInArrow(_verified, "a long, b long")
-    bi, bj = (F.ceil(F.col(c) / PER_BLOCK).cast("int") for c in ("probes", "indexed"))
-    part = lambda n: F.pmod(F.xxhash64("id"), n).cast("int")
+    parts = lambda c: F.ceil(F.col(c) / PER_BLOCK).cast("int")
+    part = lambda n: F.pmod(F.xxhash64("node"), n).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
-    many = full.where(crowded)
-    sides = many.where("role = 1").select("key", "id", "role", part(bi).alias("i"), every(bj).alias("j")).unionByName(many.where("role = 0").select("key", "id", "role", every(bi).alias("i"), part(bj).alias("j")))
-    blocks = sides.join(lines, "id").groupBy("key", "i", "j").applyInArrow(_block, "a long, b long")
-    return links.unionByName(blocks).distinct()
+    many = placed.where(crowded)
+    sides = many.select("key", "node", F.lit(1).cast("byte").alias("side"), part(parts("n")).alias("i"), every(parts("own")).alias("j"))
+    sides = sides.unionByName(many.where("indexed").select("key", "node", F.lit(0).cast("byte").alias("side"), every(parts("n")).alias("i"), part(parts("own")).alias("j")))
+    blocks = sides.join(lines.select("node", "line"), "node").groupBy("key", "i", "j").applyInArrow(_block, "a long, b long")
+    out = written(links.unionByName(blocks).distinct(), "line-links")
+    forget(placed)
+    return lines, out
 
 
-def line_marks(docs: DataFrame) -> DataFrame:
-    """doc_id, place, dropped for each line that is more than white space; places count from 0."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    at = written(rows.mapInArrow(_places, "doc_id long, place int, id long"), "line-places")
+def _order() -> Column:
     wide = lambda c: c.cast("decimal(38,0)")
-    order = (wide(F.coalesce("doc_id", F.lit(-(1 << 63)))) * wide(F.lit(1 << 31)) + wide(F.col("place"))).cast("decimal(38,0)")
-    label = components(written(line_links(rows), "line-links")).withColumnRenamed("node", "id")
-    firsts = at.groupBy("id").agg(F.min(order).alias("first"))
-    firsts = firsts.join(label, "id", "left").withColumn("class", F.coalesce("component", "id")).drop("component")
-    best = firsts.groupBy("class").agg(F.min("first").alias("first"))
-    stays = firsts.select("id", "class").join(best, "class").select("id", "first")
-    return at.join(stays, "id").select("doc_id", "place", (order != F.col("first")).alias("dropped"))
+    bits = lambda n: wide(F.lit(str(1 << n)))
+    return ((wide(F.coalesce("doc_id", F.lit(INDEXED))) * bits(31) + wide(F.col("hash"))) * bits(31) + wide(F.col("place"))).cast("decimal(38,0)")
+
+
+def line_classes(rows: DataFrame) -> DataFrame:
+    """row, doc_id, place, first_doc, first_place, dropped for each line of rows (row, doc_id, text); place -1 and no class for texts without lines."""
+    at = written(rows.mapInArrow(_places, "row long, doc_id long, hash int, place int, d1 long, d2 long"), "line-places")
+    lines, links = line_links(rows)
+    label = components(links)
+    label = label.join(lines.select("node", "d1", "d2"), "node").drop("node")
+    order = _order()
+    firsts = at.where("place >= 0").groupBy("d1", "d2").agg(F.min(order).alias("first"), F.min_by("row", order).alias("row0"), F.min_by("doc_id", order).alias("doc0"), F.min_by("place", order).alias("place0"))
+    firsts = written(firsts.join(label, ["d1", "d2"], "left"), "line-firsts")
+    names = ["first", "row0", "doc0", "place0"]
+    best = firsts.where("component is not null").groupBy("component").agg(F.min("first").alias("first"), *[F.min_by(c, "first").alias(c) for c in names[1:]])
+    linked = firsts.where("component is not null").select("d1", "d2", "component").join(best, "component").drop("component")
+    stays = firsts.where("component is null").drop("component").unionByName(linked).drop("first")
+    out = at.where("place >= 0").join(stays, ["d1", "d2"])
+    out = out.select("row", "doc_id", "place", F.col("doc0").alias("first_doc"), F.col("place0").alias("first_place"), ((F.col("row") != F.col("row0")) | (F.col("place") != F.col("place0"))).alias("dropped"))
+    none = at.where("place < 0").select("row", "doc_id", "place", F.lit(None).cast("long").alias("first_doc"), F.lit(None).cast("int").alias("first_place"), F.lit(False).alias("dropped"))
+    return out.unionByName(none)
 
 
 def line_report(docs: DataFrame) -> DataFrame:
-    """doc_id, n_lines, n_dropped, dropped_sha256 (of the comma-joined places of dropped lines) for each doc_id."""
-    marks = line_marks(docs).groupBy("doc_id").agg(F.count("*").alias("n_lines"), F.count_if("dropped").alias("n_dropped"), F.sort_array(F.collect_set(F.when(F.col("dropped"), F.col("place")))).alias("places"))
-    out = docs.select(F.col("doc_id").cast("long").alias("doc_id")).distinct().alias("d").join(marks.alias("m"), F.expr("d.doc_id <=> m.doc_id"), "left")
-    zero = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)
-    return out.select("d.doc_id", zero("n_lines"), zero("n_dropped"), F.sha2(F.coalesce(F.array_join(F.col("places").cast("array<string>"), ","), F.lit("")), 256).alias("dropped_sha256"))
+    """doc_id, n_lines, n_dropped, dropped_sha256, classes_sha256 for each row.
+
+    The digests are of the comma-joined places of dropped lines, and of the class (doc_id:place of its first line) of each line.
+    """
+    marks = line_classes(docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "text"))
+    name = F.concat_ws(":", F.coalesce(F.col("first_doc").cast("string"), F.lit("")), "first_place")
+    each = F.sort_array(F.collect_list(F.struct("place", F.col("dropped"), name.alias("name"))))
+    lines = F.filter(F.col("each"), lambda x: x["place"] >= 0)
+    joined = lambda parts, f: F.sha2(F.array_join(F.transform(parts, f), ","), 256)
+    dropped = F.filter(lines, lambda x: x["dropped"])
+    out = marks.groupBy("row", "doc_id").agg(each.alias("each"))
+    return out.select(
+        "doc_id", F.size(lines).cast("long").alias("n_lines"), F.size(dropped).cast("long").alias("n_dropped"),
+        joined(dropped, lambda x: x["place"].cast("string")).alias("dropped_sha256"), joined(lines, lambda x: x["name"]).alias("classes_sha256"),
+    )
 
 
 def dedup_lines(docs: DataFrame) -> DataFrame:
     """docs with their dropped lines removed."""
-    places = line_marks(docs).where("dropped").groupBy("doc_id").agg(F.collect_set("place").alias("__places")).withColumnRenamed("doc_id", "__id")
-    kept = F.filter(F.split("text", "\n", -1), lambda _, i: ~F.coalesce(F.array_contains("__places", i), F.lit(False)))
-    joined = docs.join(places, F.expr("doc_id <=> __id"), "left")
-    return joined.withColumn("text", F.when(F.col("__places").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))).select(*[F.col(f"`{c}`") for c in docs.columns])
+    rows = written(docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("own"), F.monotonically_increasing_id().alias("row")), "line-rows")
+    marks = line_classes(rows.select("row", F.col("own.doc_id").cast("long").alias("doc_id"), F.col("own.text").alias("text")))
+    places = marks.where("dropped").groupBy("row").agg(F.collect_set("place").alias("places"))
+    kept = F.filter(F.split("own.text", "\n", -1), lambda _, i: ~F.array_contains("places", i))
+    text = F.when(F.col("places").isNull(), F.col("own.text")).otherwise(F.array_join(kept, "\n"))
+    return rows.join(places, "row", "left").select(*[text.alias(c) if c == "text" else F.col("own").getField(c).alias(c) for c in docs.columns])

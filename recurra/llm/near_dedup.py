@@ -41,7 +41,7 @@ OVER, UNDER = 100, 75
 #: Texts in a block of members outside their pivot's component, and of members they are held against.
 MANY_X, MANY_Y = 96, 384
 #: Bytes of pairs of texts whose words are compared together.
-PAIR_BYTES = 4 << 20
+PAIR_BYTES = 1 << 20
 #: Elements of several texts sketched together.
 TOGETHER = 1 << 16
 

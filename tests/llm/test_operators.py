@@ -327,36 +327,87 @@ def test_token_counts(docs, empty):
     assert token_counts.token_counts(empty).count() == 0
 
 
-def test_edit_distance():
-    for _ in range(3000):
-        a, b = ("".join(random.choice("ab") for _ in range(random.randint(0, 9))) for _ in range(2))
-        for k in (1, 2, 3):
-            assert line_dedup.edit_distance(a, b, k) == min(k + 1, distance(a, b))
+def mutant(line: str, edits: int, letters: str = "abc") -> str:
+    t = list(line)
+    for _ in range(edits):
+        at, kind = random.randrange(len(t) + 1), random.randrange(3)
+        t[at : at + (kind > 0)] = [random.choice(letters)] * (kind < 2)
+    return "".join(t)
+
+
+def test_edit_distance_and_keys(monkeypatch):
+    """Pairs are linked as a plain distance says, and every linked pair has a key in common."""
+    import numpy as np
+
+    monkeypatch.setattr(line_dedup, "EDITS", ((2, 1), (5, 2), (8, 3), (11, 4)))
+    pairs = [(a, mutant(a, random.randrange(6))) for a in ("".join(random.choices("abc", k=random.randrange(19))) for _ in range(3000))]
+    most = line_dedup.allowed(np.array([min(len(a), len(b)) for a, b in pairs]))
+    want = [distance(a, b) <= m for (a, b), m in zip(pairs, most)]
+    assert line_dedup.within(*map(list, zip(*pairs))).tolist() == want and 500 < sum(want) < 2900
+    for (a, b), linked in zip(pairs, want):
+        if linked and a != b:
+            own = [[set(), set()], [set(), set()]]
+            for keys, who, indexed in line_dedup.keys_of([a, b]):
+                for k, w in zip(keys.tolist(), who.tolist()):
+                    own[w][indexed].add(k)
+            assert own[0][1] & (own[1][0] | own[1][1]) or own[1][1] & own[0][0], (a, b)
+
+
+def test_meeting_reads_runs_over_batches():
+    """Whatever the batches are cut into: rows of keys with an indexed line and another line, and salted rows."""
+    first, rows = line_dedup.INDEXED, []
+    for key in range(60):
+        for salt in random.sample((0, 1, 2), 2):
+            rows += [(key, salt, first + random.randrange(1, 4)) for _ in range(random.randrange(3))] + [(key, salt, random.randrange(1, 4)) for _ in range(random.randrange(3))]
+        if key % 5 == 0:
+            rows += [(key, 0, first), (key, 0, -1)]
+    rows.sort()
+    runs = defaultdict(set)
+    for k, s, r in rows:
+        runs[k, s].add(r)
+    alive = {x for x, own in runs.items() if x[1] or (min(own) < -1 and len(own) > 1)}
+    want = {(k, r) for (k, s), own in runs.items() if (k, s) in alive for r in own if r not in (first, -1)}
+    schema = pa.schema([("key", pa.int64()), ("salt", pa.int16()), ("ref", pa.int64())])
+    for n in (1, 2, 3, 7, len(rows)):
+        batches = [pa.RecordBatch.from_pylist([dict(zip(("key", "salt", "ref"), r)) for r in rows[i : i + n]], schema) for i in range(0, len(rows), n)]
+        assert {tuple(r.values()) for b in line_dedup._meeting(iter(batches)) for r in b.to_pylist()} == want
 
 
 @pytest.mark.parametrize("crowd", [line_dedup.PER_BLOCK, 4])
 def test_line_dedup(spark, docs, empty, crowd, monkeypatch):
-    """With a small block, crowded keys take the block way; the classes are the same."""
+    """Against all pairs of lines. With a small block, crowded keys take the block way; the classes are the same."""
     monkeypatch.setattr(line_dedup, "PER_BLOCK", crowd)
-    line, rows = text(12), []
+    monkeypatch.setattr(line_dedup, "LOCAL", crowd)
+    line, rows = text(30), []
     for i in range(40):
-        t = list(line)
-        t[random.randrange(len(t))] = random.choice("xyz")
-        rows.append((i, "\n".join([text(8), "".join(t), "short", text(9)[:-1] if i % 2 else line])))
-    got = {r["doc_id"]: r for r in line_dedup.line_report(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    lines = list({x for _, t in rows for x in t.split("\n")})
+        t = [text(8), mutant(line, random.randrange(3), "xyz"), "short", text(9)[:-1] if i % 2 else line, mutant("a short line", 1), mutant(text(16) if i % 7 else BASE, i % 5), *[w[i % 2] for w in TWINS]]
+        rows.append((i if i > 3 else None, "\n".join(t)))
+    rows += [rows[9], rows[0]]
+    got = line_dedup.line_report(spark.createDataFrame(rows, "doc_id long, text string").repartition(6)).collect()
+    lines = sorted({x.strip() for _, t in rows for x in t.split("\n")})
     top = {x: x for x in lines}
-    for _ in range(3):
-        for a in lines:
-            for b in lines:
-                if a == b or (min(len(a), len(b)) >= line_dedup.LEAST and distance(a, b) <= 1):
-                    top[a] = top[b] = min(top[a], top[b])
-    seen = set()
-    for i, t in rows:
-        drop = [p for p, x in enumerate(t.split("\n")) if top[x] in seen or seen.add(top[x])]
-        assert got[i]["dropped_sha256"] == hashlib.sha256(",".join(map(str, drop)).encode()).hexdigest()
-    assert len({r["doc_id"] for r in line_dedup.line_report(docs).collect()}) == len({d[0] for d in DOCS}) and line_dedup.line_report(empty).count() == 0
-    assert line_dedup.dedup_lines(docs).count() == len(DOCS)
+    limit = lambda n: max([e for least, e in line_dedup.EDITS if n >= least], default=0)
+    links = [(a, b) for i, a in enumerate(lines) for b in lines[:i] if abs(len(a) - len(b)) <= (m := limit(min(len(a), len(b)))) and max(len(a), len(b)) < 999 and distance(a, b) <= m]
+    for _ in range(len(lines)):
+        for a, b in links:
+            top[a] = top[b] = min(top[a], top[b])
+    assert len(links) > 100 and len(set(top.values())) < len(lines) - 20
+    # rows with one doc_id are in no given order: of those only the numbers are compared
+    seen, dropped = set(), Counter()
+    for d, t in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0)):
+        places = [p for p, x in enumerate(t.split("\n")) if top[x.strip()] in seen or seen.add(top[x.strip()])]
+        dropped[d] += len(places)
+        if d is not None and d != 9:
+            own = [r for r in got if r["doc_id"] == d]
+            assert len(own) == 1 and own[0]["dropped_sha256"] == hashlib.sha256(",".join(map(str, places)).encode()).hexdigest() and own[0]["n_lines"] == 9
+    assert Counter({d: sum(r["n_dropped"] for r in got if r["doc_id"] == d) for d in dropped}) == dropped and len(got) == len(rows)
+    awkward = line_dedup.line_report(docs).collect()
+    assert Counter(r["doc_id"] for r in awkward) == Counter(d[0] for d in DOCS) and line_dedup.line_report(empty).count() == 0
+    assert {r["n_lines"] for r in awkward if r["doc_id"] in (0, 1, 2)} == {0}
+    out = line_dedup.dedup_lines(docs).collect()
+    assert len(out) == len(DOCS) and out[0].__fields__ == docs.columns and all((r["score"], r["kept"], r["size"], r["row"], r["bucket"], r["verdict"]) == (0.5, True, 1, 2, 3, "x") for r in out)
+    left = Counter((r["doc_id"], r["text"]) for r in out)
+    assert left[0, None] == 1 and left[11, DOCS[14][1]] == 1 and sum(n for (_, t), n in left.items() if t and BASE in t) == 2 and sum(n for (_, t), n in left.items() if t == LONG) == 1
 
 
 def test_url_filter(spark):
