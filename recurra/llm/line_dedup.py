@@ -9,8 +9,8 @@ keys of a batch are made by array arithmetic. They only propose pairs: a pair is
 distance whose states, the diagonals within reach, are bits of one number for each pair, for all pairs of a task at once.
 
 Keys are dealt out once, sorted, and read in order: a key goes on only if it has an indexed line and another line. A key
-that many lines of one batch have is dealt over SALTS tasks. A key that many lines share is never expanded into pairs:
-its lines go, by hash, to blocks of PER_BLOCK; two blocks meet in one task and only a forest of the links leaves it.
+that many lines of one batch have is dealt over SALTS tasks. Keys are never expanded into pairs that move: the lines of a
+key meet in a cell, those of a large key in cells of PER_BLOCK a side, and only a forest of the links leaves a task.
 Linked lines form classes. Of a class the first line of all texts stays, in the order of doc_id and place; white-space
 lines always stay.
 
@@ -25,7 +25,6 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from hashlib import blake2b
-from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -40,13 +39,13 @@ from recurra.llm.storage import forget, written
 #: (characters, edits): what lines of so many characters and more allow. Shorter lines than the first must be equal.
 EDITS = ((8, 1), (80, 2), (160, 3), (320, 4))
 MOST = max(e for _, e in EDITS)
-#: Lines of a crowded key that meet in a task; a key with more pairs than that squared over 16 is crowded.
-PER_BLOCK = 512
+#: Lines of a key that meet in one cell; those of a larger key are dealt over cells with so many on each side.
+PER_BLOCK = 256
 #: A key of more lines of one batch is dealt over so many tasks.
 LOCAL, SALTS = 16, 64
 #: Code points whose keys are made together, and pairs that are verified together.
-TOGETHER, PAIRS = 1 << 21, 1 << 15
-INDEXED = -(1 << 63)
+TOGETHER, PAIRS = 1 << 19, 1 << 15
+SALTED, NOBODY, FIRST = -(1 << 63), 0, -(1 << 63)
 
 
 def allowed(n: np.ndarray) -> np.ndarray:
@@ -63,16 +62,15 @@ def _points(lines: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.frombuffer("".join(lines).encode("utf-32-le", "surrogatepass"), np.uint32), np.cumsum(size) - size, size
 
 
-def within(a: list[str], b: list[str]) -> np.ndarray:
-    """Whether each pair of lines is linked. reach[e] of a pair: bit d is set if e edits lead to diagonal d - MOST."""
-    (pa_, sa, na), (pb, sb, nb) = _points(a), _points(b)
+def within(points: np.ndarray, start: np.ndarray, size: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Whether each pair of lines, by number, is linked. reach[e] of a pair: bit d is set if e edits lead to diagonal d - MOST."""
+    sa, sb, na, nb = start[left], start[right] + MOST, size[left], size[right]
     most = allowed(np.minimum(na, nb))
-    shift, out = nb - na, np.zeros(len(a), bool)
+    shift, out = nb - na, np.zeros(len(left), bool)
     live = np.flatnonzero(np.abs(shift) <= most)
     width = 2 * MOST + 1
-    pb = np.concatenate([np.full(MOST, 0xFFFFFFFF, np.uint32), pb, np.full(width, 0xFFFFFFFF, np.uint32)])
-    start = [((1 << (e + 1)) - 1) << MOST & (1 << width) - 1 for e in range(MOST + 1)]
-    reach = np.tile(np.array(start, np.uint16)[:, None], (1, len(live)))
+    other = np.concatenate([np.full(MOST, 0xFFFFFFFF, np.uint32), points, np.full(width, 0xFFFFFFFF, np.uint32)])
+    reach = np.tile(np.array([((1 << (e + 1)) - 1) << MOST & (1 << width) - 1 for e in range(MOST + 1)], np.uint16)[:, None], (1, len(live)))
     full, i = np.uint16((1 << width) - 1), 0
     while len(live):
         done = na[live] == i
@@ -81,54 +79,51 @@ def within(a: list[str], b: list[str]) -> np.ndarray:
             out[at] = reach[most[at], np.flatnonzero(done)] >> (shift[at] + MOST).astype(np.uint16) & 1
             live, reach = live[~done], reach[:, ~done]
             continue
-        c, same = pa_[sa[live] + i], np.zeros(len(live), np.uint16)
+        c, place, ends, same = points[sa[live] + i], sb[live] + i - MOST, nb[live], np.zeros(len(live), np.uint16)
         for k in range(width):
             j = i + k - MOST
-            near = (pb[sb[live] + j + MOST] == c) & (j < nb[live]) & (j >= 0)
-            same |= near.astype(np.uint16) << np.uint16(k)
+            if j >= 0:
+                same |= ((other[place + k] == c) & (j < ends)).astype(np.uint16) << np.uint16(k)
         new = reach & same
         for e in range(1, MOST + 1):
             new[e] |= reach[e - 1] | reach[e - 1] >> np.uint16(1) | new[e - 1] << np.uint16(1)
             new[e] &= full
         reach, i = new, i + 1
-        if i % 8 == 0:
+        if i % 4 == 0:
             alive = reach[most[live], np.arange(len(live))] != 0
-            live, reach = live[alive], reach[:, alive]
+            if alive.mean() < 0.9:
+                live, reach = live[alive], reach[:, alive]
     return out
 
 
-def segments(n: int, edits: int) -> list[tuple[int, int]]:
-    """Start and end of edits + 1 segments of a line of n characters, the longer ones last."""
-    cuts = [n * i // (edits + 1) for i in range(edits + 2)]
-    return list(pairwise(cuts))
-
-
 def keys_of(lines: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray, bool]]:
-    """(keys, numbers of the lines that have them, whether these are the index) of lines."""
+    """(keys, numbers of the lines that have them, whether these are the index) of lines; keys are even."""
     points, start, n = _points(lines)
     power = np.concatenate([np.ones(1, U), np.full(len(points), STEP, U)]).cumprod(dtype=U)
     back = np.concatenate([np.ones(1, U), np.full(len(points), pow(STEP, -1, 1 << 64), U)]).cumprod(dtype=U)
     sums = np.concatenate([np.zeros(1, U), (mix(points.astype(U) + U(1)) * power[:-1]).cumsum(dtype=U)])
 
-    def key(who: np.ndarray, k: np.ndarray, i: int, at: np.ndarray, long: np.ndarray) -> np.ndarray:
-        a = start[who] + at
-        return mix((sums[a + long] - sums[a]) * back[a] ^ mix(k.astype(U) * U(MOST + 1) + U(i))).view(np.int64)
+    def key(a: np.ndarray, b: np.ndarray, k: np.ndarray, i: int) -> np.ndarray:
+        x = (sums[b] - sums[a]) * back[a] + (k * (MOST + 1) + i).astype(U) * U(0xD1B54A32D192ED03)
+        x = (x ^ (x >> U(32))) * U(0xBF58476D1CE4E5B9)
+        return ((x ^ (x >> U(29))) & ~U(1)).view(np.int64)
 
     own = allowed(n)
     for edits in sorted({e for _, e in EDITS}):
-        who = np.flatnonzero(own == edits)
-        for i in range(edits + 1):
-            a, b = n[who] * i // (edits + 1), n[who] * (i + 1) // (edits + 1)
-            yield key(who, n[who], i, a, b - a), who, True
         for less in range(edits + 1):
-            who = np.flatnonzero(allowed(n - less) == edits)
-            k = n[who] - less
+            who = np.flatnonzero((own if not less else allowed(n - less)) == edits)
+            if not len(who):
+                continue
+            k, first, last = n[who] - less, start[who], start[who] + n[who]
+            cuts = [k * i // (edits + 1) for i in range(edits + 2)]
             for i in range(edits + 1):
-                a, b = k * i // (edits + 1), k * (i + 1) // (edits + 1)
+                a, b = first + cuts[i], first + cuts[i + 1]
+                if not less:
+                    yield key(a, b, k, i), who, True
                 for by in range(max(-i, less - (edits - i)), min(i, less + edits - i) + 1):
                     if less or by:  # else it is the segment itself
-                        ok = (a + by >= 0) & (b + by <= n[who])
-                        yield key(who[ok], k[ok], i, a[ok] + by, (b - a)[ok]), who[ok], False
+                        ok = (a + by >= first) & (b + by <= last)
+                        yield (key(a + by, b + by, k, i), who, False) if ok.all() else (key(a[ok] + by, b[ok] + by, k[ok], i), who[ok], False)
 
 
 def groups_of(lines: list[str]) -> Iterator[list[str]]:
@@ -181,92 +176,134 @@ def _distinct(column: pa.Array) -> list[str]:
 def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         lines = _distinct(batch.column("text"))
-        both = np.frombuffer(b"".join(map(digest, lines)), np.int64).reshape(-1, 2)
-        yield pa.RecordBatch.from_arrays([pa.array([_short(x) for x in lines], pa.int64()), pa.array(both[:, 0]), pa.array(both[:, 1]), pa.array(lines, pa.string())], ["id", "d1", "d2", "line"])
+        yield pa.RecordBatch.from_arrays([pa.array([_short(x) for x in lines], pa.int64()), pa.array(lines, pa.string())], ["id", "line"])
+
+
+def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        both = np.frombuffer(b"".join(map(digest, batch.column("line").to_pylist())), np.int64).reshape(-1, 2)
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(both[:, 0]), pa.array(both[:, 1])], [*batch.schema.names, "d1", "d2"])
+
+
+def _salted(key: np.ndarray, ref: np.ndarray) -> np.ndarray:
+    """One of SALTS other keys, by the line's number; done twice, the key itself."""
+    return key ^ (mix((mix(ref.view(U)) % U(SALTS)) + U(1)) & ~U(1)).view(np.int64)
 
 
 def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """key, salt and ref (a line's number, INDEXED added for the index) of each key of each distinct line of a run of lines.
+    """key (odd for probes) and ref (a line's number) of each key of each distinct line of a run of lines.
 
-    A key of more than LOCAL lines has salts from 1 to SALTS, and a row of the index and one of a probe, of no line, at salt 0.
+    A key of more than LOCAL lines is salted, which its refs tell by SALTED, and has rows of no line, one of each kind, besides.
     """
     for batch in batches:
         for lines in groups_of(_distinct(batch.column("text"))):
             short = np.array([_short(x) for x in lines], np.int64)
             parts = list(keys_of(lines))
-            key = np.concatenate([k for k, _, _ in parts])
-            ref = np.concatenate([short[who] + (INDEXED if indexed else 0) for _, who, indexed in parts])
-            order = np.argsort(key)
-            key, ref = key[order], ref[order]
-            begins = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-            n = np.diff(np.append(begins, len(key)))
-            signs = key[begins[n > LOCAL]]
-            salt = np.where(np.repeat(n > LOCAL, n), 1 + (mix(ref.view(U)) % U(SALTS)).astype(np.int64), 0)
-            key, ref = np.concatenate([key, signs, signs]), np.concatenate([ref, np.full(len(signs), INDEXED), np.full(len(signs), -1)])
-            salt = np.concatenate([salt, np.zeros(2 * len(signs), np.int64)]).astype(np.int16)
-            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(salt), pa.array(ref)], ["key", "salt", "ref"])
+            key, who = np.concatenate([k for k, _, _ in parts]), np.concatenate([w for _, w, _ in parts])
+            probe, ref = np.repeat([not i for _, _, i in parts], [len(k) for k, _, _ in parts]), short[who]
+            slot = (key >> 46) & ((1 << 18) - 1)
+            maybe = np.flatnonzero((np.bincount(slot, minlength=1 << 18) > LOCAL)[slot])
+            signs, which, n = np.unique(key[maybe], return_inverse=True, return_counts=True)
+            hot, signs = maybe[n[which] > LOCAL], signs[n > LOCAL]
+            key[hot] = _salted(key[hot], ref[hot])
+            ref[hot] |= SALTED
+            key = np.concatenate([key + probe, signs, signs + 1])
+            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(np.concatenate([ref, np.full(len(signs), NOBODY), np.full(len(signs), NOBODY + 1)]))], ["key", "ref"])
 
 
 def _meeting(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows in the order of (key, salt, ref): those of keys with an indexed line and another line; all that are salted."""
-    held: tuple[int, int, int] | None = None  # (key, salt, ref) of the last run's only ref so far
-    last: tuple[int, int] | None = None  # (key, salt) of the last row, if its run goes on
+    """Of rows in the order of key: those of keys with an indexed line and another line, and all that are salted; as key, id, indexed."""
+    held: tuple[int, int] | None = None  # the last run's index row, if its run is not known to go on
+    last: tuple[int, bool] | None = None  # the last run's key, and whether it goes on
     for batch in batches:
-        key, salt, ref = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("key", "salt", "ref"))
+        key, ref = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("key", "ref"))
         if not len(key):
             continue
         if held is not None:
-            key, salt, ref = np.append(held[0], key), np.append(held[1], salt), np.append(held[2], ref)
-        begins = np.concatenate([[True], (key[1:] != key[:-1]) | (salt[1:] != salt[:-1])])
-        number = np.cumsum(begins) - 1
-        first = np.flatnonzero(begins)
-        several = np.zeros(len(first), bool)
-        several[number[ref != ref[first][number]]] = True
-        indexed = ref[first] < -1  # the index comes first in a run; -1 is the probe of no line
-        alive = (several & indexed) | (salt[first] > 0)
-        if last is not None and held is None and last == (int(key[0]), int(salt[0])):
-            alive[0] = last_alive
-        tail = (int(key[-1]), int(salt[-1]))
-        last, last_alive, held = tail, bool(alive[-1]), None
-        keep = alive[number]
-        if not last_alive and indexed[-1]:  # one line of the index so far
-            held = (*tail, int(ref[-1]))
-        keep &= (ref != INDEXED) & (ref != -1)
-        keep[1:] &= (ref[1:] != ref[:-1]) | begins[1:]  # a line that several batches have
-        yield pa.RecordBatch.from_arrays([pa.array(key[keep]), pa.array(ref[keep])], ["key", "ref"])
-
-
-def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for at in range(0, batch.num_rows, PAIRS):
-            part = batch.slice(at, PAIRS)
-            yield part.select(["a", "b"]).filter(pa.array(within(part.column("la").to_pylist(), part.column("lb").to_pylist()), pa.bool_()))
-
-
-def _block(_: tuple, rows: pa.Table) -> pa.Table:
-    """A forest of the links between the lines of one side (0) and those of the other (1) of a block."""
-    nodes, side, lines = rows.column("node").to_pylist(), np.array(rows.column("side"), np.int8), rows.column("line").to_pylist()
-    top = {i: i for i in nodes}
+            key, ref = np.append(held[0], key), np.append(held[1], ref)
+        run = key & ~1
+        begins = np.concatenate([[True], run[1:] != run[:-1]])
+        number, first = np.cumsum(begins) - 1, np.flatnonzero(begins)
+        alive = np.zeros(len(first), bool)
+        alive[number[ref != ref[first][number]]] = True
+        indexed = key[first] == run[first]  # the index comes first in a run
+        alive &= indexed
+        if last is not None and last == (int(run[0]), True):
+            alive[0] = True
+        last = int(run[-1]), bool(alive[-1])
+        held = (int(run[-1]), int(ref[first[-1]])) if indexed[-1] and not alive[-1] else None
+        salted = ref < 0
+        keep = (alive[number] | salted) & (ref != NOBODY) & (ref != NOBODY + 1)
+        run[salted] = _salted(run[salted], ref[salted] ^ SALTED)
+        yield pa.RecordBatch.from_arrays([pa.array(run[keep]), pa.array(ref[keep] & ~SALTED), pa.array((key & 1 == 0)[keep])], ["key", "id", "indexed"])
+
+
+def _forest(cells: np.ndarray, side: np.ndarray, node: list[int], lines: list[str]) -> list[tuple[int, int]]:
+    """A forest of the links within cells between lines of the probing side (1, 2) and of the index (0, 2). cells: in order."""
+    points, start, size = _points(lines)
+    top = {i: i for i in node}
+    out = []
 
     def find(i: int) -> int:
         while top[i] != i:
             top[i] = i = top[top[i]]
         return i
 
-    x, y = np.flatnonzero(side == 1), np.flatnonzero(side == 0)
-    out = []
-    step = max(1, PAIRS // max(1, len(y)))
-    for at in range(0, len(x), step):
-        left, right = np.repeat(x[at : at + step], len(y)), np.tile(y, len(x[at : at + step]))
-        apart = np.array([find(nodes[i]) for i in x[at : at + step]])[:, None] != np.array([find(nodes[j]) for j in y])[None, :]
-        left, right = left[apart.reshape(-1)], right[apart.reshape(-1)]
-        ok = within([lines[i] for i in left], [lines[j] for j in right])
-        for i, j in zip(left[ok], right[ok]):
-            a, b = find(nodes[i]), find(nodes[j])
-            if a != b:
-                top[max(a, b)] = min(a, b)
-                out.append((min(nodes[i], nodes[j]), max(nodes[i], nodes[j])))
-    return pa.table({"a": pa.array([p for p, _ in out], pa.int64()), "b": pa.array([q for _, q in out], pa.int64())})
+    def hold(left: np.ndarray, right: np.ndarray) -> None:
+        """Link those pairs of lines that are not in one tree yet."""
+        for at in range(0, len(left), PAIRS):
+            x, y = left[at : at + PAIRS], right[at : at + PAIRS]
+            tops = {i: find(node[i]) for i in {*x.tolist(), *y.tolist()}}
+            apart = np.array([tops[i] != tops[j] for i, j in zip(x.tolist(), y.tolist())], bool)
+            x, y = x[apart], y[apart]
+            ok = within(points, start, size, x, y)
+            for i, j in zip(x[ok].tolist(), y[ok].tolist()):
+                a, b = find(node[i]), find(node[j])
+                if a != b:
+                    top[max(a, b)] = min(a, b)
+                    out.append((min(node[i], node[j]), max(node[i], node[j])))
+
+    every, own = np.flatnonzero(side > 0), np.flatnonzero(side != 1)
+    bounds = np.flatnonzero(np.concatenate([[True], cells[1:] != cells[:-1]]))
+    xs, ys = np.append(np.searchsorted(every, bounds), len(every)), np.append(np.searchsorted(own, bounds), len(own))
+    cells_ = [(every[xs[c] : xs[c + 1]], own[ys[c] : ys[c + 1]]) for c in range(len(bounds)) if xs[c] < xs[c + 1] and ys[c] < ys[c + 1]]
+    if not cells_:
+        return out
+    # all against one line of the index, and the index against one of all: most of a crowd are copies of one line
+    hold(np.concatenate([x for x, _ in cells_]), np.concatenate([np.full(len(x), y[0]) for x, y in cells_]))
+    hold(np.concatenate([np.full(len(y), x[0]) for x, y in cells_]), np.concatenate([y for _, y in cells_]))
+    small = [(x, y) for x, y in cells_ if len(x) > 1 and len(y) > 1 and len(x) * len(y) <= 256]
+    if small:
+        hold(np.concatenate([np.repeat(x, len(y)) for x, y in small]), np.concatenate([np.tile(y, len(x)) for x, y in small]))
+    for x, y in cells_:
+        if len(x) * len(y) > 256:
+            step = max(1, PAIRS // len(y))
+            for at in range(0, len(x), step):
+                hold(np.repeat(x[at : at + step], len(y)), np.tile(y, len(x[at : at + step])))
+    return out
+
+
+def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links of the lines of cells (key, i, j), which come one after another."""
+    held: list[pa.RecordBatch] = []
+
+    def links(rows: pa.Table) -> pa.RecordBatch:
+        parts = [np.array(rows.column(c)) for c in ("key", "i", "j")]
+        changes = np.concatenate([[0], np.cumsum(np.any([p[1:] != p[:-1] for p in parts], axis=0))])
+        found = _forest(changes, np.array(rows.column("side")), rows.column("node").to_pylist(), rows.column("line").to_pylist())
+        return pa.RecordBatch.from_arrays([pa.array([p for p, _ in found], pa.int64()), pa.array([q for _, q in found], pa.int64())], ["a", "b"])
+
+    for batch in batches:
+        held.append(batch)
+        key, i, j = (np.array(batch.column(c)) for c in ("key", "i", "j"))
+        last = np.flatnonzero((key != key[-1]) | (i != i[-1]) | (j != j[-1])) if batch.num_rows else []
+        if len(last):  # the last cell may go on
+            cut = int(last[-1]) + 1
+            held[-1] = batch.slice(0, cut)
+            yield links(pa.Table.from_batches(held))
+            held = [batch.slice(cut)]
+    if held and sum(b.num_rows for b in held):
+        yield links(pa.Table.from_batches(held))
 
 
 def line_links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -275,30 +312,27 @@ def line_links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     Texts stay where they are until it is known which lines have a key in common with another; only theirs are moved.
     """
     texts = docs.select("text")
-    keys = texts.mapInArrow(_keys, "key long, salt short, ref long").repartition("key", "salt").sortWithinPartitions("key", "salt", "ref")
-    full = written(keys.mapInArrow(_meeting, "key long, ref long").distinct().select("key", F.col("ref").bitwiseAND((1 << 63) - 1).alias("id"), (F.col("ref") < 0).alias("indexed")), "line-members")
+    keys = texts.mapInArrow(_keys, "key long, ref long").repartition(F.shiftright("key", 1)).sortWithinPartitions("key")
+    full = written(keys.mapInArrow(_meeting, "key long, id long, indexed boolean").distinct(), "line-members")
     wanted = written(full.select("id").distinct(), "line-wanted")
     few = wanted.count() <= 2_000_000  # so many numbers are 16 MB; beyond, they are joined by a shuffle
-    lines = texts.mapInArrow(_texts, "id long, d1 long, d2 long, line string").join(F.broadcast(wanted) if few else wanted, "id", "left_semi").distinct()
-    lines = written(lines.withColumn("node", F.monotonically_increasing_id()), "line-texts")
+    lines = texts.mapInArrow(_texts, "id long, line string").join(F.broadcast(wanted) if few else wanted, "id", "left_semi").distinct()
+    lines = lines.withColumn("node", F.monotonically_increasing_id()).mapInArrow(_digests, "id long, line string, node long, d1 long, d2 long")
+    lines = written(lines, "line-texts")
     forget(wanted)
     stats = full.groupBy("key").agg(F.count_if("indexed").alias("own"), F.count("*").alias("n")).where("own > 0 and n > 1")
     placed = written(full.join(stats, "key").join(lines.select("id", "node"), "id"), "line-placed")
     forget(full)
-    crowded = F.col("own") * F.col("n") > PER_BLOCK * PER_BLOCK // 16
-    some = placed.where(~crowded)
-    x, y = some.select("key", F.col("node").alias("x"), F.col("indexed").alias("too")), some.where("indexed").select("key", F.col("node").alias("y"))
-    pairs = x.join(y, "key").where("x != y and (not too or x < y)").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-    la, lb = (lines.select(F.col("node").alias(c), F.col("line").alias(f"l{c}")) for c in "ab")
-    links = pairs.join(la, "a").join(lb, "b").select("a", "b", "la", "lb").mapInArrow(_verified, "a long, b long")
     parts = lambda c: F.ceil(F.col(c) / PER_BLOCK).cast("int")
     part = lambda n: F.pmod(F.xxhash64("node"), n).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
-    many = placed.where(crowded)
-    sides = many.select("key", "node", F.lit(1).cast("byte").alias("side"), part(parts("n")).alias("i"), every(parts("own")).alias("j"))
-    sides = sides.unionByName(many.where("indexed").select("key", "node", F.lit(0).cast("byte").alias("side"), every(parts("n")).alias("i"), part(parts("own")).alias("j")))
-    blocks = sides.join(lines.select("node", "line"), "node").groupBy("key", "i", "j").applyInArrow(_block, "a long, b long")
-    out = written(links.unionByName(blocks).distinct(), "line-links")
+    zero = F.lit(0)
+    few, many = placed.where(F.col("n") <= PER_BLOCK), placed.where(F.col("n") > PER_BLOCK)
+    cells = few.select("key", "node", F.when(F.col("indexed"), 2).otherwise(1).cast("byte").alias("side"), zero.alias("i"), zero.alias("j"))
+    cells = cells.unionByName(many.select("key", "node", F.lit(1).cast("byte").alias("side"), part(parts("n")).alias("i"), every(parts("own")).alias("j")))
+    cells = cells.unionByName(many.where("indexed").select("key", "node", F.lit(0).cast("byte").alias("side"), every(parts("n")).alias("i"), part(parts("own")).alias("j")))
+    full = cells.join(lines.select("node", "line"), "node").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+    out = written(full.mapInArrow(_linked, "a long, b long").distinct(), "line-links")
     forget(placed)
     return lines, out
 
@@ -306,7 +340,7 @@ def line_links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
 def _order() -> Column:
     wide = lambda c: c.cast("decimal(38,0)")
     bits = lambda n: wide(F.lit(str(1 << n)))
-    return ((wide(F.coalesce("doc_id", F.lit(INDEXED))) * bits(31) + wide(F.col("hash"))) * bits(31) + wide(F.col("place"))).cast("decimal(38,0)")
+    return ((wide(F.coalesce("doc_id", F.lit(FIRST))) * bits(31) + wide(F.col("hash"))) * bits(31) + wide(F.col("place"))).cast("decimal(38,0)")
 
 
 def line_classes(rows: DataFrame) -> DataFrame:

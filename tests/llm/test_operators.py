@@ -343,7 +343,8 @@ def test_edit_distance_and_keys(monkeypatch):
     pairs = [(a, mutant(a, random.randrange(6))) for a in ("".join(random.choices("abc", k=random.randrange(19))) for _ in range(3000))]
     most = line_dedup.allowed(np.array([min(len(a), len(b)) for a, b in pairs]))
     want = [distance(a, b) <= m for (a, b), m in zip(pairs, most)]
-    assert line_dedup.within(*map(list, zip(*pairs))).tolist() == want and 500 < sum(want) < 2900
+    at = np.arange(len(pairs))
+    assert line_dedup.within(*line_dedup._points([x for p in pairs for x in p]), 2 * at, 2 * at + 1).tolist() == want and 500 < sum(want) < 2900
     for (a, b), linked in zip(pairs, want):
         if linked and a != b:
             own = [[set(), set()], [set(), set()]]
@@ -355,29 +356,35 @@ def test_edit_distance_and_keys(monkeypatch):
 
 def test_meeting_reads_runs_over_batches():
     """Whatever the batches are cut into: rows of keys with an indexed line and another line, and salted rows."""
-    first, rows = line_dedup.INDEXED, []
-    for key in range(60):
-        for salt in random.sample((0, 1, 2), 2):
-            rows += [(key, salt, first + random.randrange(1, 4)) for _ in range(random.randrange(3))] + [(key, salt, random.randrange(1, 4)) for _ in range(random.randrange(3))]
-        if key % 5 == 0:
-            rows += [(key, 0, first), (key, 0, -1)]
-    rows.sort()
-    runs = defaultdict(set)
-    for k, s, r in rows:
-        runs[k, s].add(r)
-    alive = {x for x, own in runs.items() if x[1] or (min(own) < -1 and len(own) > 1)}
-    want = {(k, r) for (k, s), own in runs.items() if (k, s) in alive for r in own if r not in (first, -1)}
-    schema = pa.schema([("key", pa.int64()), ("salt", pa.int16()), ("ref", pa.int64())])
+    import numpy as np
+
+    hidden = lambda k, r: int(line_dedup._salted(np.array([k]), np.array([r]))[0])
+    rows, alone, want = [], defaultdict(set), set()
+    for key in range(0, 120, 2):
+        for _ in range(random.randrange(6)):
+            probe, ref = random.randrange(2), random.randrange(2, 5)
+            if key % 10 == 0 and random.random() < 0.5:
+                rows += [(hidden(key, ref) + probe, ref | line_dedup.SALTED), (key, line_dedup.NOBODY), (key + 1, line_dedup.NOBODY + 1)]
+                alone[key] |= {(0, line_dedup.NOBODY), (1, line_dedup.NOBODY + 1)}
+                want.add((key, ref, not probe))
+            else:
+                rows.append((key + probe, ref))
+                alone[key].add((probe, ref))
+    for key, own in alone.items():
+        if min(own)[0] == 0 and len({r for _, r in own}) > 1:
+            want |= {(key, r, not p) for p, r in own if r > 1}
+    rows.sort(key=lambda r: r[0])
+    schema = pa.schema([("key", pa.int64()), ("ref", pa.int64())])
     for n in (1, 2, 3, 7, len(rows)):
-        batches = [pa.RecordBatch.from_pylist([dict(zip(("key", "salt", "ref"), r)) for r in rows[i : i + n]], schema) for i in range(0, len(rows), n)]
+        batches = [pa.RecordBatch.from_pylist([dict(zip(("key", "ref"), r)) for r in rows[i : i + n]], schema) for i in range(0, len(rows), n)]
         assert {tuple(r.values()) for b in line_dedup._meeting(iter(batches)) for r in b.to_pylist()} == want
 
 
-@pytest.mark.parametrize("crowd", [line_dedup.PER_BLOCK, 4])
+@pytest.mark.parametrize("crowd", [1000, 4])
 def test_line_dedup(spark, docs, empty, crowd, monkeypatch):
-    """Against all pairs of lines. With a small block, crowded keys take the block way; the classes are the same."""
-    monkeypatch.setattr(line_dedup, "PER_BLOCK", crowd)
-    monkeypatch.setattr(line_dedup, "LOCAL", crowd)
+    """Against all pairs of lines. With small cells, large keys are dealt over several; the classes are the same."""
+    for name in ("PER_BLOCK", "LOCAL"):
+        monkeypatch.setattr(line_dedup, name, crowd)
     line, rows = text(30), []
     for i in range(40):
         t = [text(8), mutant(line, random.randrange(3), "xyz"), "short", text(9)[:-1] if i % 2 else line, mutant("a short line", 1), mutant(text(16) if i % 7 else BASE, i % 5), *[w[i % 2] for w in TWINS]]
