@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import atexit
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+_made: dict[str, SparkSession] = {}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,15 +29,35 @@ def written(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _made[path] = spark
     out = spark.read.schema(df.schema).parquet(path)
     out._written_to = path
     return out
 
 
-def forget(df: DataFrame) -> None:
-    """Remove a table made by written() that no later plan reads."""
-    path = getattr(df, "_written_to", None)
-    if path:
-        jvm = df.sparkSession._jvm
-        where = jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(where, True)
+def _delete(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def forget(*tables: DataFrame) -> None:
+    """Remove tables made by written() that no later plan reads."""
+    for df in tables:
+        if path := getattr(df, "_written_to", None):
+            _delete(df.sparkSession, path)
+            _made.pop(path, None)
+
+
+@atexit.register
+def _forget_all() -> None:
+    """Tables that a returned plan may still read go when the driver's program ends."""
+    for path, spark in _made.items():
+        if spark.sparkContext._jsc is None:
+            break
+        _delete(spark, path)
+
+
+def aside(docs: DataFrame, *names: str) -> tuple[DataFrame, list[Column]]:
+    """docs with all columns but those named out of the way of columns that an operator adds; and the columns that bring docs back."""
+    own = [c if c in names else f"_own{i}" for i, c in enumerate(docs.columns)]
+    return docs.toDF(*own), [F.col(a).alias(b) for a, b in zip(own, docs.columns)]

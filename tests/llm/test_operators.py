@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import random
+import re
 import zlib
 from collections import Counter, defaultdict
 
@@ -115,6 +117,9 @@ def test_mixing(docs, labels, empty):
     assert sum({r["source"]: r["target"] for r in rows}.values()) == pytest.approx(sum(r["size"] for r in rows))
     assert mixing.mix(empty).count() == 0 and mixing.mixed(empty, labels).columns == empty.columns
     assert Counter(r["doc_id"] for r in mixing.mixed(docs, labels).collect()) == Counter(r["doc_id"] for r in mixing.mixed(docs, labels).collect())
+    ties = docs.sparkSession.createDataFrame([(None if i % 2 else 7, text(1 + i % 9), "ab"[i % 7 > 1]) for i in range(200)], "doc_id long, text string, source string")
+    once, again = (Counter((r["source"], r["text"], r["doc_id"]) for r in mixing.mixed(ties.repartition(n, "text")).collect()) for n in (3, 5))
+    assert once == again and len({t for _, t, _ in once}) > 60
 
 
 def test_targets_by_resharing(spark):
@@ -146,12 +151,55 @@ def test_sharding(docs, empty):
     assert sharding.shard(empty, 40).count() == 0 and {r["shard"] for r in sharding.shard(docs.limit(1), 40).collect()} <= set(range(40))
 
 
-def test_exact_dedup(docs, empty):
+def plain_tree(points: list, shards: int, first: int, out: dict) -> None:
+    """All points of a node in one list: the widest axis, sorted by (step, hash), cut at the group border nearest to the weighted median."""
+    if shards == 1 or not points:
+        return out.update({p["group"]: first for p in points})
+    width = {a: max(p[a] for p in points) - min(p[a] for p in points) for a in sharding.AXES}
+    axis = max(sharding.AXES, key=lambda a: (width[a], -sharding.AXES.index(a)))
+    points.sort(key=lambda p: (p[axis], p["fine"]))
+    want = sum(p["bytes"] for p in points) * (shards // 2) / shards
+    at, before = 0, 0
+    while at < len(points) - 1 and before + points[at]["bytes"] <= want:
+        before += points[at]["bytes"]
+        at += 1
+    at += want - before > points[at]["bytes"] / 2
+    plain_tree(points[:at], shards // 2, first, out)
+    plain_tree(points[at:], shards - shards // 2, first + shards // 2, out)
+
+
+@pytest.mark.parametrize("shards", [1, 2, 7, 40])
+def test_kd_tree_against_plain_recursion(spark, shards):
+    rows = [(i, text(random.randrange(4, 60)), random.choice(["en", "fr", None]), random.choice("abcde")) for i in range(300)]
+    rows += [(1000 + i, rows[i % 3][1], "de", "f") for i in range(30)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    from pyspark.sql import functions as F
+
+    points = sharding.points_of(docs.select("doc_id", "lang", "source", sharding.size_of(F.col("text")).alias("size"), F.xxhash64("text").alias("group"))).collect()
+    assert len({p["fine"] for p in points}) == len(points) == 300
+    want: dict = {}
+    plain_tree(points, shards, 0, want)
+    texts = {r["text"]: r["g"] for r in docs.select("text", F.xxhash64("text").alias("g")).collect()}
+    by_id = {r[0]: want[texts[r[1]]] for r in rows}
+    got = sharding.shard(docs, shards).collect()
+    assert {r["doc_id"]: r["shard"] for r in got} == by_id
+    sizes = Counter()
+    for r in got:
+        sizes[r["shard"]] += r["size"]
+    heaviest = max(p["bytes"] for p in points)
+    assert all(abs(sizes[k] - sum(sizes.values()) / shards) <= 4 * heaviest for k in range(shards))
+
+
+def test_exact_dedup(spark, docs, empty):
     norm = lambda t: "".join(c for c in (t or "") if c not in "\x20\t\n\x0b\x0c\r")
     groups = defaultdict(list)
     for d in DOCS:
         groups[norm(d[1])].append(d)
     got = {(r["doc_id"], r["text_sha256"]): (r["keep_id"], r["group_size"]) for r in exact_dedup.exact_classes(docs).collect()}
+    edge = [((1 << 63) - 1, "a b"), (None, "ab"), (-(1 << 63), "c"), (None, "c d "), (None, "cd"), ((1 << 63) - 1, "c")]
+    got_edge = {(r["doc_id"], r["keep_id"], r["group_size"]) for r in exact_dedup.exact_classes(spark.createDataFrame(edge, "doc_id long, text string")).collect()}
+    top = (1 << 63) - 1
+    assert got_edge == {(top, top, 2), (None, top, 2), (-top - 1, -top - 1, 2), (top, -top - 1, 2), (None, None, 2)}
     for content, own in groups.items():
         best = min(own, key=lambda d: (-len(d[1] or ""), d[0] is None, d[0] or 0))[0]
         for d in own:
@@ -228,9 +276,14 @@ def test_decontamination(spark, docs, empty):
     assert got[50]["items_sha256"] == hashlib.sha256(b"1,5").hexdigest() and got[3]["contaminated"] and got[4]["contaminated"]
     assert got[0]["n_words"] == 0 and not got[0]["contaminated"] and got[1]["items_sha256"] == hashlib.sha256(b"").hexdigest()
     assert Counter(decontamination.contamination(some, bench, block_bytes=80).collect()) == Counter(decontamination.contamination(some, bench).collect())
+    nobody = some.where("doc_id = 50").select("doc_id", "text").unionAll(spark.createDataFrame([(51, passage[:60])], "doc_id long, text string"))
+    many = spark.createDataFrame([(i, passage) for i in range(30)] + [(None, passage[3:])], "item_id long, text string")
+    both = [sorted(map(tuple, decontamination.contamination(nobody, many, block_bytes=n).collect())) for n in (1 << 20, 0)]
+    assert both[0] == both[1] and both[0][0][2:4] == (20, 30)
     assert {r["doc_id"] for r in decontamination.decontaminate(some, bench).collect()} == {k for k, r in got.items() if not r["contaminated"]}
-    cut = {r["doc_id"]: r["text"] for r in decontamination.without_spans(some, bench).collect()}
-    assert cut[50] == "a  b" and cut[3] == "" and cut[5] == BASE
+    for size in (decontamination.BLOCK_BYTES, 80):
+        cut = {r["doc_id"]: r["text"] for r in decontamination.without_spans(some, bench, size).collect()}
+        assert cut[50] == "a  b" and cut[3] == "" and cut[5] == BASE
     assert decontamination.contamination(empty, bench).count() == 0 and not any(r["contaminated"] for r in decontamination.contamination(some, bench.where("false")).collect())
 
 
@@ -267,19 +320,97 @@ def distance(a: str, b: str) -> int:
     return row[-1]
 
 
-def test_automaton_is_exact():
+def test_machines_are_exact(monkeypatch):
+    """Of all terms within reach, the one of fewest edits, then the first; edits are of characters."""
     import numpy as np
 
-    terms = [(b"abca", True), (b"bcb", True), (b"cabcabca", False)]
-    machine = toxicity.Automaton(terms)
-    words = ["".join(random.choice("abcd") for _ in range(random.randint(1, 11))) for _ in range(4000)]
-    data = np.frombuffer(" ".join(words).encode(), np.uint8)
+    monkeypatch.setattr(toxicity, "TERMS", 2)
+    terms = [("abca", True), ("bcb", True), ("cabcabca", False), ("éaßé", True), ("日本語日", False)]
+    machines = toxicity.Machines(terms)
+    words = ["".join(random.choice(random.choice(("abcd", "éßaa", "日本語b"))) for _ in range(random.randint(1, 11))) for _ in range(6000)]
+    words += ["éaßx", "eaßé", "日本語", "日本x日b", "éaaé"]
+    points = np.frombuffer(" ".join(words).encode("utf-32-le"), np.uint32)
     stops = np.cumsum([len(w) + 1 for w in words]) - 1
-    hit, fate = machine.run(data, stops - [len(w) for w in words], stops)
-    found = dict(zip(hit.tolist(), (fate % 3).tolist()))
+    hit, fate = machines.run(points, stops - [len(w) for w in words], stops)
+    found = dict(zip(hit.tolist(), zip((fate % 3).tolist(), (fate // 3).tolist())))
     for i, w in enumerate(words):
-        best = min((d for t, whole in terms for d in [distance(w, t.decode()) if whole else min(distance(w[:k], t.decode()) for k in range(len(w) + 1))] if d <= toxicity.edits_of(t)), default=None)
-        assert found.get(i) == best, w
+        assert found.get(i) == plain_hit(w, terms), w
+    assert len(machines.parts) == 3 and len(found) > 60
+
+
+def plain_hit(word: str, terms: list[tuple[str, bool]]) -> tuple[int, int] | None:
+    """(edits, term)"""
+    best = []
+    for i, (t, whole) in enumerate(terms):
+        d = distance(word, t) if whole else min(distance(word[:k], t) for k in range(len(word) + 1))
+        best += [(d, i)] if d <= toxicity.edits_of(t) else []
+    return min(best, default=None)
+
+
+def plain_score(t: str, terms: list[tuple[str, bool]], weights) -> float:
+    """By regular expressions and a distance table; the windows one by one."""
+    t = t or ""
+    fold = t.translate(str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ" + "".join(toxicity.LEET), "abcdefghijklmnopqrstuvwxyz" + "".join(toxicity.LEET.values())))
+    spans = [m.span() for m in re.finditer("[0-9a-z$@\u00c0-\u1fff\u3000-\U0010ffff]+", fold)]
+    found = []
+    for w, (a, b) in enumerate(spans):
+        if hit := plain_hit(fold[a:b], terms):
+            first, last = max(0, w - toxicity.CONTEXT), min(len(spans) - 1, w + toxicity.CONTEXT)
+            before, after = t[max(0, spans[first][0] - 1) : a], t[b : spans[last][1] + 2]
+            factor = 1.0
+            if any(q in before for q in toxicity.QUOTES) and any(q in after for q in toxicity.QUOTES):
+                factor = toxicity.QUOTED
+            elif any(t[c:d].lower() in toxicity.REPORTING for c, d in spans[first:w]):
+                factor = toxicity.REPORTED
+            found.append((w, weights.hit[hit[1], min(hit[0], 1)] * factor))
+    n = len(spans)
+    best = sum(x for _, x in found) - weights.word * n
+    for last in range(n if found else 0):
+        inside = sum(x for p, x in found if last - toxicity.SCORED < p <= last)
+        if any(p == last for p, _ in found):
+            best = max(best, inside - weights.word * min(toxicity.SCORED, n) - math.log(max(1.0, n / toxicity.SCORED)))
+    return 1 / (1 + math.exp(-max(-30.0, min(30.0, weights.prior + best))))
+
+
+def test_scores_against_a_plain_version():
+    import numpy as np
+
+    terms = [("clown", True), ("scoundrel", False), ("wretch", True), ("éhonté", True)]
+    weights = toxicity.Weights(np.array([[5.0, 2.0], [4.0, 1.0], [3.0, 1.5], [6.0, 2.5]]), 0.05, -2.0)
+    texts = [d[1] for d in DOCS[:10]] + ["", "clown", 'He said: you cl0wn, "wretch" and', "«scoundrels» « clown »", "ehonté ÉHONTÉ éhonté éhontà", "the word, clown!", "sc0undr3ly $coundrel wreth"]
+    for _ in range(60):
+        words = text(random.choice((5, 40, 200))).split()
+        for _ in range(random.randrange(6)):
+            words.insert(random.randrange(len(words)), random.choice(["clown", "clwn", "scoundrelly", "skoundrel", "wretch,", '"wretch"', "said:", "éhonte", '"', "zitat", "“", "”"]))
+        texts.append(" ".join(words))
+    got = [toxicity.score_of(hits, n, weights) for n, hits in toxicity._hits(toxicity.Machines(terms), pa.array(texts))]
+    assert got == pytest.approx([plain_score(t, terms, weights) for t in texts])
+
+
+def test_long_words_have_nodes_at_all_lengths():
+    w = "x" * 1000
+    own = toxicity.heads(w)
+    assert own[:16] == [w[:k] for k in range(1, 17)] and own[-1] == w and all(len(b) <= 1.5 * len(a) + 1 for a, b in zip(own[16:], own[17:]))
+    assert toxicity.heads("ab") == ["a", "ab"]
+
+
+CLASH = ["__row", "row", "score", "predicted", "held_out", "n_words", "contaminated", "__copies", "__time", "copies", "own", "places", "kept", "quality", "size", "key", "Score"]
+
+
+def test_columns_with_clashing_names_keep_their_values(spark):
+    """Every operator that returns documents returns their columns as they were: names, types, values."""
+    kinds = ["string", "int", "double", "boolean"]
+    names = [c for c in CLASH if c != "Score"]
+    value = lambda i, j: (f"v{i}.{j}", 100 * i + j, i + j / 8, bool(i % 2))[j % 4]
+    rows = [(i, " ".join(f"w{i}x{k}" for k in range(40)), "a", *[value(i, j) for j in range(len(names))]) for i in range(4)]
+    docs = spark.createDataFrame(rows, ", ".join(["doc_id int", "text string", "source string", *[f"`{c}` {kinds[j % 4]}" for j, c in enumerate(names)]]))
+    labels = spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int")
+    bench = spark.createDataFrame([(1, "not there at all")], "item_id long, text string")
+    outs = [toxicity.reject(docs, labels), exact_dedup.exact_dedup(docs), near_dedup.near_dedup(docs), line_dedup.dedup_lines(docs), mixing.mixed(docs, labels)]
+    for size in (decontamination.BLOCK_BYTES, 0):
+        outs += [decontamination.decontaminate(docs, bench, size), decontamination.without_spans(docs, bench, size)]
+    for out in outs:
+        assert out.schema == docs.schema and sorted(tuple(r) for r in out.collect()) == sorted(rows)
 
 
 def test_language_id(spark, docs, empty):
@@ -294,6 +425,45 @@ def test_language_id(spark, docs, empty):
     assert language_id.identify(empty).count() == 0
 
 
+def test_scoring_runs_the_trained_network():
+    """positions() on frozen weights, chunks of unequal length, against the network that is trained."""
+    import numpy as np
+
+    draw = np.random.default_rng(3)
+    net = language_id.BiGRU(4, hidden=5, seed=2)
+    lengths = [7, 1, 4, 7, 3]
+    chunks = [draw.integers(0, 256, n) for n in lengths]
+    data, valid = np.full((7, 5), 32), np.zeros((7, 5), np.float32)
+    for i, c in enumerate(chunks):
+        data[: len(c), i], valid[: len(c), i] = c, 1
+    got = language_id.positions(net.frozen(), data, valid)
+    for i, c in enumerate(chunks):
+        both = np.concatenate([net._run(c[:, None], d)[0] for d in "fb"], axis=2)[:, 0]
+        logits = both @ net.w["out"] + net.w["bias"]
+        p = np.exp(logits) / np.exp(logits).sum(axis=1, keepdims=True)
+        assert got[i] == pytest.approx(p.sum(axis=0), rel=1e-4)
+
+
+def test_predictions_pool_all_positions():
+    """A text's probabilities are means over its bytes, however it is cut into chunks."""
+    import numpy as np
+
+    net = language_id.BiGRU(3, hidden=4, seed=5)
+    texts = ["x" * 200, "été à la plage " * 30, "", None, "12 34", "ab"]
+    labels, scores = language_id.predict(net.frozen(), pa.array(texts), ["a", "b", "c"])
+    for t, label, score in zip(texts, labels, scores):
+        raw = np.frombuffer((t or "").encode(), np.uint8)
+        total = np.zeros(3)
+        for at in range(0, len(raw), language_id.CHUNK):
+            both = np.concatenate([net._run(raw[at : at + language_id.CHUNK, None], d)[0] for d in "fb"], axis=2)[:, 0]
+            e = np.exp(both @ net.w["out"] + net.w["bias"])
+            total += (e / e.sum(axis=1, keepdims=True)).sum(axis=0)
+        if any(c.isalpha() for c in t or ""):
+            assert label == "abc"[total.argmax()] and score == pytest.approx(total.max() / len(raw), rel=1e-4)
+        else:
+            assert (label, score) == ("und", 0.0)
+
+
 def test_gradients_by_differences():
     import numpy as np
 
@@ -418,16 +588,40 @@ def test_line_dedup(spark, docs, empty, crowd, monkeypatch):
 
 
 def test_url_filter(spark):
-    urls = [None, "", "no scheme", "http://", "HTTP://A.Example.ORG/es/x", "https://b.example.org/en/1299?q#f", "x://example.org/en/2", "x://notexample.org", "x://casino-win.example.net/p", "x://casino-win.example.org/p", "x://a.com/fr/", "x://a.com/de/1", "x://a.com?x=/de/", "http://a://b/c"]
+    urls = [None, "", "no scheme", "http://", "HTTP://A.Example.ORG/es/x", "https://b.example.org/en/1299?q#f", "x://example.org/en/2", "x://notexample.org", "x://casino-win.example.net/p", "x://casino-win.example.org/p", "x://a.com/fr/", "x://a.com/de/1", "x://a.com?x=/de/", "http://a://b/c", "x://www.Best-Poker.net", "x://best-pokers.net"]
     pages = spark.createDataFrame([(i, u, None, 1) for i, u in enumerate(urls)], "page_id long, url string, html string, host int")
-    got = {r["page_id"]: (r["host"], r["path"], r["rule"], r["verdict"]) for r in url_filter.filter_urls(pages).collect()}
-    assert [got[i] for i in range(4)] == [("", "", None, "allow")] * 4
-    assert got[4] == ("a.example.org", "/es/x", "example.org/es/", "block") and got[5] == ("b.example.org", "/en/1299", "example.org/en/1", "block")
-    assert got[6][2:] == ("org/", "allow") and got[7] == ("notexample.org", "", None, "allow") and got[8][2:] == (None, "block") and got[9][2:] == ("org/", "allow")
-    assert got[10][2:] == ("com/fr/", "allow") and got[11][2:] == ("com/de/", "block") and got[12] == ("a.com", "", None, "allow") and got[13] == ("a:", "//b/c", None, "allow")
+    for size in (url_filter.FILE_BYTES, 0):
+        got = {r["page_id"]: (r["host"], r["path"], r["rule"], r["verdict"]) for r in url_filter.filter_urls(pages, file_bytes=size).collect()}
+        assert [got[i] for i in range(4)] == [("", "", None, "allow")] * 4
+        assert got[4] == ("a.example.org", "/es/x", "example.org/es/", "block") and got[5] == ("b.example.org", "/en/1299", "example.org/en/1", "block")
+        assert got[6][2:] == ("org/", "allow") and got[7] == ("notexample.org", "", None, "allow") and got[8][2:] == (None, "block") and got[9][2:] == ("org/", "allow")
+        assert got[10][2:] == ("com/fr/", "allow") and got[11][2:] == ("com/de/", "block") and got[12] == ("a.com", "", None, "allow") and got[13] == ("a:", "//b/c", None, "allow")
+        assert got[14][3] == "block" and got[15][3] == "allow"
     assert url_filter.filter_urls(pages.where("false")).count() == 0
 
 
+def test_url_filter_with_lists_from_tables(spark):
+    """Against a plain loop over all entries, sent and joined; an empty list blocks nothing."""
+    parts = ["a", "b", "org", "net", "x-y"]
+    hosts = [".".join(random.choices(parts, k=random.randint(1, 4))) for _ in range(60)]
+    paths = ["", *["/" + "/".join(random.choices(["p", "q", "pq"], k=random.randint(1, 3))) for _ in range(30)]]
+    urls = [(i, f"http://{random.choice(hosts)}{random.choice(paths)}") for i in range(400)]
+    rules = list({(h, p): (h, p, random.choice(("allow", "block"))) for h, p in ((random.choice(hosts[:20]), random.choice(paths)) for _ in range(25))}.values())
+    entries = [random.choice(hosts[20:]) + random.choice(paths) for _ in range(15)] + ["x-y.*"]
+    pages = spark.createDataFrame(urls, "page_id long, url string")
+    fits = lambda e, h, p: e[:-2] in h.split(".") if e.endswith(".*") else (h == e.split("/")[0] or h.endswith("." + e.split("/")[0])) and p.startswith(e[len(e.split("/")[0]) :])
+    want = {}
+    for i, u in urls:
+        rest = u.split("://")[1]
+        host, path = rest.split("/")[0], rest[len(rest.split("/")[0]) :]
+        rule = max(((len(h + p), h + p, v) for h, p, v in rules if fits(h + p, host, path)), default=None)
+        want[i] = (rule and rule[1], rule[2] if rule else "block" if any(fits(e, host, path) for e in entries) else "allow")
+    lists = spark.createDataFrame(rules, "host string, path string, verdict string"), spark.createDataFrame([(e,) for e in entries], "entry string")
+    for own, block, size in ((rules, entries, 1 << 20), (*lists, 1 << 20), (*lists, 0)):
+        assert {r["page_id"]: (r["rule"], r["verdict"]) for r in url_filter.filter_urls(pages, own, block, size).collect()} == want
+    assert {v for _, v in want.values()} == {"allow", "block"} and {r["verdict"] for r in url_filter.filter_urls(pages, (), ()).collect()} == {"allow"}
+
+
 def contaminated_by_hand(rows: list[tuple], items: list[str]) -> set[int]:
     cut = lambda t: "".join(c if c.isascii() and c.isalnum() or not c.isascii() else " " for c in (t or "").translate(str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"))).split(" ")
     words = lambda t: [w for w in cut(t) if w]
