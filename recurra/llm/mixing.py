@@ -9,8 +9,9 @@ The prefix sums need no sort of a whole source. Keys fall into BUCKETS ranges; t
 tell the one range in which a source's rest ends; only that range's documents are ordered.
 
 Defined results: a null or empty text has size 0 and takes 0 words; the null source is a source of its own, last in
-order; a null doc_id is hashed as the empty string; repeated rows share a key and enter together in row order; an empty
-table gives an empty result; other columns are left alone.
+order; a row without a doc_id is hashed by its text; rows that share a key
+enter by doc_id, size and text, so that reruns take the same texts; an empty table gives an empty result; other columns
+are left alone.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from recurra.llm.storage import written
+from recurra.llm.storage import aside, written
 
 #: Ranges of keys within a source. One range's documents of a source are ordered together.
 BUCKETS = 4096
@@ -34,9 +35,10 @@ def words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
 
 
-def uniform(doc_id: Column) -> Column:
-    """In (0, 1): 48 bits of an md5 of the identity."""
-    digits = F.substring(F.md5(F.concat(F.lit("mix:"), F.coalesce(doc_id.cast("string"), F.lit("")))), 1, 12)
+def uniform(doc_id: Column, text: Column) -> Column:
+    """In (0, 1): 48 bits of an md5 of the identity, or of the text of a row without one."""
+    identity = F.coalesce(doc_id.cast("string"), F.concat(F.lit("text:"), F.md5(F.coalesce(text, F.lit("")))))
+    digits = F.substring(F.md5(F.concat(F.lit("mix:"), identity)), 1, 12)
     return (F.conv(digits, 16, 10).cast("double") + 0.5) / float(1 << 48)
 
 
@@ -66,15 +68,15 @@ def mix(docs: DataFrame, quality: DataFrame | None = None, row: tuple[str, ...]
 
     row: a column that numbers the rows, if there is one; it settles ties and is returned.
     """
-    rows = docs.select("doc_id", "source", *row, words(F.col("text")).alias("size"))
+    rows = docs.select("doc_id", "source", *row, words(F.col("text")).alias("size"), uniform(F.col("doc_id"), F.col("text")).alias("draw"), F.xxhash64("text").alias("tie"))
     if quality is not None:
         marks = quality.where("doc_id is not null").groupBy("doc_id").agg(F.max("quality").alias("quality"))
         rows = rows.join(marks, "doc_id", "left")
     else:
         rows = rows.withColumn("quality", F.lit(None).cast("int"))
     weight = F.when(F.col("quality") == 1, QUALITY[1]).when(F.col("quality") == 0, QUALITY[0]).otherwise(QUALITY[None])
-    key = -F.log(uniform(F.col("doc_id"))) / weight
-    rows = written(rows.select("doc_id", "source", *row, "size", F.round(key, 12).alias("key")).withColumn("bucket", F.least(F.lit(BUCKETS - 1), F.floor((1 - F.exp(-F.col("key"))) * BUCKETS)).cast("int")), "mix-rows")
+    key = -F.log("draw") / weight
+    rows = written(rows.select("doc_id", "source", *row, "size", "tie", F.round(key, 12).alias("key")).withColumn("bucket", F.least(F.lit(BUCKETS - 1), F.floor((1 - F.exp(-F.col("key"))) * BUCKETS)).cast("int")), "mix-rows")
     sums = rows.groupBy("source", "bucket").agg(F.sum("size").alias("bucket_size"))
     sums = written(sums, "mix-sums")
     targets = source_targets(sums.groupBy("source").agg(F.sum("bucket_size").alias("source_size")))
@@ -86,7 +88,7 @@ def mix(docs: DataFrame, quality: DataFrame | None = None, row: tuple[str, ...]
     d, g = rows.alias("d"), ranges.alias("g")
     placed = d.join(g, F.expr("d.bucket = g.bucket and d.source <=> g.source")).select("d.*", "g.source_size", "g.target", "g.epochs", "g.rest", "g.before", "g.upto")
     whole = placed.where("upto <= rest or before >= rest").withColumn("extra", ((F.col("upto") <= F.col("rest")) & (F.col("rest") > 0)).cast("long"))
-    order = Window.partitionBy("source", "bucket").orderBy("key", F.col("doc_id").asc_nulls_first(), *row)
+    order = Window.partitionBy("source", "bucket").orderBy("key", F.col("doc_id").asc_nulls_first(), "size", "tie", *row)
     upto = F.col("before") + F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, 0))
     # the document at the border enters if that brings the sum nearer to the rest
     split = placed.where("upto > rest and before < rest").withColumn("extra", (upto - F.col("size") / 2.0 <= F.col("rest")).cast("long"))
@@ -96,7 +98,7 @@ def mix(docs: DataFrame, quality: DataFrame | None = None, row: tuple[str, ...]
 
 def mixed(docs: DataFrame, quality: DataFrame | None = None) -> DataFrame:
     """docs' columns: each row as many times as the mix takes it, decided for each row by a number that is written with it."""
-    rows = written(docs.withColumn("__row", F.monotonically_increasing_id()), "mixed-rows")
+    rows, back = aside(docs, "doc_id", "text", "source")
+    rows = written(rows.withColumn("__row", F.monotonically_increasing_id()), "mixed-rows")
     copies = mix(rows, quality, ("__row",)).where("copies > 0").select("__row", F.col("copies").alias("__copies"))
-    placed = rows.join(copies, "__row")
-    return placed.withColumn("__time", F.explode(F.sequence(F.lit(1), F.col("__copies").cast("int")))).select(*[F.col(f"`{c}`") for c in docs.columns])
+    return rows.join(copies, "__row").withColumn("__time", F.explode(F.sequence(F.lit(1), F.col("__copies").cast("int")))).select(*back)
