@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from recurra.llm.storage import written
+from recurra.llm.storage import aside, written
 
 SALTS = 16
 LAST = (1 << 63) - 1
@@ -24,10 +24,14 @@ def normalised(text: Column) -> Column:
     return F.regexp_replace(F.coalesce(text, F.lit("")), r"[\x20\x09-\x0D]+", "")
 
 
+def _wide(c: Column) -> Column:
+    return c.cast("decimal(38,0)")
+
+
 def _order() -> Column:
-    """Larger is better: code points first, then the smaller doc_id. A decimal, so that hash aggregation can hold it."""
-    wide = lambda c: c.cast("decimal(38,0)")
-    return wide(F.col("length")) * wide(F.lit("18446744073709551616")) + wide(F.lit(LAST)) - wide(F.coalesce("doc_id", F.lit(LAST)))
+    """Larger is better: code points first, then any doc_id before none, then the smaller doc_id. A decimal, so that hash aggregation can hold it."""
+    doc = F.when(F.col("doc_id").isNull(), _wide(F.lit(0))).otherwise(_wide(F.lit(str(1 << 64))) + _wide(F.lit(LAST)) - _wide(F.col("doc_id")))
+    return (_wide(F.col("length")) * _wide(F.lit(str(1 << 65))) + doc).cast("decimal(38,0)")
 
 
 def exact_classes(docs: DataFrame) -> DataFrame:
@@ -35,11 +39,12 @@ def exact_classes(docs: DataFrame) -> DataFrame:
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), normalised(F.col("text")).alias("content"), F.length(F.coalesce("text", F.lit(""))).alias("length"))
     rows = rows.withColumn("digest", F.sha2("content", 256))
     salt = F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int")
-    salted = rows.select("digest", salt.alias("salt"), "content", _order().cast("decimal(38,0)").alias("best"))
+    salted = rows.select("digest", salt.alias("salt"), "content", _order().alias("best"))
     winners = salted.groupBy("digest", "salt", "content").agg(F.max("best").alias("best"), F.count("*").alias("n"))
     classes = winners.groupBy("digest", "content").agg(F.max("best").alias("best"), F.sum("n").alias("group_size"))
-    place = (F.lit(LAST).cast("decimal(38,0)") - F.expr("best % cast(18446744073709551616 as decimal(38,0))")).cast("long")
-    classes = classes.select("digest", F.sha2("content", 512).alias("second"), F.nullif(place, F.lit(LAST)).alias("keep_id"), "group_size")
+    doc = F.expr(f"best % cast('{1 << 65}' as decimal(38,0))")
+    keep = F.when(doc != 0, (_wide(F.lit(str(1 << 64))) + _wide(F.lit(LAST)) - doc).cast("long"))
+    classes = classes.select("digest", F.sha2("content", 512).alias("second"), keep.alias("keep_id"), "group_size")
     classes = written(classes, "exact-classes")
     light = written(rows.select("doc_id", "digest"), "exact-rows")
     shared = classes.groupBy("digest").count().where("count > 1").select("digest")
@@ -53,8 +58,9 @@ def exact_classes(docs: DataFrame) -> DataFrame:
 
 def exact_dedup(docs: DataFrame) -> DataFrame:
     """One row of each class of exact_classes(): the longest original, then the smallest doc_id (null last), then the first row."""
-    rows = written(docs.withColumn("__row", F.monotonically_increasing_id()), "exact-docs")
+    rows, back = aside(docs, "doc_id", "text")
+    rows = written(rows.withColumn("__row", F.monotonically_increasing_id()), "exact-docs")
     sized = rows.select("__row", F.col("doc_id").cast("long").alias("doc_id"), normalised(F.col("text")).alias("content"), F.length(F.coalesce("text", F.lit(""))).alias("length"))
-    best = F.max(F.struct(_order().cast("decimal(38,0)").alias("best"), (-F.col("__row")).alias("at")))
+    best = F.max(F.struct(_order().alias("best"), (-F.col("__row")).alias("at")))
     kept = sized.groupBy("content").agg(best.alias("best")).select((-F.col("best.at")).alias("__row"))
-    return rows.join(kept, "__row", "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
+    return rows.join(kept, "__row", "left_semi").select(*back)
