@@ -110,9 +110,13 @@ ORACLES = {
                    regexp_extract(coalesce(rest, ''), '^[^/?#]*([^?#]*)', 1) AS path
             FROM r),
         k AS (SELECT * FROM (VALUES ('org', '/', 'allow'), ('example.org', '/es/', 'block'), ('example.org', '/en/1', 'block'), ('com', '/fr/', 'allow'), ('com', '/de/', 'block')) AS k(h, p, v)),
+        b AS (
+            SELECT list(n || '-' || w) || list(w || '-' || n) AS names
+            FROM (SELECT unnest(['ad', 'ads', 'adult', 'bet', 'bets', 'cams', 'casino', 'clicks', 'crypto', 'loans', 'malware', 'pharma', 'phish', 'pills', 'poker', 'popup', 'porn', 'sex', 'slots', 'spam', 'viagra', 'warez', 'xxx']) AS n),
+                 (SELECT unnest(['24', 'best', 'bonus', 'cheap', 'club', 'farm', 'free', 'hot', 'hub', 'live', 'online', 'server', 'shop', 'track', 'tracker', 'win', 'x', 'zone']) AS w)),
         f AS (
             SELECT page_id, arg_max(h || p, length(h || p)) AS rule, arg_max(v, length(h || p)) AS v
             FROM u JOIN k ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p) GROUP BY page_id)
-        SELECT u.page_id, host, path, rule, coalesce(v, CASE WHEN regexp_matches(host, '(^|\.)(ads-track|free-bets|cheap-pills|spam-farm|casino-win|adult-x)\.example\.(com|net|org)$') THEN 'block' ELSE 'allow' END) AS verdict
-        FROM u LEFT JOIN f USING (page_id)""",
+        SELECT u.page_id, host, path, rule, coalesce(v, CASE WHEN list_has_any(string_split(host, '.'), b.names) THEN 'block' ELSE 'allow' END) AS verdict
+        FROM u LEFT JOIN f USING (page_id), b""",
 }
