@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from recurra.llm.bytewise import MASK, U, mix, shingle_set, texts_bounds, texts_words, word_classes
 from recurra.llm.components import components
-from recurra.llm.storage import written
+from recurra.llm.storage import aside, forget, written
 
 WORDS, BINS, ROWS, BANDS = 5, 128, 4, 32
 LAST = (1 << 63) - 1
@@ -237,6 +237,7 @@ def _decided(docs: DataFrame) -> DataFrame:
     stars = confirmed(groups.select(F.col("p").alias("a"), F.col("a").alias("b")), texts)
     label = components(written(stars.where("link").select("a", "b"), "near-stars"))
     more = written(bridges(groups, label, texts), "near-bridges")
+    forget(groups, texts)
     if not more.isEmpty():
         over = components(more).select(F.col("node").alias("component"), F.col("component").alias("top"))
         ends = more.select(F.col("a").alias("node")).union(more.select("b")).distinct()
@@ -256,8 +257,9 @@ def near_classes(docs: DataFrame) -> DataFrame:
 
 
 def near_dedup(docs: DataFrame) -> DataFrame:
-    """The row that is kept of each class of near_classes(), and all rows without shingles."""
-    rows = numbered(docs)
+    """The row that is kept of each class of near_classes(), and all rows without shingles; their columns as they were."""
+    own, back = aside(docs, "doc_id", "text")
+    rows = numbered(own)
     decided = _decided(rows.select(F.col("__row").alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "text"))
     drop = decided.where("not kept").select(F.col("row").alias("__row"))
-    return rows.join(drop, "__row", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+    return rows.join(drop, "__row", "left_anti").select(*back)

@@ -21,7 +21,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from recurra.llm.storage import written
+from recurra.llm.storage import forget, written
 
 GRID = 256
 FINE = 4096
@@ -129,26 +129,31 @@ def kd_tree(groups: DataFrame, axes: list[str], shards: int) -> Node:
     return root
 
 
-def shard(docs: DataFrame, shards: int = 40) -> DataFrame:
-    """doc_id, size, text_crc32, law, shard, slot, grown_shard for each row: shards near equal in bytes."""
-    text = F.coalesce("text", F.lit(""))
-    rows = docs.select("doc_id", "lang", "source", size_of(F.col("text")).alias("size"), F.crc32(text).alias("text_crc32"), F.xxhash64(text).alias("group"))
-    rows = written(rows.withColumn("row", F.monotonically_increasing_id()), "shard-rows")
+def points_of(rows: DataFrame) -> DataFrame:
+    """group, bytes, fine and each of AXES as a step, for each group of rows (group, size, doc_id, source, lang)."""
     group = rows.groupBy("group").agg(F.sum("size").alias("bytes"), F.max("size").alias("length"), F.min("doc_id").alias("place"), F.min("source").alias("source"), F.min("lang").alias("lang"))
     low = group.agg(*[f(c).alias(f"{n}_{c}") for c in ("length", "place") for n, f in (("low", F.min), ("high", F.max))])
     scaled = lambda c, value, lo, hi: F.coalesce(F.least(F.lit(GRID - 1), F.floor((value - lo) / F.nullif(hi - lo, F.lit(0)) * GRID)), F.lit(0)).cast("int").alias(c)
     ln = lambda c: F.log(F.col(c).cast("double"))
     hashed = lambda c: F.when(F.col(c).isNull(), 0).otherwise(F.pmod(F.xxhash64(c), F.lit(GRID))).cast("int").alias(c)
-    points = group.crossJoin(F.broadcast(low)).select(
+    return group.crossJoin(F.broadcast(low)).select(
         "group", "bytes", F.shiftrightunsigned("group", 40).cast("int").alias("fine"),
         hashed("source"), hashed("lang"), scaled("length", ln("length"), ln("low_length"), ln("high_length")),
         scaled("place", F.col("place").cast("double"), F.col("low_place").cast("double"), F.col("high_place").cast("double")),
     )
-    points = written(points, "shard-points")
+
+
+def shard(docs: DataFrame, shards: int = 40) -> DataFrame:
+    """doc_id, size, text_crc32, law, shard, slot, grown_shard for each row: shards near equal in bytes."""
+    text = F.coalesce("text", F.lit(""))
+    rows = docs.select("doc_id", "lang", "source", size_of(F.col("text")).alias("size"), F.crc32(text).alias("text_crc32"), F.xxhash64(text).alias("group"))
+    rows = written(rows.withColumn("row", F.monotonically_increasing_id()), "shard-rows")
+    points = written(points_of(rows), "shard-points")
     tree = kd_tree(points, AXES, shards)
     leaf = points.select("group", _place(tree, AXES).alias("leaf"))
     placed = rows.join(leaf.select("group", _at([n.first for n in _nodes(tree)], F.col("leaf")).alias("shard")), "group")
     placed = written(placed.withColumn("part", F.pmod(F.xxhash64("row"), F.lit(PARTS)).cast("int")), "shard-placed")
+    forget(rows, points)
     parts = placed.groupBy("shard", "part").agg(F.count("*").alias("n"))
     parts = parts.withColumn("before", F.sum("n").over(Window.partitionBy("shard").orderBy("part")) - F.col("n")).drop("n")
     number = F.row_number().over(Window.partitionBy("shard", "part").orderBy("row")) - 1
