@@ -1,6 +1,6 @@
 """Toxicity: Levenshtein automata intersected with a lexicon trie, and context windows that tell quotation from abuse.
 
-Learning, from a bounded sample of the labelled rows outside the held-out fold: in the trie of the words' prefixes,
+Learning, from the distinct lines of a bounded sample of the labelled rows outside the held-out fold: in the trie of the words' prefixes,
 a node is worth c * ln(rate in toxic texts / rate in others), for its c words in toxic texts, less a fixed price for each
 term that also pays for the number of nodes looked at. The lexicon is the best cut: a node is a term if it is worth
 more than the best terms below it. It is a whole word if words mostly end there, else a stem that any ending may
@@ -37,7 +37,7 @@ SAMPLE = {1: 4000, 0: 8000}
 THRESHOLD, MISSPELT = 0.7, 0.05
 #: Characters up to which each prefix of a word is a node of the trie; from there on, nodes are half as far apart as long.
 DENSE = 16
-#: Words that each term is taken to have in other texts besides those seen; toxic texts that a term is in at least.
+#: Words that each term is taken to have in other texts besides those seen; toxic lines that a term is in at least.
 FLOOR, LEAST = 4.0, 3
 #: Terms whose automata are multiplied; more terms run through several machines.
 TERMS = 24
@@ -282,7 +282,7 @@ def lexicon(rows: list[tuple[str, int, int, int]], toxic: int, other: int, price
 
 
 def sample(docs: DataFrame, labels: DataFrame) -> tuple[DataFrame, float]:
-    """The bounded training sample (text, toxic), and the share of toxic rows before sampling."""
+    """The distinct lines (text, toxic) of the bounded training sample, and the share of toxic rows before sampling."""
     marks = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg((F.max("toxic") > 0).cast("int").alias("toxic"))
     marks = written(marks, "toxicity-labels")
     n = {r["toxic"]: r["count"] for r in marks.groupBy("toxic").count().collect()}
@@ -290,7 +290,9 @@ def sample(docs: DataFrame, labels: DataFrame) -> tuple[DataFrame, float]:
     share = F.when(F.col("toxic") == 1, SAMPLE[1] / max(1, n.get(1, 0))).otherwise(SAMPLE[0] / max(1, n.get(0, 0)))
     chosen = F.broadcast(marks.where(draw < share))  # about 12,000 ids at most
     rows = docs.join(chosen, "doc_id").select("text", "toxic").where("text is not null")
-    rows = written(rows.dropDuplicates(["text", "toxic"]), "toxicity-sample")  # copies would make all their words look toxic
+    rows = written(rows, "toxicity-sample")
+    # lines are learned from once: copies and shared passages would make all their words look toxic
+    rows = written(rows.select(F.explode(F.split("text", "\n")).alias("text"), "toxic").distinct(), "toxicity-lines")
     return rows, n.get(1, 0) / max(1, sum(n.values()))
 
 
