@@ -8,8 +8,9 @@ selection). Lines of one length meet in the index itself. Hashes of substrings a
 keys of a batch are made by array arithmetic. They only propose pairs: a pair is verified on its texts, with an edit
 distance whose states, the diagonals within reach, are bits of one number for each pair, for all pairs of a task at once.
 
-Keys are dealt out once, sorted, and read in order: a key goes on only if it has an indexed line and another line. A key
-that many lines of one batch have is dealt over SALTS tasks. Keys are never expanded into pairs that move: the lines of a
+Keys are dealt out once, packed, to buckets whose number grows with the lines; in a bucket the index comes first and the
+probes pass by it: a key goes on only if it has an indexed line and another line. A key that many lines of one run have is
+dealt over SALTS buckets. Keys are never expanded into pairs that move: the lines of a
 key meet in a cell, those of a large key in cells of PER_BLOCK a side, and only a forest of the links leaves a task.
 Linked lines form classes. Of a class the first line of all texts stays, in the order of doc_id and place; white-space
 lines always stay.
@@ -23,7 +24,7 @@ order is that of a hash of their texts; an empty table gives no rows; other colu
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from hashlib import blake2b
 
 import numpy as np
@@ -41,10 +42,14 @@ EDITS = ((8, 1), (80, 2), (160, 3), (320, 4))
 MOST = max(e for _, e in EDITS)
 #: Lines of a key that meet in one cell; those of a larger key are dealt over cells with so many on each side.
 PER_BLOCK = 256
-#: A key of more lines of one batch is dealt over so many tasks.
+#: A key of more lines of one run is dealt over so many buckets.
 LOCAL, SALTS = 16, 64
+#: Lines for each bucket of keys: the index of a bucket is what a task holds at once. Pairs in a row, at most.
+PER_BUCKET, PACKED = 1 << 15, 256
 #: Code points whose keys are made together, and pairs that are verified together.
 TOGETHER, PAIRS = 1 << 19, 1 << 15
+#: Classes of characters whose numbers in two lines are compared before the lines are.
+BAG = 16
 SALTED, NOBODY, FIRST = -(1 << 63), 0, -(1 << 63)
 
 
@@ -62,37 +67,54 @@ def _points(lines: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.frombuffer("".join(lines).encode("utf-32-le", "surrogatepass"), np.uint32), np.cumsum(size) - size, size
 
 
+def _common(points: np.ndarray, a: np.ndarray, b: np.ndarray, n: np.ndarray, step: int) -> np.ndarray:
+    """How many characters from places a and b on, n at most, are equal, going by step."""
+    out = np.zeros(len(a), np.int64)
+    for i in range(len(a)):
+        x, y = (points[p[i] : p[i] + n[i]] if step > 0 else points[p[i] - n[i] + 1 : p[i] + 1][::-1] for p in (a, b))
+        differ = np.flatnonzero(x != y)
+        out[i] = differ[0] if len(differ) else n[i]
+    return out
+
+
 def within(points: np.ndarray, start: np.ndarray, size: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
     """Whether each pair of lines, by number, is linked. reach[e] of a pair: bit d is set if e edits lead to diagonal d - MOST."""
-    sa, sb, na, nb = start[left], start[right] + MOST, size[left], size[right]
-    most = allowed(np.minimum(na, nb))
-    shift, out = nb - na, np.zeros(len(left), bool)
-    live = np.flatnonzero(np.abs(shift) <= most)
-    width = 2 * MOST + 1
-    other = np.concatenate([np.full(MOST, 0xFFFFFFFF, np.uint32), points, np.full(width, 0xFFFFFFFF, np.uint32)])
+    most = allowed(np.minimum(size[left], size[right]))
+    out = np.zeros(len(left), bool)
+    live = np.flatnonzero(np.abs(size[left] - size[right]) <= most)
+    sa, sb, na, nb = start[left], start[right], size[left], size[right]
+    # equal beginnings and ends cost no edits
+    head = np.zeros(len(left), np.int64)
+    head[live] = _common(points, sa[live], sb[live], np.minimum(na, nb)[live], 1)
+    sa, sb, na, nb = sa + head, sb + head, na - head, nb - head
+    tail = np.zeros(len(left), np.int64)
+    tail[live] = _common(points, (sa + na - 1)[live], (sb + nb - 1)[live], np.minimum(na, nb)[live], -1)
+    na, nb = na - tail, nb - tail
+    shift, width = nb - na, 2 * MOST + 1
+    other = np.concatenate([np.full(MOST, 0xFFFFFFFF, np.uint32), points, np.full(width + 16, 0xFFFFFFFF, np.uint32)])
+    mine = np.concatenate([points, np.zeros(16, np.uint32)])
     reach = np.tile(np.array([((1 << (e + 1)) - 1) << MOST & (1 << width) - 1 for e in range(MOST + 1)], np.uint16)[:, None], (1, len(live)))
     full, i = np.uint16((1 << width) - 1), 0
     while len(live):
+        if i % 16 == 0:  # the masks of equal characters of the next 16 columns
+            alive = reach[most[live], np.arange(len(live))] != 0
+            live, reach = live[alive], reach[:, alive]
+            place = sb[live][None, :] + np.arange(i, i + 16)[:, None]
+            c = mine[np.minimum(sa[live][None, :] + np.arange(i, i + 16)[:, None], len(mine) - 1)]
+            j, ends = np.arange(i, i + 16)[:, None] - MOST, nb[live][None, :]
+            masks = np.zeros(place.shape, np.uint16)
+            for k in range(width):
+                masks |= ((other[np.minimum(place + k, len(other) - 1)] == c) & (j + k < ends) & (j + k >= 0)).astype(np.uint16) << np.uint16(k)
         done = na[live] == i
         if done.any():
             at = live[done]
             out[at] = reach[most[at], np.flatnonzero(done)] >> (shift[at] + MOST).astype(np.uint16) & 1
-            live, reach = live[~done], reach[:, ~done]
-            continue
-        c, place, ends, same = points[sa[live] + i], sb[live] + i - MOST, nb[live], np.zeros(len(live), np.uint16)
-        for k in range(width):
-            j = i + k - MOST
-            if j >= 0:
-                same |= ((other[place + k] == c) & (j < ends)).astype(np.uint16) << np.uint16(k)
-        new = reach & same
+            live, reach, masks = live[~done], reach[:, ~done], masks[:, ~done]
+        new = reach & masks[i % 16]
         for e in range(1, MOST + 1):
             new[e] |= reach[e - 1] | reach[e - 1] >> np.uint16(1) | new[e - 1] << np.uint16(1)
             new[e] &= full
         reach, i = new, i + 1
-        if i % 4 == 0:
-            alive = reach[most[live], np.arange(len(live))] != 0
-            if alive.mean() < 0.9:
-                live, reach = live[alive], reach[:, alive]
     return out
 
 
@@ -190,57 +212,103 @@ def _salted(key: np.ndarray, ref: np.ndarray) -> np.ndarray:
     return key ^ (mix((mix(ref.view(U)) % U(SALTS)) + U(1)) & ~U(1)).view(np.int64)
 
 
-def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """key (odd for probes) and ref (a line's number) of each key of each distinct line of a run of lines.
+PAIR_ROWS = "bucket int, probe boolean, pairs binary"
+
+
+def _packed(bucket: np.ndarray, key: np.ndarray, ref: np.ndarray, probe: bool) -> pa.RecordBatch:
+    """(key, ref) pairs by bucket, in rows of at most PACKED of them."""
+    order = np.argsort(bucket, kind="stable")
+    bucket, pairs = bucket[order], np.stack([key[order], ref[order]], axis=1)
+    begins = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])) if len(bucket) else np.zeros(0, np.int64)
+    n = np.diff(np.append(begins, len(bucket)))
+    rows = -(-n // PACKED)
+    cuts = np.repeat(begins, rows) + (np.arange(rows.sum()) - np.repeat(np.cumsum(rows) - rows, rows)) * PACKED
+    offsets = pa.array(np.append(cuts, len(bucket)) * 16, pa.int32())
+    blobs = pa.Array.from_buffers(pa.binary(), len(cuts), [None, offsets.buffers()[1], pa.py_buffer(pairs.tobytes())])
+    return pa.RecordBatch.from_arrays([pa.array(bucket[cuts], pa.int32()), pa.array(np.full(len(cuts), probe)), blobs], ["bucket", "probe", "pairs"])
 
-    A key of more than LOCAL lines is salted, which its refs tell by SALTED, and has rows of no line, one of each kind, besides.
+
+def _keys(buckets: int) -> Callable:
+    """Pairs of each key and the number of the line that has it, for each distinct line of a run of lines; those of the index apart.
+
+    A key of more than LOCAL lines is salted, which its refs tell by SALTED, and has a pair of no line on each side besides.
     """
-    for batch in batches:
-        for lines in groups_of(_distinct(batch.column("text"))):
-            short = np.array([_short(x) for x in lines], np.int64)
-            parts = list(keys_of(lines))
-            key, who = np.concatenate([k for k, _, _ in parts]), np.concatenate([w for _, w, _ in parts])
-            probe, ref = np.repeat([not i for _, _, i in parts], [len(k) for k, _, _ in parts]), short[who]
-            slot = (key >> 46) & ((1 << 18) - 1)
-            maybe = np.flatnonzero((np.bincount(slot, minlength=1 << 18) > LOCAL)[slot])
-            signs, which, n = np.unique(key[maybe], return_inverse=True, return_counts=True)
-            hot, signs = maybe[n[which] > LOCAL], signs[n > LOCAL]
-            key[hot] = _salted(key[hot], ref[hot])
-            ref[hot] |= SALTED
-            key = np.concatenate([key + probe, signs, signs + 1])
-            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(np.concatenate([ref, np.full(len(signs), NOBODY), np.full(len(signs), NOBODY + 1)]))], ["key", "ref"])
+
+    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lines in groups_of(_distinct(batch.column("text"))):
+                short = np.array([_short(x) for x in lines], np.int64)
+                parts = list(keys_of(lines))
+                key, ref = np.concatenate([k for k, _, _ in parts]), short[np.concatenate([w for _, w, _ in parts])]
+                probe = np.repeat([not i for _, _, i in parts], [len(k) for k, _, _ in parts])
+                slot = (key >> 46) & ((1 << 18) - 1)
+                maybe = np.flatnonzero((np.bincount(slot, minlength=1 << 18) > LOCAL)[slot])
+                signs, which, n = np.unique(key[maybe], return_inverse=True, return_counts=True)
+                hot, signs = maybe[n[which] > LOCAL], signs[n > LOCAL]
+                key[hot] = _salted(key[hot], ref[hot])
+                ref[hot] |= SALTED
+                for side in (False, True):
+                    k = np.concatenate([key[probe == side], signs])
+                    r = np.concatenate([ref[probe == side], np.full(len(signs), NOBODY + side)])
+                    yield _packed(((k.view(U) >> U(20)) % U(buckets)).astype(np.uint16 if buckets <= 1 << 16 else np.int32), k, r, side)
+
+    return pairs
 
 
 def _meeting(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows in the order of key: those of keys with an indexed line and another line, and all that are salted; as key, id, indexed."""
-    held: tuple[int, int] | None = None  # the last run's index row, if its run is not known to go on
-    last: tuple[int, bool] | None = None  # the last run's key, and whether it goes on
+    """key, id, indexed of the keys that have an indexed line and another line, and of all that are salted.
+
+    Rows come in the order of bucket and side. Of a bucket, the keys of the index are held, with one line each and
+    whether it has been given out; a key's other lines, and all probes, pass by.
+    """
+    now, keys, refs, given = None, *(np.zeros(0, t) for t in (np.int64, np.int64, bool))
     for batch in batches:
-        key, ref = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("key", "ref"))
-        if not len(key):
-            continue
-        if held is not None:
-            key, ref = np.append(held[0], key), np.append(held[1], ref)
-        run = key & ~1
-        begins = np.concatenate([[True], run[1:] != run[:-1]])
-        number, first = np.cumsum(begins) - 1, np.flatnonzero(begins)
-        alive = np.zeros(len(first), bool)
-        alive[number[ref != ref[first][number]]] = True
-        indexed = key[first] == run[first]  # the index comes first in a run
-        alive &= indexed
-        if last is not None and last == (int(run[0]), True):
-            alive[0] = True
-        last = int(run[-1]), bool(alive[-1])
-        held = (int(run[-1]), int(ref[first[-1]])) if indexed[-1] and not alive[-1] else None
-        salted = ref < 0
-        keep = (alive[number] | salted) & (ref != NOBODY) & (ref != NOBODY + 1)
-        run[salted] = _salted(run[salted], ref[salted] ^ SALTED)
-        yield pa.RecordBatch.from_arrays([pa.array(run[keep]), pa.array(ref[keep] & ~SALTED), pa.array((key & 1 == 0)[keep])], ["key", "id", "indexed"])
+        bucket, side = batch.column("bucket").to_numpy(), np.array(batch.column("probe"))
+        blobs = batch.column("pairs")
+        ends = np.frombuffer(blobs.buffers()[1], np.int32, len(blobs) + 1 + blobs.offset)[blobs.offset :] if len(blobs) else np.zeros(1, np.int32)
+        data = np.frombuffer(blobs.buffers()[2], np.uint8) if len(blobs) else b""
+        cuts = np.flatnonzero((bucket[1:] != bucket[:-1]) | (side[1:] != side[:-1])) + 1
+        out: list[tuple[np.ndarray, np.ndarray, bool]] = []
+        for a, b in zip([0, *cuts], [*cuts, len(blobs)] if len(blobs) else []):
+            if now != bucket[a]:
+                now, keys, refs, given = bucket[a], *(np.zeros(0, t) for t in (np.int64, np.int64, bool))
+            pairs = data[ends[a] : ends[b]].tobytes()
+            key, ref = np.frombuffer(pairs, np.int64).reshape(-1, 2).T
+            probe, salted = bool(side[a]), ref < 0
+            if salted.any():
+                out.append((_salted(key[salted], ref[salted] ^ SALTED), ref[salted] ^ SALTED, not probe))
+                key, ref = key[~salted], ref[~salted]
+            if probe:
+                if not len(keys):
+                    continue
+                place = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
+                met = (keys[place] == key) & (ref != refs[place])
+                out.append((key[met], ref[met], False))
+                fresh = np.unique(place[met])
+                fresh = fresh[~given[fresh]]
+                out.append((keys[fresh], refs[fresh], True))
+                given[fresh] = True
+            else:
+                k, r, g = np.concatenate([keys, key]), np.concatenate([refs, ref]), np.concatenate([given, np.zeros(len(key), bool)])
+                old = np.arange(len(k)) < len(keys)
+                order = np.argsort(k, kind="stable")
+                k, r, g, old = k[order], r[order], g[order], old[order]
+                begins = np.concatenate([[True], k[1:] != k[:-1]]) if len(k) else np.zeros(0, bool)
+                first, number = np.flatnonzero(begins), np.cumsum(begins) - 1
+                several = np.zeros(len(first), bool)
+                several[number[r != r[first][number]]] = True
+                give = (several | g[first])[number] & ~(old & g)
+                out.append((k[give], r[give], True))
+                keys, refs, given = k[first], r[first], g[first] | several
+        for key, ref, indexed in out:
+            real = (ref != NOBODY) & (ref != NOBODY + 1)
+            yield pa.RecordBatch.from_arrays([pa.array(key[real]), pa.array(ref[real]), pa.array(np.full(int(real.sum()), indexed))], ["key", "id", "indexed"])
 
 
 def _forest(cells: np.ndarray, side: np.ndarray, node: list[int], lines: list[str]) -> list[tuple[int, int]]:
     """A forest of the links within cells between lines of the probing side (1, 2) and of the index (0, 2). cells: in order."""
     points, start, size = _points(lines)
+    bag = np.bincount(np.repeat(np.arange(len(lines)) * BAG, size) + points % BAG, minlength=len(lines) * BAG).reshape(-1, BAG).astype(np.int32)
     top = {i: i for i in node}
     out = []
 
@@ -253,6 +321,9 @@ def _forest(cells: np.ndarray, side: np.ndarray, node: list[int], lines: list[st
         """Link those pairs of lines that are not in one tree yet."""
         for at in range(0, len(left), PAIRS):
             x, y = left[at : at + PAIRS], right[at : at + PAIRS]
+            # an edit changes two numbers of a line's bag of characters by one at most
+            maybe = np.abs(bag[x] - bag[y]).sum(axis=1) <= 2 * allowed(np.minimum(size[x], size[y]))
+            x, y = x[maybe], y[maybe]
             tops = {i: find(node[i]) for i in {*x.tolist(), *y.tolist()}}
             apart = np.array([tops[i] != tops[j] for i, j in zip(x.tolist(), y.tolist())], bool)
             x, y = x[apart], y[apart]
@@ -306,13 +377,13 @@ def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield links(pa.Table.from_batches(held))
 
 
-def line_links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+def line_links(docs: DataFrame, n_lines: int) -> tuple[DataFrame, DataFrame]:
     """Lines (node, d1, d2) that may be linked, and links (a, b) of nodes with the components that all links have.
 
     Texts stay where they are until it is known which lines have a key in common with another; only theirs are moved.
     """
     texts = docs.select("text")
-    keys = texts.mapInArrow(_keys, "key long, ref long").repartition(F.shiftright("key", 1)).sortWithinPartitions("key")
+    keys = texts.mapInArrow(_keys(n_lines // PER_BUCKET + 1), PAIR_ROWS).repartition("bucket").sortWithinPartitions("bucket", "probe")
     full = written(keys.mapInArrow(_meeting, "key long, id long, indexed boolean").distinct(), "line-members")
     wanted = written(full.select("id").distinct(), "line-wanted")
     few = wanted.count() <= 2_000_000  # so many numbers are 16 MB; beyond, they are joined by a shuffle
@@ -346,7 +417,7 @@ def _order() -> Column:
 def line_classes(rows: DataFrame) -> DataFrame:
     """row, doc_id, place, first_doc, first_place, dropped for each line of rows (row, doc_id, text); place -1 and no class for texts without lines."""
     at = written(rows.mapInArrow(_places, "row long, doc_id long, hash int, place int, d1 long, d2 long"), "line-places")
-    lines, links = line_links(rows)
+    lines, links = line_links(rows, at.count())
     label = components(links)
     label = label.join(lines.select("node", "d1", "d2"), "node").drop("node")
     order = _order()
