@@ -171,7 +171,7 @@ def dense_channels(rows: DataFrame, key: str = "episode") -> DataFrame:
         ((c("close") - c("open")) / c("atr")).alias("body_atr"), ((c("high") - F.greatest("open", "close")) / c("atr")).alias("upper_wick_atr"),
         ((F.least("open", "close") - c("low")) / c("atr")).alias("lower_wick_atr"), ratio(c("close") - c("low"), c("high") - c("low")).alias("close_location"),
         (c("atr") / c("close")).alias("atr_pct"), ratio(c("lv") - c("vm"), 1.4826 * c("vmad")).alias("volume_robust_z"),
-        ratio(c("return") - c("rm"), 1.4826 * c("rmad")).alias("return_shock_z"), (c("close") / roll(top("high"), c("high"), 63, 20) - 1).alias("distance_high_63"),
+        ratio(c("return") - c("rm"), 1.4826 * c("rmad")).alias("return_shock_z"), (c("close") / roll(top("close"), c("close"), 63, 20) - 1).alias("distance_high_63"),
         (c("close") / roll(mean("close"), c("close"), 20, 10) - 1).alias("distance_ma_20"), (c("close") / roll(mean("close"), c("close"), 50, 20) - 1).alias("distance_ma_50"),
         ratio(wide(20, 10), wide(63, 20)).alias("compression_ratio"), c("bench_close").alias("benchmark_close"), "benchmark_return",
         F.log(c("bench_close") / c("bench_first")).alias("benchmark_path"), roll(std("benchmark_return"), c("benchmark_return"), 20, 10).alias("benchmark_volatility"),

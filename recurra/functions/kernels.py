@@ -71,7 +71,7 @@ def channels(o: np.ndarray, h: np.ndarray, l: np.ndarray, c: np.ndarray, v: np.n
         out = {
             "close_path": lc - lc[:, :1], "return": ret, "overnight": np.log(o / before), "intraday": np.log(c / o), "range_pct": np.log(h / l),
             "body_atr": (c - o) / atr, "upper_wick_atr": (h - np.maximum(o, c)) / atr, "lower_wick_atr": (np.minimum(o, c) - l) / atr, "close_location": (c - l) / spread, "atr_pct": atr / c,
-            "volume_robust_z": _robust_z(np.log(np.maximum(v, EPS)), 20), "return_shock_z": _robust_z(ret, 63), "distance_high_63": c / top[63] - 1,
+            "volume_robust_z": _robust_z(np.log(np.maximum(v, EPS)), 20), "return_shock_z": _robust_z(ret, 63), "distance_high_63": c / roll(np.nanmax, c, 63, 20) - 1,
             "distance_ma_20": c / roll_mean(c, 20, 10) - 1, "distance_ma_50": c / roll_mean(c, 50, 20) - 1, "compression_ratio": (top[20] / low[20] - 1) / np.where(wide == 0, np.nan, wide),
             "benchmark_close": b, "benchmark_return": market, "benchmark_path": np.log(b / start), "benchmark_volatility": roll(lambda w, axis: np.nanstd(w, axis=axis, ddof=1), market, 20, 10),
             "benchmark_drawdown": b / np.fmax.accumulate(b, axis=1) - 1, "relative_return": relative,
@@ -179,7 +179,9 @@ def elastic(rows: dict[str, np.ndarray], query: dict[str, np.ndarray]) -> tuple[
     return have, have @ (1 << np.arange(len(ELASTIC)))
 
 
-def warped(rows: dict[str, np.ndarray], query: dict[str, np.ndarray]) -> np.ndarray:
+def warped(rows: dict[str, np.ndarray], query: dict[str, np.ndarray], measure=None) -> np.ndarray:
+    """The elastic part of each pair: by dtw_pairs(), or by another measure of scaled paths, such as lb_keogh()."""
+    measure = measure or dtw_pairs
     have, key = elastic(rows, query)
     out = np.zeros(len(key))
     band = max(int(64 * BAND), 1)
@@ -190,7 +192,7 @@ def warped(rows: dict[str, np.ndarray], query: dict[str, np.ndarray]) -> np.ndar
             scale = [pair_scale(rows[f"s64_{c}"][at], query[f"s64_{c}"])[:, None] for c in names]
             x = np.stack([rows[f"s64_{c}"][at] / s for c, s in zip(names, scale)], axis=2)
             y = np.stack([np.broadcast_to(query[f"s64_{c}"], (len(at), 64)) / s for c, s in zip(names, scale)], axis=2)
-            out[at] = dtw_pairs(x, y, band)
+            out[at] = measure(x, y, band)
     return out
 
 

@@ -32,10 +32,28 @@ def interval_score(actual: Column, low: Column, high: Column, alpha: float) -> C
     return (high - low) + 2 / alpha * F.greatest(low - actual, F.lit(0.0)) + 2 / alpha * F.greatest(actual - high, F.lit(0.0))
 
 
+def ranked(rows: DataFrame, order: list[Column], sums: dict[str, str]) -> DataFrame:
+    """rows with their place `k` from 1 in a total order, the number `n` of all, and running sums: {name: column}.
+
+    Rows are dealt by ranges of the order, numbered within each range, and the ranges' counts and sums (one row each) put before them.
+    """
+    parts = rows.repartitionByRange(*order).withColumn("part", F.spark_partition_id()).persist()  # ranges are drawn from samples: one drawing for both uses
+    own = Window.partitionBy("part").orderBy(*order)
+    every, before = Window.partitionBy(F.lit(0)), Window.partitionBy(F.lit(0)).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each range
+    first = parts.groupBy("part").agg(F.count("*").alias("n"), *[F.sum(c).alias(f"s_{x}") for x, c in sums.items()])
+    first = first.select("part", F.sum("n").over(every).alias("n"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("k0"), *[F.coalesce(F.sum(f"s_{x}").over(before), F.lit(0)).alias(f"s_{x}") for x in sums])
+    upto = own.rowsBetween(Window.unboundedPreceding, 0)
+    out = parts.withColumns({"k": F.row_number().over(own), **{x: F.sum(c).over(upto) for x, c in sums.items()}}).join(F.broadcast(first), "part")
+    return out.withColumns({"k": F.col("k") + F.col("k0"), **{x: F.col(x) + F.col(f"s_{x}") for x in sums}}).drop("part", "k0", *[f"s_{x}" for x in sums])
+
+
 def calibration(rows: DataFrame, p: str, hit: str, bins: int, key: str) -> DataFrame:
     """Bins of equal count, the first ones a row larger: mean probability and frequency. A bin is a range of ranks."""
-    w = Window.partitionBy(F.lit(0)).orderBy(p, key)
-    return rows.withColumn("bin", F.ntile(bins).over(w)).groupBy("bin").agg(F.count("*").alias("n"), F.avg(p).alias("mean_p"), F.avg(hit).alias("frequency"))
+    r = ranked(rows.select(F.col(p).alias("p"), F.col(hit).alias("hit"), F.col(key).alias("key")), [F.col("p"), F.col("key")], {})
+    size, more = F.floor(F.col("n") / bins), F.col("n") % bins
+    edge = more * (size + 1)
+    number = F.when(F.col("k") <= edge, F.floor((F.col("k") - 1) / (size + 1))).otherwise(more + F.floor((F.col("k") - 1 - edge) / F.greatest(size, F.lit(1))))
+    return r.withColumn("bin", (number + 1).cast("int")).groupBy("bin").agg(F.count("*").alias("n"), F.avg("p").alias("mean_p"), F.avg("hit").alias("frequency"))
 
 
 def calibration_error(bins: DataFrame) -> DataFrame:
@@ -57,11 +75,9 @@ def month_means(rows: DataFrame, loss: str, reference: str) -> DataFrame:
 
 def risk_coverage(rows: DataFrame, confidence: str, loss: str, key: str) -> DataFrame:
     """Mean loss of the most confident share, at each tenth of coverage."""
-    every = Window.partitionBy(F.lit(0))
-    w = every.orderBy(F.col(confidence).desc(), key)
-    r = rows.withColumns({"k": F.row_number().over(w), "n": F.count("*").over(every), "risk": F.avg(loss).over(w.rowsBetween(Window.unboundedPreceding, 0))})
+    r = ranked(rows.select(F.col(confidence).alias("c"), F.col(loss).alias("loss"), F.col(key).alias("key")), [F.col("c").desc(), F.col("key")], {"total": "loss"})
     tenth = F.ceil(F.col("k") * 10 / F.col("n")).cast("int")
-    return r.withColumn("tenth", tenth).groupBy("tenth").agg(F.max_by("risk", "k").alias("risk"), F.max("k").alias("covered"))
+    return r.withColumns({"tenth": tenth, "risk": F.col("total") / F.col("k")}).groupBy("tenth").agg(F.max_by("risk", "k").alias("risk"), F.max("k").alias("covered"))
 
 
 def dm_test(months: DataFrame, lags: int) -> DataFrame:

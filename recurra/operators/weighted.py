@@ -63,21 +63,30 @@ def expanding_frequency(known: DataFrame, asks: DataFrame, label: str) -> DataFr
     return asks.join(upto, F.col("cutoff") == F.col("t")).select("query_id", "cutoff", "n", F.try_divide("hits", F.nullif("n", F.lit(0))).alias("frequency"))
 
 
+def _running(known: DataFrame, asks: DataFrame, keys: list[str], name: str) -> DataFrame:
+    """asks' (keys, t) with the numbers of known outcomes and hits of their cell up to t: one ordered pass over the cell's distinct times."""
+    zero = asks.select(*keys, "t").distinct().withColumns({"n": F.lit(0), "h": F.lit(0)})
+    times = known.groupBy(*keys, "t").agg(F.sum("n").alias("n"), F.sum("h").alias("h")).unionByName(zero).groupBy(*keys, "t").agg(F.sum("n").alias("n"), F.sum("h").alias("h"))
+    w = Window.partitionBy(*(keys or [F.lit(0)])).orderBy("t").rowsBetween(Window.unboundedPreceding, 0)  # a row for each session of a cell
+    return times.select(*keys, "t", F.sum("n").over(w).alias(f"n_{name}"), F.sum("h").over(w).alias(f"h_{name}"))
+
+
 def matched_probability(known: DataFrame, asks: DataFrame, label: str, least: int = 30) -> DataFrame:
     """Share of the label among earlier outcomes of the ask's cell, or of the widest cell needed to have `least` of them.
 
     Levels: regime and liquidity, regime, all. known: completion, label, regime, liquidity. asks: query_id, cutoff and both.
+    Outcomes are counted by cell and time first; running sums up to each asked time replace a join by order.
     """
-    pairs = asks.join(known.withColumnsRenamed({"regime": "k_regime", "liquidity": "k_liquidity"}).groupBy("completion", "k_regime", "k_liquidity").agg(F.count("*").alias("n"), F.count_if(F.col("label") == label).alias("h")), F.col("completion") <= F.col("cutoff"), "left")
-    same_r, same_l = F.col("k_regime") == F.col("regime"), F.col("k_liquidity") == F.col("liquidity")
-    s = lambda c, k: F.coalesce(F.sum(F.when(c, F.col(k))), F.lit(0))
-    cell = {"cell": same_r & same_l, "regime": same_r, "all": F.lit(True)}
-    out = pairs.groupBy("query_id", "cutoff").agg(*[s(c, k).alias(f"{k}_{name}") for name, c in cell.items() for k in ("n", "h")])
+    counts = known.groupBy(F.col("completion").alias("t"), "regime", "liquidity").agg(F.count("*").alias("n"), F.count_if(F.col("label") == label).alias("h"))
+    out = asked = asks.select("query_id", F.col("cutoff").alias("t"), "regime", "liquidity")
+    cells = {"cell": ["regime", "liquidity"], "regime": ["regime"], "all": []}
+    for name, keys in cells.items():
+        out = out.join(_running(counts, asked, keys, name), [*keys, "t"], "left")
     level = F.when(F.col("n_cell") >= least, "cell").when(F.col("n_regime") >= least, "regime").when(F.col("n_all") >= least, "all").otherwise("uniform")
     p = F.when(level == "uniform", 1 / 3)
-    for name in cell:
+    for name in cells:
         p = p.when(level == name, F.col(f"h_{name}") / F.col(f"n_{name}"))
-    return out.select("query_id", "cutoff", level.alias("level"), p.alias("p"))
+    return out.select("query_id", F.col("t").alias("cutoff"), level.alias("level"), p.alias("p"))
 
 
 def crps(rows: DataFrame, keys: list[str], value: str, weight: str, actual: str) -> DataFrame:

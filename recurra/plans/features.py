@@ -150,13 +150,13 @@ EPISODES_SQL = f"""p AS (SELECT bars.*, bench.close AS bench_close, row_number()
           FROM e WINDOW w AS ({E}), s AS ({E} ROWS UNBOUNDED PRECEDING)),
     b AS (SELECT *, nullif({roll('avg', 'tr', 14, 5, E)}, 0) AS atr, {roll('median', 'lv', 20, 10, E)} AS vm, {roll('median', 'ret', 63, 31, E)} AS rm, ret - bret AS rret FROM a),
     c AS (SELECT *, abs(lv - vm) AS vd, abs(ret - rm) AS rd FROM b),
-    d AS (SELECT *, {roll('median', 'vd', 20, 10, E)} AS vmad, {roll('median', 'rd', 63, 31, E)} AS rmad, {roll('max', 'high', 63, 20, E)} AS h63, {roll('min', 'low', 63, 20, E)} AS l63,
+    d AS (SELECT *, {roll('median', 'vd', 20, 10, E)} AS vmad, {roll('median', 'rd', 63, 31, E)} AS rmad, {roll('max', 'high', 63, 20, E)} AS h63, {roll('max', 'close', 63, 20, E)} AS c63, {roll('min', 'low', 63, 20, E)} AS l63,
               {roll('max', 'high', 20, 10, E)} AS h20, {roll('min', 'low', 20, 10, E)} AS l20, {roll('avg', 'close', 20, 10, E)} AS ma20, {roll('avg', 'close', 50, 20, E)} AS ma50,
               {roll('stddev_samp', 'bret', 20, 10, E)} AS bvol, CASE WHEN bret IS NOT NULL THEN sum(coalesce(rret, 0)) OVER ({E} ROWS UNBOUNDED PRECEDING) END AS rpath FROM c)"""
 CHANNEL_SQL = dict(
     close_path="path", overnight="ln(open / before)", intraday="ln(close / open)", range_pct="ln(high / low)", body_atr="(close - open) / atr", upper_wick_atr="(high - greatest(open, close)) / atr",
     lower_wick_atr="(least(open, close) - low) / atr", close_location="(close - low) / nullif(high - low, 0)", atr_pct="atr / close", volume_robust_z="(lv - vm) / nullif(1.4826 * vmad, 0)",
-    return_shock_z="(ret - rm) / nullif(1.4826 * rmad, 0)", distance_high_63="close / h63 - 1", distance_ma_20="close / ma20 - 1", distance_ma_50="close / ma50 - 1",
+    return_shock_z="(ret - rm) / nullif(1.4826 * rmad, 0)", distance_high_63="close / c63 - 1", distance_ma_20="close / ma20 - 1", distance_ma_50="close / ma50 - 1",
     compression_ratio="(h20 / l20 - 1) / nullif(h63 / l63 - 1, 0)", benchmark_close="bench_close", benchmark_return="bret", benchmark_path="bpath", benchmark_volatility="bvol", benchmark_drawdown="bdd",
     relative_return="rret", relative_path="rpath",
 )

@@ -247,7 +247,7 @@ def ranks(spark: SparkSession, sf_dir: str, bars: DataFrame) -> DataFrame:
     return rounded(events.percentile_ranks(_feats(bars), ["ts"], COLS).select("symbol", "ts", *[f"{c}_rank" for c in COLS]), "symbol", "ts")
 
 
-MATCH_SQL = RANKS_SQL + """, ev AS (SELECT * FROM rk WHERE symbol IN ('Brand#1', 'Brand#2', 'Brand#3') AND day(ts) <= 7),
+MATCH_SQL = RANKS_SQL + """, ev AS (SELECT * FROM rk),
     pr AS (SELECT e.ts, e.symbol AS event, p.symbol AS control, round(0.5 * (p.ret_20_rank - e.ret_20_rank) * (p.ret_20_rank - e.ret_20_rank) + 0.3 * (p.ret_63_rank - e.ret_63_rank) * (p.ret_63_rank - e.ret_63_rank) + 0.2 * (p.vol_20_rank - e.vol_20_rank) * (p.vol_20_rank - e.vol_20_rank), 12) AS d2,
                sha256(strftime(e.ts, '%Y-%m-%d') || '|' || e.symbol || '|' || p.symbol) AS g FROM ev AS e JOIN rk AS p ON e.ts = p.ts AND e.symbol <> p.symbol),
     mm AS (SELECT *, row_number() OVER (PARTITION BY ts, event ORDER BY d2, g, control) AS match_rank FROM pr), m AS (SELECT ts, event, control, match_rank, d2 FROM mm WHERE match_rank <= 5)"""
@@ -255,8 +255,7 @@ MATCH_SQL = RANKS_SQL + """, ev AS (SELECT * FROM rk WHERE symbol IN ('Brand#1',
 
 def _matches(bars: DataFrame) -> DataFrame:
     rk = events.percentile_ranks(_feats(bars), ["ts"], COLS).select("symbol", "ts", *[f"{c}_rank" for c in COLS])
-    chosen = rk.where("symbol in ('Brand#1', 'Brand#2', 'Brand#3') and day(ts) <= 7")
-    return events.nearest_controls(chosen, rk, {"ret_20_rank": 0.5, "ret_63_rank": 0.3, "vol_20_rank": 0.2})
+    return events.nearest_controls(rk, rk, {"ret_20_rank": 0.5, "ret_63_rank": 0.3, "vol_20_rank": 0.2})
 
 
 @query("joi_11_knn_join", MATCH_SQL + " SELECT ts, event, control, match_rank, round(d2, 9) + 0.0::DOUBLE AS d2 FROM m", bars="brand_week")
@@ -267,7 +266,7 @@ def knn(spark: SparkSession, sf_dir: str, bars: DataFrame) -> DataFrame:
 @query(
     "joi_12_decile_ladder",
     DECILES_SQL + """, pr AS (SELECT e.ts, e.symbol AS event, p.symbol AS control, greatest(abs(p.ret_20_decile - e.ret_20_decile), abs(p.vol_20_decile - e.vol_20_decile)) AS far, sha256(strftime(e.ts, '%Y-%m-%d') || '|' || e.symbol || '|' || p.symbol) AS g
-        FROM dd AS e JOIN dd AS p ON e.ts = p.ts WHERE e.symbol IN ('Brand#1', 'Brand#2', 'Brand#3')),
+        FROM dd AS e JOIN dd AS p ON e.ts = p.ts),
     c AS (SELECT *, count(*) FILTER (far = 0) OVER w AS same, count(*) FILTER (far <= 1) OVER w AS near FROM pr WINDOW w AS (PARTITION BY ts, event)),
     l AS (SELECT *, CASE WHEN same >= 3 THEN 0 WHEN near >= 3 THEN 1 ELSE 2 END AS level FROM c),
     k AS (SELECT *, row_number() OVER (PARTITION BY ts, event ORDER BY g, control) AS match_rank FROM l WHERE (level = 2 OR far <= level) AND control <> event)
@@ -276,7 +275,7 @@ def knn(spark: SparkSession, sf_dir: str, bars: DataFrame) -> DataFrame:
 )
 def decile_ladder(spark: SparkSession, sf_dir: str, bars: DataFrame) -> DataFrame:
     d = events.deciles(_feats(bars), ["ts"], COLS)
-    return events.ladder_controls(d.where("symbol in ('Brand#1', 'Brand#2', 'Brand#3')"), d, ["ret_20_decile", "vol_20_decile"], 3)
+    return events.ladder_controls(d, d, ["ret_20_decile", "vol_20_decile"], 3)
 
 
 PAIRED_SQL = MATCH_SQL + f", o AS (SELECT symbol, ts, lead(close, 20) OVER ({W}) / close - 1 AS v FROM bars)"

@@ -135,8 +135,8 @@ def threshold_band(spark: SparkSession, sf_dir: str, bars: DataFrame) -> DataFra
     return S.band(v, "a", 0.01, 0.05, v.where("symbol = 'Brand#2'").select("episode_id"))
 
 
-QUERY_SQL = FEATS_SQL + """, ep AS (SELECT symbol, ts AS cutoff, symbol || '@' || strftime(ts, '%Y-%m-%d') AS episode_id, ret_20, ret_63, vol_20 FROM b),
-    qs AS (SELECT symbol || '/' || strftime(ts, '%Y-%m-%d') AS query_id, symbol AS q_symbol, ts AS q_cutoff, ret_20 AS q_ret_20, ret_63 AS q_ret_63, vol_20 AS q_vol_20 FROM b WHERE symbol IN ('Brand#1', 'Brand#2') AND month(ts) = 6 AND day(ts) <= 7),
+QUERY_SQL = FEATS_SQL + """, ep AS (SELECT symbol, ts AS cutoff, symbol || '@' || strftime(ts, '%Y-%m-%d') AS episode_id, ret_20, ret_63, vol_20 FROM b), nu AS (SELECT *, row_number() OVER (ORDER BY ts, symbol) - 1 AS id FROM b),
+    qs AS (SELECT symbol || '/' || strftime(ts, '%Y-%m-%d') AS query_id, symbol AS q_symbol, ts AS q_cutoff, ret_20 AS q_ret_20, ret_63 AS q_ret_63, vol_20 AS q_vol_20 FROM nu WHERE id % 20 = 0),
     pp AS (SELECT * FROM ep JOIN qs ON cutoff < q_cutoff AND symbol <> q_symbol)"""
 
 
@@ -144,7 +144,8 @@ def _queries(bars: DataFrame) -> tuple[DataFrame, DataFrame]:
     f = _feats(bars)
     name = lambda sep: F.concat_ws(sep, "symbol", F.date_format("ts", "yyyy-MM-dd"))
     episodes = f.select("symbol", F.col("ts").alias("cutoff"), name("@").alias("episode_id"), "ret_20", "ret_63", "vol_20")
-    asked = f.where("symbol in ('Brand#1', 'Brand#2') and month(ts) = 6 and day(ts) <= 7")
+    order = Window.partitionBy(F.lit(0)).orderBy("ts", "symbol")  # a row for each session of each symbol, to number the queries: every twentieth
+    asked = f.withColumn("id", F.row_number().over(order) - 1).where("id % 20 = 0")
     return asked.select(name("/").alias("query_id"), F.col("symbol").alias("q_symbol"), F.col("ts").alias("q_cutoff"), *[F.col(c).alias(f"q_{c}") for c in ("ret_20", "ret_63", "vol_20")]), episodes
 
 

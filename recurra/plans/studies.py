@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from recurra.functions import states
 from recurra.functions.rolling import lag
-from recurra.operators import clustering, models, scoring
+from recurra.operators import clustering, models, scoring, weighted
 from recurra.operators import search as S
 from recurra.plans.features import W, rnd, rounded
 from recurra.plans.forecasts import LINK_SQL, _labels, _links, _scored
@@ -81,9 +81,15 @@ def pairwise(spark: SparkSession, sf_dir: str, bars: DataFrame) -> DataFrame:
     return rounded(clustering.pairwise_l1(_future(bars), "query_id", "member"), "query_id", "a", "b")
 
 
-@query("agg_8_median_path", PATHS_SQL + " SELECT query_id, step, round(quantile_cont(r, 0.5), 6) + 0.0::DOUBLE AS median FROM pt GROUP BY ALL", bars="brand_week")
+@query(
+    "agg_8_median_path",
+    PATHS_SQL.replace("query_id, member, n.pos", "query_id, member, match_rank, n.pos") + """, pw AS (SELECT query_id, step, r, pow(2.0, -(match_rank - 1) / 10.0) AS w, match_rank FROM pt), pc AS (SELECT *, sum(w) OVER (PARTITION BY query_id, step ORDER BY r, match_rank) AS cw, sum(w) OVER (PARTITION BY query_id, step) AS tw FROM pw)
+    SELECT query_id, step, round(min(r) FILTER (cw >= 0.5 * tw - 1e-12), 6) + 0.0::DOUBLE AS median FROM pc GROUP BY ALL""",
+    bars="brand_week",
+)
 def median_path(spark: SparkSession, sf_dir: str, bars: DataFrame) -> DataFrame:
-    return rounded(_future(bars).groupBy("query_id", "step").agg(F.percentile("close_return", F.lit(0.5)).alias("median")), "query_id", "step")
+    rows = _future(bars).withColumn("w", weighted.rank_weight("match_rank"))
+    return rounded(weighted.weighted_quantiles(rows, ["query_id", "step"], "close_return", "w", (0.5,)).select("query_id", "step", F.col("q").alias("median")), "query_id", "step")
 
 
 @query("clu_3_4_5_future_modes", bars="brand_week")
@@ -171,7 +177,7 @@ def stream_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     s AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM l) SELECT user_id, min(ts) AS start, max(ts) + INTERVAL 30 MINUTE AS stop, count(*) AS n, round(sum(value), 4) AS value FROM s GROUP BY user_id, k""",
 )
 def sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return stream.sessions(spark.read.parquet(f"{sf_dir}/events.parquet")).withColumn("value", F.round("value", 4))
+    return stream.drained(stream.sessions(stream.event_stream(spark, sf_dir))).withColumn("value", F.round("value", 4))
 
 
 @query("syn_1_corpus")
