@@ -3,36 +3,51 @@
 from __future__ import annotations
 
 import datetime
+from concurrent.futures import ThreadPoolExecutor
 
-from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
+from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def monthly_probabilities(rows: DataFrame, features: list[str], classes: tuple[str, ...], months: list[datetime.datetime], kind: str = "logistic", most_rows: int = 400_000) -> DataFrame:
-    """For each month's rows: probabilities from a model of rows completed before the month. rows: ts, symbol, label, completion.
+def monthly_probabilities(rows: DataFrame, features: list[str], classes: tuple[str, ...], months: list[datetime.datetime], most_rows: int = 400_000, together: int = 6) -> DataFrame:
+    """For each month's rows: probabilities from a logistic model of rows completed before the month. rows: ts, symbol, label, completion.
 
-    A fit takes at most about `most_rows` rows, chosen by hash; forecasts are for all rows. Probabilities are floored and made to sum to 1.
+    A fit takes at most about `most_rows` rows, chosen by hash, and `together` fits run at a time; a month without 50 such
+    rows of two classes has no forecasts. Forecasts are for all rows: a missing feature counts as 0 and sets a flag that is
+    a feature too. The models are a row of weights for each month and class, so one join forecasts all months. Probabilities
+    are floored and made to sum to 1.
     """
-    named = rows.withColumn("y", F.coalesce(*[F.when(F.col("label") == c, float(i)) for i, c in enumerate(classes)]))
-    ready = VectorAssembler(inputCols=features, outputCol="x", handleInvalid="skip").transform(named)
-    out = None
-    for month in months:
-        past = ready.where((F.col("completion") < F.lit(month)) & F.col("y").isNotNull())
-        n = past.count()
-        if n < 50 or past.select("y").distinct().count() < 2:
-            continue
+    inputs = [x for f in features for x in (F.coalesce(F.col(f).cast("double"), F.lit(0.0)).alias(f), F.col(f).isNull().cast("double").alias(f"no_{f}"))]
+    names = [x for f in features for x in (f, f"no_{f}")]
+    named = rows.select("symbol", "ts", "label", "completion", F.coalesce(*[F.when(F.col("label") == c, float(i)) for i, c in enumerate(classes)]).alias("__class"), *inputs)
+    ready = VectorAssembler(inputCols=names, outputCol="__inputs").transform(named)
+    spark = rows.sparkSession
+
+    def fit(month: datetime.datetime) -> list[tuple]:
+        past = ready.where((F.col("completion") < F.lit(month)) & F.col("__class").isNotNull())
+        seen = {int(r["__class"]): r["count"] for r in past.groupBy("__class").count().collect()}
+        n = sum(seen.values())
+        if n < 50 or len(seen) < 2:
+            return []
         chosen = past if n <= most_rows else past.where(F.pmod(F.xxhash64("symbol", "ts"), F.lit(1 << 20)) < int(most_rows / n * (1 << 20)))
-        model = (LogisticRegression if kind == "logistic" else RandomForestClassifier)(featuresCol="x", labelCol="y", probabilityCol="p").fit(chosen)
-        now = ready.where(F.date_trunc("month", "ts") == F.lit(month))
-        p = vector_to_array("p")
-        floored = [F.greatest(F.coalesce(F.get(p, i), F.lit(0.0)), F.lit(1e-6)) for i in range(len(classes))]
-        total = sum(floored, F.lit(0.0))
-        part = model.transform(now).select("symbol", "ts", "label", *[(f / total).alias(f"p_{c}") for f, c in zip(floored, classes)])
-        out = part if out is None else out.unionByName(part)
-    return out
+        model = LogisticRegression(featuresCol="__inputs", labelCol="__class", maxIter=25, family="multinomial").fit(chosen)
+        weights = model.coefficientMatrix.toArray()
+        return [(month, i, float(model.interceptVector[i]), weights[i].tolist()) for i in range(len(weights))]
+
+    with ThreadPoolExecutor(together) as pool:
+        fitted = [row for rows_ in pool.map(fit, months) for row in rows_]
+    wide = spark.createDataFrame(fitted, "month timestamp, class int, intercept double, weight array<double>").groupBy("month").agg(F.map_from_entries(F.collect_list(F.struct("class", F.struct("intercept", "weight")))).alias("model"))
+    placed = named.withColumn("month", F.date_trunc("month", "ts")).join(F.broadcast(wide), "month")  # a row for each month
+    linear = []
+    for i in range(len(classes)):
+        own = F.col("model")[i]
+        linear.append(sum((own["weight"][j] * F.col(x) for j, x in enumerate(names)), own["intercept"]))
+    top = F.greatest(*linear)
+    e = [F.coalesce(F.exp(x - top), F.lit(0.0)) for x in linear]
+    floored = [F.greatest(x / sum(e, F.lit(0.0)), F.lit(1e-6)) for x in e]
+    return placed.select("symbol", "ts", "label", *[(f / sum(floored, F.lit(0.0))).alias(f"p_{c}") for f, c in zip(floored, classes)])
 
 
 def ordinal_to_classes(exceed: list[Column]) -> list[Column]:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -129,9 +130,9 @@ def greedy_by_query(scored: DataFrame, k: int, per_symbol: int, lookback: int) -
     def one(frame: pd.DataFrame) -> pd.DataFrame:
         rows = list(frame[["distance", "episode_id", "symbol", "pos", "query_id", "cutoff"]].itertuples(index=False, name=None))
         out = greedy(rows, k, per_symbol, lookback)
-        return pd.DataFrame([(r[4], i + 1, r[1], r[2], r[5], r[0]) for i, r in enumerate(out)], columns=["query_id", "rank", "episode_id", "symbol", "cutoff", "distance"])
+        return pd.DataFrame([(r[4], i + 1, r[1], r[2], r[5], r[0], r[3]) for i, r in enumerate(out)], columns=["query_id", "rank", "episode_id", "symbol", "cutoff", "distance", "pos"])
 
-    return bounded.groupBy("query_id").applyInPandas(one, "query_id string, rank int, episode_id string, symbol string, cutoff timestamp, distance double")
+    return bounded.groupBy("query_id").applyInPandas(one, "query_id string, rank int, episode_id string, symbol string, cutoff timestamp, distance double, pos int")
 
 
 def eligible_pairs(queries: DataFrame, episodes: DataFrame, per_dataset: bool = True) -> DataFrame:
@@ -175,27 +176,67 @@ def query_representation(bars: DataFrame, request: Request) -> dict[str, np.ndar
     return {p: rep[p].astype(float) for p in PARTS}
 
 
+NAMES = ("coarse", "stage", "structural", *K.GROUPS)
+
+
+def _measured(rows: dict[str, np.ndarray], query: dict[str, np.ndarray], exact: bool) -> tuple[dict[str, np.ndarray], np.ndarray]:
+    """The parts of the composite, and its lower bound or, if exact, the composite."""
+    parts = K.components(rows, query)
+    if not exact:
+        return parts, K.lower_bound(parts)
+    parts["price"] = K.RIGID * parts["price"] + (1 - K.RIGID) * K.warped(rows, query)
+    return parts, sum(w * parts[k] for k, w in K.WEIGHTS.items())
+
+
 def scored(store: DataFrame, query: dict[str, np.ndarray], exact: bool) -> DataFrame:
     """episode_id, symbol, cutoff, pos, the parts of the distance, and its lower bound or, if exact, the distance."""
-    names = ["coarse", "stage", "structural", *K.GROUPS]
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            if len(frame):
+                parts, distance = _measured(_matrix(frame), query, exact)
+                yield frame[["episode_id", "symbol", "cutoff", "pos"]].assign(**{f"d_{n}": parts[n] for n in NAMES}, distance=distance)
+
+    schema = "episode_id string, symbol string, cutoff timestamp, pos int, " + ", ".join(f"d_{n} double" for n in NAMES) + ", distance double"
+    return store.select("episode_id", "symbol", "cutoff", "pos", *PARTS).mapInPandas(run, schema)
+
+
+def scored_many(store: DataFrame, queries: dict[str, dict[str, np.ndarray]], exact: bool = True) -> DataFrame:
+    """query_id, episode_id, symbol, pos, distance (or bound) of every window to each of a stated set of queries, in one scan of the store."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            if len(frame):
+                rows = _matrix(frame)
+                for name, query in queries.items():
+                    yield frame[["episode_id", "symbol", "pos"]].assign(query_id=name, distance=_measured(rows, query, exact)[1])[["query_id", "episode_id", "symbol", "pos", "distance"]]
+
+    return store.select("episode_id", "symbol", "pos", *PARTS).mapInPandas(run, "query_id string, episode_id string, symbol string, pos int, distance double")
+
+
+def between(store: DataFrame, query: dict[str, np.ndarray], low: float, high: float) -> DataFrame:
+    """episode_id, symbol, cutoff, pos, bound, distance: the distance of windows with low < bound <= high, null for others.
+
+    The bound is the rigid one; where that is at most `high`, the envelope of the elastic channels raises it first, and
+    only what is still at most `high` is warped.
+    """
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             if len(frame):
                 rows = _matrix(frame)
                 parts = K.components(rows, query)
-                out = frame[["episode_id", "symbol", "cutoff", "pos"]].copy()
-                bound = K.lower_bound(parts)
-                if exact:
-                    warp = K.warped(rows, query)
-                    parts["price"] = K.RIGID * parts["price"] + (1 - K.RIGID) * warp
-                    bound = sum(w * parts[k] for k, w in K.WEIGHTS.items())
-                for n in names:
-                    out[f"d_{n}"] = parts[n]
-                yield out.assign(distance=bound)
-
-    schema = "episode_id string, symbol string, cutoff timestamp, pos int, " + ", ".join(f"d_{n} double" for n in names) + ", distance double"
-    return store.select("episode_id", "symbol", "cutoff", "pos", *PARTS).mapInPandas(run, schema)
+                bound, distance = K.lower_bound(parts), np.full(len(frame), np.nan)
+                some = lambda at: {p: x[at] for p, x in rows.items()}
+                if len(at := np.flatnonzero(bound <= high)):
+                    tighter = K.composite({k: x[at] for k, x in parts.items()}, K.warped(some(at), query, K.lb_keogh)) - 1e-9
+                    bound[at] = np.maximum(bound[at], tighter)
+                if len(at := np.flatnonzero((bound > low) & (bound <= high))):
+                    distance[at] = K.composite({k: x[at] for k, x in parts.items()}, K.warped(some(at), query))
+                yield frame[["episode_id", "symbol", "cutoff", "pos"]].assign(bound=bound, distance=distance)
+
+    out = store.select("episode_id", "symbol", "cutoff", "pos", *PARTS).mapInPandas(run, "episode_id string, symbol string, cutoff timestamp, pos int, bound double, distance double")
+    return out.withColumn("distance", F.nanvl("distance", F.lit(None).cast("double")))
 
 
 @dataclass
@@ -212,31 +253,30 @@ class Certificate:
 def exact_search(store: DataFrame, query: dict[str, np.ndarray], request: Request, eligible: Column, seed: int = 256) -> tuple[list[tuple], Certificate]:
     """The diversified top k by exact composite distance, measuring only windows whose lower bound could matter.
 
-    A frontier of the least bounds is measured and widened until the selection is full and no unmeasured window's bound
-    is at or under the distance of its last member. Only selected columns of the frontier's rows reach the driver.
+    The windows up to the seed-th least bound are measured; the distance of the last of the k selected among them is the
+    next limit, until no unmeasured window's bound is at or under it. Bounds and distances stay on the executors: a limit,
+    two counts and the k selected rows are all that the driver sees, and each round is one pass over the store.
     """
     pool = store.where(eligible)
-    bounds = scored(pool, query, exact=False).select("episode_id", F.col("distance").alias("bound")).persist()
-    total = bounds.count()
-    known: dict[str, tuple] = {}
-    frontier = min(seed, total)
-    cut = -np.inf
+    least = scored(pool, query, exact=False).select(F.col("distance").alias("bound"))
+    low, high, n, parts = -np.inf, least.orderBy("bound").limit(seed).agg(F.max("bound")).first()[0], seed, []
+    if high is None:
+        return [], Certificate(0, 0, np.inf, np.inf, True)
     while True:
-        head = [r["bound"] for r in bounds.orderBy("bound", "episode_id").limit(frontier).select("bound").collect()]
-        top = head[-1] if head else -np.inf
-        wanted = bounds.where((F.col("bound") > cut) & (F.col("bound") <= top)).select("episode_id")
-        rows = scored(pool.join(F.broadcast(wanted), "episode_id", "left_semi"), query, exact=True)
-        for r in rows.select("distance", "episode_id", "symbol", "pos", "cutoff").collect():
-            known[r["episode_id"]] = tuple(r)
-        cut = max(cut, top)
-        chosen = greedy(list(known.values()), request.top_k, request.per_symbol, request.lookback)
+        part = between(pool, query, low, high).persist()
+        stats = part.agg(F.count("*").alias("n"), F.min(F.when(F.col("bound") > high, F.col("bound"))).alias("next")).first()
+        parts.append(part.where("distance is not null"))
+        rows = reduce(DataFrame.unionByName, parts).withColumn("query_id", F.lit("query"))
+        chosen = [(r["distance"], r["episode_id"], r["symbol"], r["pos"], r["cutoff"]) for r in greedy_by_query(rows, request.top_k, request.per_symbol, request.lookback).orderBy("rank").collect()]
         threshold = chosen[-1][0] if len(chosen) == request.top_k else np.inf
-        following = bounds.where(F.col("bound") > cut).agg(F.min("bound")).first()[0]
-        if following is None or following > threshold:
-            bounds.unpersist()
-            return chosen, Certificate(total, len(known), float(threshold), float(following if following is not None else np.inf), True)
-        within = bounds.where(F.col("bound") <= threshold).count() if np.isfinite(threshold) else total
-        frontier = min(total, max(frontier * 4, min(within, frontier * 16)))
+        following = stats["next"] if stats["next"] is not None else np.inf
+        if following > threshold or following == np.inf:
+            proof = Certificate(stats["n"], rows.count(), float(threshold), float(following), True)
+            for p in parts:
+                p.unpersist()
+            return chosen, proof
+        n *= 4
+        low, high = high, threshold if np.isfinite(threshold) else max(following, least.orderBy("bound").limit(n).agg(F.max("bound")).first()[0])
 
 
 # --- baselines and lists ----------------------------------------------------------------------------------------------

@@ -28,7 +28,7 @@ def _links(bars: DataFrame) -> DataFrame:
     ahead = bars.select("symbol", F.col("ts").alias("at"), (F.lead("close", 20).over(by()) / F.col("close") - 1).alias("close_return"), F.lead("ts", 20).over(by()).alias("completion"))
     nb = nb.withColumn("at", F.element_at(F.split("episode_id", "@"), 2).cast("timestamp")).join(ahead, ["symbol", "at"]).join(F.broadcast(q.select("query_id", "q_cutoff", "q_symbol")), "query_id")
     ok = F.col("completion").isNotNull() & (F.col("completion") <= F.col("q_cutoff"))
-    return nb.select("query_id", F.col("rank").alias("match_rank"), "symbol", F.col("q_symbol").alias("query_symbol"), F.lit(20).alias("horizon"), ok.alias("eligible"), "close_return", "completion", "q_cutoff")
+    return nb.select("query_id", F.col("rank").alias("match_rank"), "symbol", F.col("q_symbol").alias("query_symbol"), F.lit(20).alias("horizon"), ok.alias("eligible"), "close_return", "completion", "q_cutoff", "score")
 
 
 @query("agg_1_2_effective_size", LINK_SQL + " SELECT query_id, round(sum(w), 6) AS w, round(sum(w) * sum(w) / sum(w * w), 6) AS ess FROM wl GROUP BY query_id", bars="brand_week")

@@ -124,15 +124,17 @@ def entry_report(spark: SparkSession, sf_dir: str, bars: DataFrame) -> DataFrame
 
 @query(
     "sco_13_abstention",
-    LINK_SQL + """, e AS (SELECT query_id, sum(w) * sum(w) / sum(w * w) AS ess, avg(CASE WHEN match_rank <= 10 THEN close_return END) AS a, avg(close_return) AS c FROM wl GROUP BY query_id)
-    SELECT query_id, concat_ws(',', CASE WHEN ess < 10 THEN 'low_effective_sample' END, CASE WHEN abs(a - c) > 0.2 THEN 'unstable_prefixes' END) AS reasons FROM e""",
+    LINK_SQL + """, e AS (SELECT query_id, sum(w) * sum(w) / sum(w * w) AS ess, avg(CASE WHEN match_rank <= 10 THEN close_return END) AS a, avg(close_return) AS c FROM wl GROUP BY query_id),
+    v AS (SELECT query_id, any_value(q_cutoff) AS t, min(score) AS novelty FROM nb JOIN qs USING (query_id) GROUP BY query_id), w2 AS (SELECT query_id, novelty, count(*) OVER o AS priors, quantile_cont(novelty, 0.95) OVER o AS q95 FROM v WINDOW o AS (ORDER BY t, query_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
+    SELECT query_id, concat_ws(',', CASE WHEN ess < 10 THEN 'low_effective_sample' END, CASE WHEN priors >= 250 AND novelty > q95 THEN 'novel_query' END, CASE WHEN abs(a - c) > 0.2 THEN 'unstable_prefixes' END) AS reasons FROM e JOIN w2 USING (query_id)""",
     bars="brand_week",
 )
 def abstention(spark: SparkSession, sf_dir: str, bars: DataFrame) -> DataFrame:
-    rows = _links(bars).withColumn("w", weighted.rank_weight("match_rank")).groupBy("query_id").agg(
-        weighted.effective_size("w").alias("ess"), F.abs(F.avg(F.when(F.col("match_rank") <= 10, F.col("close_return"))) - F.avg("close_return")).alias("spread")
+    rows = _links(bars).withColumn("w", weighted.rank_weight("match_rank")).groupBy("query_id", "q_cutoff").agg(
+        weighted.effective_size("w").alias("ess"), F.abs(F.avg(F.when(F.col("match_rank") <= 10, F.col("close_return"))) - F.avg("close_return")).alias("spread"), F.min("score").alias("novelty")
     )
-    known = rows.withColumns({"priors": F.lit(0), "novelty": F.lit(0.0), "prior_novelty": F.lit(0.0)})
+    earlier = Window.partitionBy(F.lit(0)).orderBy("q_cutoff", "query_id").rowsBetween(Window.unboundedPreceding, -1)  # a row for each query
+    known = rows.withColumns({"priors": F.count("*").over(earlier), "prior_novelty": F.percentile("novelty", F.lit(0.95)).over(earlier)})
     return scoring.abstentions(known).select("query_id", "reasons")
 
 

@@ -12,6 +12,7 @@ from recurra.plans.features import W, rnd, rounded
 from recurra.plans.outcomes import FEATS_SQL, _feats
 from recurra.plans.registry import query
 from recurra.sources.bars import positions
+from recurra.streaming.bars import folder_of
 
 PAIR = dict(bars="brand_week", bench="market_week")
 REQUEST = S.Request("Brand#1")
@@ -207,7 +208,7 @@ def _store(bars: DataFrame, bench: DataFrame, request: S.Request = REQUEST) -> t
 
 @query("chn_19_representations", **PAIR)
 def representations(spark: SparkSession, sf_dir: str, bars: DataFrame, bench: DataFrame) -> DataFrame:
-    return S.representations(_bars(bars, bench), S.Request("Brand#1", stride=21)).select("episode_id", "symbol", "cutoff", "pos", *S.PARTS)
+    return S.representations(_bars(bars, bench), REQUEST).select("episode_id", "symbol", "cutoff", "pos", *S.PARTS)
 
 
 @query("top_7_score_all", **PAIR)
@@ -225,8 +226,8 @@ def greedy(spark: SparkSession, sf_dir: str, bars: DataFrame, bench: DataFrame)
 @query("top_9_10_14_certified_search", **PAIR)
 def certified(spark: SparkSession, sf_dir: str, bars: DataFrame, bench: DataFrame) -> DataFrame:
     _, store, q, eligible = _store(bars, bench)
-    store = store.persist()
-    chosen, proof = S.exact_search(store, q, REQUEST, eligible)
-    store.unpersist()
+    kept = folder_of(spark, "view-store")
+    store.write.parquet(kept)
+    chosen, proof = S.exact_search(spark.read.parquet(kept), q, REQUEST, eligible)
     rows = [(i + 1, r[1], r[2], r[3], float(r[0]), proof.candidates, proof.measured, proof.complete) for i, r in enumerate(chosen)]
     return spark.createDataFrame(rows, "rank int, episode_id string, symbol string, pos int, distance double, candidates long, measured long, complete boolean")

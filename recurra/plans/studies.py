@@ -6,11 +6,11 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from recurra.functions import features as X
 from recurra.functions import states
-from recurra.functions.rolling import lag
 from recurra.operators import clustering, models, scoring, weighted
 from recurra.operators import search as S
-from recurra.plans.features import W, rnd, rounded
+from recurra.plans.features import EPISODES_SQL, W, rnd, rounded
 from recurra.plans.forecasts import LINK_SQL, _labels, _links, _scored
 from recurra.plans.outcomes import FEATS_SQL, PAIR, _feats
 from recurra.plans.registry import query
@@ -29,37 +29,45 @@ def legs(spark: SparkSession, sf_dir: str, bars: DataFrame) -> DataFrame:
     return states.legs(bars)
 
 
-STATE_SQL = f"""p AS (SELECT *, row_number() OVER w - 1 AS pos, ln(close / lag(close) OVER w) AS ret FROM bars WINDOW w AS ({W})), e AS (SELECT symbol, ts AS cutoff, pos AS last_pos FROM p WHERE pos >= 251 AND (pos - 251) % 50 = 0),
-    x AS (SELECT e.symbol || '@' || last_pos AS episode, p.pos AS step, last_pos - p.pos AS back, p.* FROM e JOIN p ON e.symbol = p.symbol AND p.pos BETWEEN last_pos - 251 AND last_pos),
-    h AS (SELECT episode, horizon, count(*) AS n, ln(arg_max(close, step) / arg_min(close, step)) AS net, stddev_samp(ret) AS volatility, max(ret) AS best, min(ret) AS worst, arg_max(close, step) / max(high) - 1 AS off_high, arg_max(close, step) / min(low) - 1 AS off_low,
-              avg((ret > 0)::INT) AS up_share, ln(avg(volume) + 1) AS volume FROM x, (VALUES (252), (126), (63), (21), (10), (5)) AS v(horizon) WHERE back < horizon GROUP BY ALL)"""
+STATE_SQL = (
+    EPISODES_SQL.replace("x.pos - y.pos + 62 AS step", "x.pos - y.pos + 251 AS step").replace("y.pos >= 62 AND (y.pos - 62) % 63 = 0 AND x.pos BETWEEN y.pos - 62 AND y.pos", "y.pos >= 251 AND (y.pos - 251) % 50 = 0 AND x.pos BETWEEN y.pos - 251 AND y.pos")
+    + """, z AS (SELECT episode, step, 251 - step AS back, close, ret, rret, bret, bench_close, ln(high / low) AS rg, ln(open / before) AS ov, (close - low) / nullif(high - low, 0) AS cl, atr / close AS ap, (h20 / l20 - 1) / nullif(h63 / l63 - 1, 0) AS cr, (lv - vm) / nullif(1.4826 * vmad, 0) AS vz FROM d),
+    y AS (SELECT *, greatest(horizon // 3, 1) AS third, close / max(close) OVER w - 1 AS dd, ln(close / lag(close) OVER w) AS hr FROM z, (VALUES (252), (126), (63), (21), (10), (5)) AS v(horizon) WHERE back < horizon WINDOW w AS (PARTITION BY episode, horizon ORDER BY step)),
+    h AS (SELECT episode, horizon, ln(arg_max(close, step) / arg_min(close, step)) AS net_log_return, min(dd) AS maximum_drawdown, arg_max(close, step) / max(close) - 1 AS distance_from_window_high, stddev_samp(hr) AS realized_volatility, quantile_cont(rg, 0.5) AS median_range_pct,
+              quantile_cont(rg, 0.5) FILTER (back < third) / nullif(quantile_cont(rg, 0.5) FILTER (back >= horizon - third), 0) AS range_contraction, max(ov) FILTER (back = 0) AS latest_overnight, max(cl) FILTER (back = 0) AS latest_close_location, max(ap) FILTER (back = 0) AS latest_atr_pct,
+              max(cr) FILTER (back = 0) AS latest_compression_ratio, avg(vz) AS mean_volume_robust_z, max(vz) FILTER (back = 0) AS latest_volume_robust_z, avg(vz) FILTER (ret > 0) - avg(vz) FILTER (ret < 0) AS up_down_volume_z_spread, sum(rret) AS relative_log_return, sum(bret) AS benchmark_log_return,
+              avg((bench_close IS NOT NULL)::INT) AS benchmark_context_fraction FROM y GROUP BY ALL)"""
+)
 
 
-def _summaries(bars: DataFrame) -> DataFrame:
-    p = positions(bars).withColumn("ret", F.log(F.col("close") / lag("close")))
-    ends = p.where("pos >= 251 and (pos - 251) % 50 = 0").select("symbol", F.col("pos").alias("end"), F.explode(F.sequence(F.col("pos") - 251, F.col("pos"))).alias("pos"))
-    rows = ends.join(p, ["symbol", "pos"]).withColumns({"episode": F.concat_ws("@", "symbol", F.col("end").cast("string")), "step": F.col("pos"), "back": F.col("end") - F.col("pos")})
-    return states.horizon_summaries(rows)
+def _states(bars: DataFrame, bench: DataFrame) -> DataFrame:
+    return states.multiresolution(positions(X.benchmark_on(bars, bench)))
 
 
-@query("chn_21_multiresolution_state", STATE_SQL + " SELECT episode, horizon, n, " + rnd(**{k: k for k in ("net", "volatility", "best", "worst", "off_high", "off_low", "up_share", "volume")}) + " FROM h", bars="brand_week")
-def summaries(spark: SparkSession, sf_dir: str, bars: DataFrame) -> DataFrame:
-    return rounded(_summaries(bars), "episode", "horizon")
+SQL_SUMMARIES = list(states.SUMMARY)[:16]
 
 
-FIELDS = ("net", "volatility", "best", "worst", "off_high", "off_low", "up_share")
+@query("chn_21_multiresolution_state", STATE_SQL + " SELECT episode, horizon, " + rnd(**{k: k for k in SQL_SUMMARIES}) + " FROM h", **PAIR)
+def summaries(spark: SparkSession, sf_dir: str, bars: DataFrame, bench: DataFrame) -> DataFrame:
+    values = [F.nanvl(F.col("summary")[i], F.lit(None).cast("double")).alias(k) for i, k in enumerate(SQL_SUMMARIES)]
+    return rounded(_states(bars, bench).select("episode", "horizon", *values), "episode", "horizon")
 
 
-@query(
-    "dst_15_state_distance",
-    STATE_SQL + ", l AS (" + " UNION ALL ".join(f"SELECT episode, horizon, '{f}' AS field, {f} AS v FROM h" for f in FIELDS) + """),
-    d AS (SELECT a.episode AS a, b.episode AS b, a.horizon, avg(least(4, abs(a.v - b.v) / greatest(abs(a.v) + abs(b.v), 1e-6))) AS d FROM l AS a JOIN l AS b ON a.horizon = b.horizon AND a.field = b.field WHERE a.episode LIKE 'Brand#1@%' AND b.episode NOT LIKE 'Brand#1@%' GROUP BY ALL)
-    SELECT a, b, round(sum(w * d) / sum(w), 6) AS distance FROM d JOIN (VALUES (252, 0.18::DOUBLE), (126, 0.20), (63, 0.24), (21, 0.20), (10, 0.11), (5, 0.07)) AS w(horizon, w) USING (horizon) GROUP BY a, b""",
-    bars="brand_week",
-)
-def state_distance(spark: SparkSession, sf_dir: str, bars: DataFrame) -> DataFrame:
-    s = _summaries(bars)
-    return rounded(states.state_distance(s.where("episode like 'Brand#1@%'"), s.where("episode not like 'Brand#1@%'")), "a", "b")
+@query("chn_21_samples", **PAIR)
+def samples(spark: SparkSession, sf_dir: str, bars: DataFrame, bench: DataFrame) -> DataFrame:
+    return _states(bars, bench)
+
+
+@query("dst_15_16_state_distance", **PAIR)
+def state_distance(spark: SparkSession, sf_dir: str, bars: DataFrame, bench: DataFrame) -> DataFrame:
+    """Each twentieth state against all, by both versions of the distance."""
+    store = _states(bars, bench)
+    asked = store.where("pmod(pos - 251, 1000) = 0").select("episode", "horizon", "samples", "summary").collect()  # every twentieth window
+    return state_distances_of(store, asked)
+
+
+def state_distances_of(store: DataFrame, asked: list) -> DataFrame:
+    return rounded(states.state_distances(store, [tuple(r) for r in asked]).where("a != b"), "a", "b")
 
 
 PATHS_SQL = LINK_SQL + f""", sp AS (SELECT *, row_number() OVER ({W}) - 1 AS pos FROM bars), st AS (SELECT lk.query_id, lk.symbol AS member, sp.pos, sp.close, match_rank FROM lk JOIN nb ON nb.query_id = lk.query_id AND nb.symbol = lk.symbol JOIN sp ON sp.symbol = lk.symbol AND sp.ts = CAST(split_part(nb.episode_id, '@', 2) AS TIMESTAMP) WHERE eligible AND match_rank <= 20),
@@ -139,8 +147,8 @@ def selection(spark: SparkSession, sf_dir: str, bars: DataFrame, bench: DataFram
 @query("mod_1_monthly_refit", **PAIR)
 def monthly(spark: SparkSession, sf_dir: str, bars: DataFrame, bench: DataFrame) -> DataFrame:
     labels = _labels(spark, sf_dir, bars, bench).withColumnRenamed("cutoff", "ts").withColumn("completion", F.col("ts") + F.expr("interval 140 days"))
-    rows = labels.join(_feats(bars), ["symbol", "ts"]).persist()
-    months = [r["m"] for r in rows.select(F.date_trunc("month", "ts").alias("m")).distinct().orderBy("m").collect()][-3:]
+    rows = labels.join(_feats(bars), ["symbol", "ts"], "left").persist()
+    months = [r["m"] for r in rows.select(F.date_trunc("month", "ts").alias("m")).distinct().orderBy("m").collect()]
     return models.monthly_probabilities(rows, ["ret_20", "ret_63", "vol_20"], scoring.CLASSES, months)
 
 
@@ -187,14 +195,35 @@ def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("syn_4_acceptance")
 def acceptance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """For each synthetic case: the share of its nearest four by composite distance that are of its family."""
-    bars = positions(synthetic.corpus(spark, 5)).withColumn("bench_close", F.lit(None).cast("double"))
-    store = S.representations(bars, S.Request("", lookback=252, stride=1)).persist()
-    names = [r["symbol"] for r in store.select("symbol").orderBy("symbol").collect()]
-    out = []
-    for name in names[:: len(names) // 5]:
-        own = store.where(F.col("symbol") == name).toPandas()
-        q = {p: np.stack(own[p].to_numpy()).astype(float) for p in S.PARTS}
-        near = S.scored(store.where(F.col("symbol") != name), q, exact=True).orderBy("distance", "symbol").limit(4).collect()
-        out.append((name, sum(r["symbol"].rsplit("-", 1)[0] == name.rsplit("-", 1)[0] for r in near) / 4))
-    return spark.createDataFrame(out, "symbol string, same_family double")
+    """For each synthetic case: rank of its clone in other units, how far its distances to all move in those units, whether
+    its noisy copy is nearer than it run backwards, and recall and gain of its family among the nearest."""
+    seeds, k = 5, 4
+    base = synthetic.corpus(spark, seeds)
+    bars = base.unionByName(synthetic.variants(base, ("unit", "noise", "reverse")))
+    rows = positions(bars).withColumn("bench_close", F.lit(None).cast("double"))
+    store = S.representations(rows, S.Request("", lookback=252, stride=1))
+    asked = store.where("not contains(symbol, '/') or symbol like '%/unit'").select("symbol", *S.PARTS).collect()  # 2 rows for each case
+    found = S.scored_many(store, {r["symbol"]: {p: np.array([r[p]], float) for p in S.PARTS} for r in asked})
+    case = lambda c: F.split_part(F.col(c), F.lit("/"), F.lit(1))
+    kind = lambda c: F.split_part(F.col(c), F.lit("/"), F.lit(2))
+    family = lambda c: F.regexp_replace(case(c), "-[0-9]+$", "")
+    d = found.withColumns({"q": case("query_id"), "q_kind": kind("query_id"), "c": case("symbol"), "c_kind": kind("symbol"), "same": (family("query_id") == family("symbol")).cast("int")})
+    own = d.where("q_kind = '' and not (c = q and c_kind = '')")
+    order = Window.partitionBy("q").orderBy("distance", "symbol")
+    clone = own.withColumn("rank", F.row_number().over(order)).where("c = q and c_kind = 'unit'").select("q", F.col("rank").alias("clone_rank"))
+    moved = d.where("c_kind = '' and c != q").groupBy("q", "c").agg((F.max("distance") - F.min("distance")).alias("m")).groupBy("q").agg(F.max("m").alias("invariance"))
+    pairs = own.where("c = q").groupBy("q").agg((F.max(F.when(F.col("c_kind") == "noise", F.col("distance"))) < F.max(F.when(F.col("c_kind") == "reverse", F.col("distance")))).cast("int").alias("ordered"))
+    near = own.where("c_kind = ''").withColumn("rank", F.row_number().over(order))
+    gain = S.ndcg(near.select(F.col("q").alias("query_id"), "rank", F.col("same").alias("gain")), k).withColumnRenamed("query_id", "q")
+    recall = near.where(F.col("rank") <= k).groupBy("q").agg((F.sum("same") / (seeds - 1)).alias("recall"))
+    return clone.join(moved, "q").join(pairs, "q").join(gain, "q").join(recall, "q").withColumnRenamed("q", "symbol")
+
+
+@query("top_12_batched_scan", **PAIR)
+def batched(spark: SparkSession, sf_dir: str, bars: DataFrame, bench: DataFrame) -> DataFrame:
+    """Composite lower bounds of every twentieth window against all windows, in one scan of the store."""
+    store = S.representations(positions(X.benchmark_on(bars, bench)), S.Request("Brand#1"))
+    asked = store.where("pmod(pos - 62, 100) = 0 and symbol like 'Brand#1%'").select("episode_id", *S.PARTS).collect()
+    queries = {r["episode_id"]: {p: np.array([r[p]], float) for p in S.PARTS} for r in asked}
+    near = F.row_number().over(Window.partitionBy("query_id").orderBy("distance", "episode_id"))
+    return S.scored_many(store, queries, exact=False).where("episode_id != query_id").withColumn("rank", near).where("rank <= 20").select("query_id", "rank", "episode_id", "symbol", "pos", "distance")

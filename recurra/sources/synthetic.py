@@ -25,7 +25,7 @@ def case(family: str, seed: int, sessions: int = 252, noise: float = 0.01) -> pd
 
 
 def transformed(bars: pd.DataFrame, how: str, seed: int = 0) -> pd.DataFrame:
-    """A case in other units (unit, volume), with noise, or run backwards."""
+    """A case in other units (unit, volume), with noise, run backwards, or later (shift)."""
     out = bars.copy()
     prices = ["open", "high", "low", "close"]
     if how == "unit":
@@ -37,6 +37,8 @@ def transformed(bars: pd.DataFrame, how: str, seed: int = 0) -> pd.DataFrame:
     elif how == "reverse":
         out[prices + ["volume"]] = out[prices + ["volume"]].to_numpy()[::-1]
         out["open"], out["close"] = out["close"].copy(), out["open"].copy()
+    elif how == "shift":
+        out["ts"] = out["ts"] + pd.Timedelta(days=364)
     return out
 
 
@@ -50,3 +52,13 @@ def corpus(spark: SparkSession, seeds: int = 5, sessions: int = 252) -> DataFram
                 yield case(f, s, sessions)
 
     return grid.mapInPandas(make, "symbol string, ts timestamp, open double, high double, low double, close double, volume double")
+
+
+def variants(bars: DataFrame, how: tuple[str, ...]) -> DataFrame:
+    """Each case under each transform, as symbol/transform."""
+
+    def make(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values("ts").reset_index(drop=True)
+        return pd.concat([transformed(frame, h).assign(symbol=f"{frame['symbol'].iloc[0]}/{h}") for h in how], ignore_index=True)
+
+    return bars.groupBy("symbol").applyInPandas(make, bars.schema)

@@ -32,7 +32,7 @@ def duck():
     return con
 
 
-@pytest.mark.parametrize("name", [n for i, n in enumerate(sorted(__spark_entry__.oracle_sql())) if i % 4 == 0 and not n.startswith("op")])
+@pytest.mark.parametrize("name", [n for n in sorted(__spark_entry__.oracle_sql()) if not n.startswith("op")])
 def test_query_is_its_sql(spark, duck, name):
     got, want = __spark_entry__.queries()[name](spark, FOLDER).toPandas(), duck.sql(__spark_entry__.oracle_sql()[name]).df()
     assert sorted(got.columns) == sorted(want.columns) and rows(got) == rows(want)
