@@ -137,6 +137,14 @@ def valid_rows(bars: DataFrame) -> DataFrame:
     return bars.select("symbol", "ts", F.coalesce(good, F.lit(False)).alias("valid"))
 
 
+def flat_bar_features(bars: DataFrame) -> DataFrame:
+    """Range contraction and close location for instruments with bars that don't move: those have no location, and five of twenty do."""
+    c, spread = F.col, F.col("high") - F.col("low")
+    rows = bars.withColumns({"rng": spread / c("close"), "loc": F.when(spread > 0, (c("close") - c("low")) / spread)})
+    full = lambda x, n, least: F.when(F.count(x).over(last(n)) >= least, F.avg(x).over(last(n)))
+    return rows.select("symbol", "ts", "pos", F.try_divide(full("rng", 10, 10), F.nullif(full("rng", 63, 63), F.lit(0.0))).alias("range_contraction_10_63"), full("loc", 20, 5).alias("close_location_20"))
+
+
 # --- dense channels of episodes -------------------------------------------------------------------------------------
 
 CHANNELS = (

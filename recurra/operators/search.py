@@ -290,6 +290,34 @@ def random_neighbours(queries: DataFrame, episodes: DataFrame, seed: str, k: int
     return one.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("hs", "symbol"))).where(F.col("rank") <= k).select("query_id", "rank", "episode_id", "symbol")
 
 
+def null_selections(windows: DataFrame, replicates: int, seed: str, k: int, per_symbol: int, lookback: int) -> DataFrame:
+    """For each replicate the diversified selection of windows in the order of a hash: what distances without information select."""
+    each = windows.withColumn("query_id", F.explode(F.transform(F.sequence(F.lit(0), F.lit(replicates - 1)), lambda r: r.cast("string"))))
+    draw = F.conv(F.substring(F.sha2(F.concat_ws("|", F.lit(seed), "query_id", "episode_id"), 256), 1, 12), 16, 10).cast("double") / float(1 << 48)
+    return greedy_by_query(each.withColumn("distance", draw), k, per_symbol, lookback).withColumnRenamed("query_id", "replicate")
+
+
+#: Values in each part of a representation.
+LENGTHS = {p: 128 if p == "coarse" else 4 * K.STAGES if p == "stage" else 3 * len(K.THRESHOLDS) if p == "structural" else int(p[1:3]) for p in PARTS}
+
+
+def flattened(store: DataFrame) -> DataFrame:
+    """episode_id, vector (all parts one after another, zeros for what is missing) and present (for each part, whether it is known)."""
+    known = lambda p: ~F.isnan(F.get(p, F.lit(0)))
+    vector = F.flatten(F.array(*[F.transform(p, lambda x: F.nanvl(x, F.lit(0.0))) for p in PARTS]))
+    return store.select("episode_id", vector.alias("vector"), F.array(*[known(p) for p in PARTS]).alias("present"))
+
+
+def unflattened(flat: DataFrame) -> DataFrame:
+    """episode_id and the parts, NaN throughout for those that are not present."""
+    at, parts = 1, []
+    for i, p in enumerate(PARTS):
+        part = F.slice("vector", at, LENGTHS[p])
+        parts.append(F.when(F.col("present")[i], part).otherwise(F.transform(part, lambda _: F.lit(float("nan")))).alias(p))
+        at += LENGTHS[p]
+    return flat.select("episode_id", *parts)
+
+
 def rank_neighbours(pairs: DataFrame, features: list[str], k: int) -> DataFrame:
     """For each query: windows by the sum over features of |their rank - the query's| / n, one for each symbol.
 

@@ -28,7 +28,7 @@ def read(spark: SparkSession, spec: DatasetSpec) -> DataFrame:
     reader = spark.read.option("header", True) if spec.format == "csv" else spark.read
     frame = reader.format(spec.format).load(spec.path)
     if spec.layout == "directory":
-        stem = F.regexp_extract(F.col("_metadata.file_name"), r"^(.*)\.[^.]+$", 1)
+        stem = F.url_decode(F.replace(F.regexp_extract(F.col("_metadata.file_name"), r"^(.*)\.[^.]+$", 1), F.lit("+"), F.lit("%2B")))  # the name comes as in a URL
         frame = frame.withColumn("symbol", stem)
         if spec.benchmark:
             frame = frame.where(F.col("symbol") != spec.benchmark)

@@ -268,6 +268,53 @@ def test_state_distance_by_hand(spark):
     store.unpersist()
 
 
+def test_null_selections_by_hand(spark):
+    import hashlib
+
+    windows = [(f"s{i % 4}", i // 4 * 30, f"s{i % 4}@{i // 4 * 30}") for i in range(40)]
+    frame = spark.createDataFrame(windows, "symbol string, pos int, episode_id string").withColumn("cutoff", F.lit("2020-01-01").cast("timestamp"))
+    got = {(r["replicate"], r["rank"]): r["episode_id"] for r in S.null_selections(frame, 3, "x", 8, 3, 63).collect()}
+    for replicate in "012":
+        draw = lambda e: int(hashlib.sha256(f"x|{replicate}|{e}".encode()).hexdigest()[:12], 16)  # noqa: E731,B023
+        chosen: list = []
+        for symbol, pos, episode in sorted(windows, key=lambda w: draw(w[2])):
+            if len(chosen) < 8 and sum(c[0] == symbol for c in chosen) < 3 and all(c[0] != symbol or abs(c[1] - pos) >= 63 for c in chosen):
+                chosen.append((symbol, pos, episode))
+        assert [got[replicate, i + 1] for i in range(len(chosen))] == [c[2] for c in chosen]
+
+
+def test_flat_vectors_go_back(bars, market):
+    store = S.representations(positions(X.benchmark_on(bars, market)), S.Request("vee-0", lookback=63, stride=100))
+    store = store.withColumn("s48_relative_path", F.transform("s48_relative_path", lambda _: F.lit(float("nan"))))
+    flat = S.flattened(store)
+    assert {len(r["vector"]) for r in flat.collect()} == {1353}
+    one, two = (x.select("episode_id", *S.PARTS).toPandas().set_index("episode_id").sort_index() for x in (store, S.unflattened(flat)))
+    for p in S.PARTS:
+        np.testing.assert_array_equal(np.stack(one[p].to_numpy()), np.stack(two[p].to_numpy()))
+
+
+def test_directory_and_long_layouts_agree(spark, tmp_path):
+    from recurra.sources import stores
+    from recurra.sources.bars import DatasetSpec, read
+
+    rows = [(s, f"2020-01-{d:02d}", 1.0 + d, 2.0 + d, 0.5, 1.5 + d, 9.0) for s in ("A#1", "B C", "D%2B+") for d in range(1, 5)]
+    frame = spark.createDataFrame(rows, "symbol string, date string, open double, high double, low double, close double, volume double")
+    frame.write.parquet(f"{tmp_path}/long")
+    stores.write_directory(frame, f"{tmp_path}/dir", "symbol")
+    long, own = (sorted(map(tuple, read(spark, DatasetSpec("x", f"{tmp_path}/{k}", layout)).select("symbol", "ts", "close").collect())) for k, layout in (("long", "long_table"), ("dir", "directory")))
+    assert long == own and len({r[0] for r in own}) == 3
+    assert {r["symbol"] for r in read(spark, DatasetSpec("x", f"{tmp_path}/dir", "directory", benchmark="B C")).collect()} == {"A#1", "D%2B+"}
+
+
+def test_generations_switch_whole(spark, tmp_path):
+    from recurra.sources import stores
+
+    root = f"{tmp_path}/gen"
+    for n in (3, 5):
+        stores.write_generation(spark.range(n).withColumnRenamed("id", "k"), root, "k")
+        assert stores.read_active(spark, root).count() == n
+
+
 def test_ranks_over_ranges(spark):
     """The order over several ranges is the order of one, with ties and running sums."""
     random = np.random.default_rng(1)
