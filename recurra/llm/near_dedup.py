@@ -5,7 +5,8 @@
    as soon as no bin can fall any more (every bin is below j), which for long texts is after the first.
 2. Rows with equal sets are one class member, so copies are never expanded.
 3. Signatures are cut into BANDS bands of ROWS values. Two sets with similarity 0.75 share no band with probability
-   (1 - 0.75**4)**32 < 6e-6. Each member of a bucket is verified against the bucket's first member only.
+   (1 - 0.75**4)**32 < 6e-6. Each member of a bucket is verified against the bucket's
+   pivot only: the member that meets the most others in all its buckets, then the first.
 4. Verified pairs are joined to components. Where a pivot's buckets hold members of several components, the members
    outside the pivot's component are held against all members of its buckets, in blocks of MANY_X by MANY_Y texts: an
    inverted index of a block's shingles gives the exact similarity of each pair, and only links between different
@@ -39,7 +40,7 @@ LAST = (1 << 63) - 1
 #: A link: OVER * |intersection| >= UNDER * |union|.
 OVER, UNDER = 100, 75
 #: Texts in a block of members outside their pivot's component, and of members they are held against.
-MANY_X, MANY_Y = 96, 384
+MANY_X, MANY_Y = 256, 1024
 #: Bytes of pairs of texts whose words are compared together.
 PAIR_BYTES = 1 << 20
 #: Elements of several texts sketched together.
@@ -231,13 +232,17 @@ def _decided(docs: DataFrame) -> DataFrame:
     sets = marks.where("n_shingles > 0").groupBy("k1", "k2").agg(F.min("row").alias("a"), F.first("bands").alias("bands"), F.min("doc_id").alias("name"), F.min(order).alias("first"))
     sets = written(sets, "near-sets")
     members = sets.select("a", F.posexplode("bands").alias("band", "bucket"))
-    pivots = members.groupBy("band", "bucket").agg(F.min("a").alias("p"), F.count("*").alias("size")).where("size > 1").drop("size")
-    groups = written(members.join(pivots, ["band", "bucket"]).select("p", "a").where("a != p").distinct(), "near-groups")
+    sizes = members.groupBy("band", "bucket").agg(F.count("*").alias("size")).where("size > 1")
+    shared = written(members.join(sizes, ["band", "bucket"]), "near-shared")
+    # a text that its copies are edits of meets more of them in buckets than they meet each other: it makes the better pivot
+    met = shared.groupBy("a").agg(F.sum("size").alias("met"))
+    pivots = shared.join(met, "a").groupBy("band", "bucket").agg(F.max(F.struct("met", (-F.col("a")).alias("a"))).alias("best")).select("band", "bucket", (-F.col("best.a")).alias("p"))
+    groups = written(shared.join(pivots, ["band", "bucket"]).select("p", "a").where("a != p").distinct(), "near-groups")
     texts = texts_of(docs, written(groups.select("a").union(groups.select("p")).distinct().withColumnRenamed("a", "row"), "near-wanted"))
     stars = confirmed(groups.select(F.col("p").alias("a"), F.col("a").alias("b")), texts)
     label = components(written(stars.where("link").select("a", "b"), "near-stars"))
     more = written(bridges(groups, label, texts), "near-bridges")
-    forget(groups, texts)
+    forget(shared, groups, texts)
     if not more.isEmpty():
         over = components(more).select(F.col("node").alias("component"), F.col("component").alias("top"))
         ends = more.select(F.col("a").alias("node")).union(more.select("b")).distinct()
