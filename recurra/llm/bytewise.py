@@ -11,6 +11,8 @@ import xxhash
 U = np.uint64
 MASK = (1 << 64) - 1
 STEP = 0x9E3779B97F4A7C15
+#: Bytes of whole texts that are taken together; arrays over them take some 40 times that.
+TOGETHER = 2 << 20
 #: Words of more bytes are hashed and compared one by one.
 LONG = 64
 #: KEEP[n]: the low n bytes of a number.
@@ -31,7 +33,7 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U(31))
 
 
-def batches(column: pa.Array, most: int = 8 << 20) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+def batches(column: pa.Array, most: int = TOGETHER) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(first row, bytes, offsets) of runs of rows of about `most` bytes; a null is an empty text."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
@@ -127,7 +129,7 @@ def runs(hashes: np.ndarray, k: int) -> np.ndarray:
     return mix(total)
 
 
-def texts_bounds(column: pa.Array, word: np.ndarray = NOT_SPACE, lower: bool = True, most: int | None = 8 << 20) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+def texts_bounds(column: pa.Array, word: np.ndarray = NOT_SPACE, lower: bool = True, most: int | None = TOGETHER) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
     """(first row, bytes, starts, stops, index of each row's first word and the end) for runs of rows, or all of them."""
     for first, data, ends in batches(column, 1 << 62 if most is None else most):
         data = LOWER[data] if lower else data

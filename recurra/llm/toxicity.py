@@ -144,7 +144,7 @@ class Automaton:
             return np.zeros(0, np.int64), np.zeros(0, np.int64)
         known = np.array([*self.letters, 1 << 32], np.uint64)
         kind = np.arange(HIGH + 1)
-        kind = np.where(known[np.searchsorted(known, kind)] == kind, np.searchsorted(known, kind), len(self.letters))[np.minimum(points, HIGH)]
+        kind = np.where(known[np.searchsorted(known, kind)] == kind, np.searchsorted(known, kind), len(self.letters)).astype(np.int32)[np.minimum(points, HIGH)]
         if (high := np.flatnonzero(points >= HIGH)).size:
             place = np.searchsorted(known, points[high])
             kind[high] = np.where(known[place] == points[high], place, len(self.letters))
