@@ -243,11 +243,10 @@ def _prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     Of k equal words in one text the first counts 1, as do each two, four, eight more: lines may be repeated without end.
     """
     for batch in batches:
-        counts = [Counter() for _ in range(4)]
         toxic = batch.column("toxic").to_pylist()
-        total = [0, 0]
         at = 0
         for _, folded, starts, stops, rows, _ in _words(batch.column("text")):
+            counts, total, first = [Counter() for _ in range(4)], [0, 0], at
             text = folded.tobytes().decode("utf-32-le", "replace")
             for r in range(len(rows) - 1):
                 words = Counter(text[starts[w] : stops[w]] for w in range(rows[r], rows[r + 1]))
@@ -262,9 +261,9 @@ def _prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     counts[2].update(words)
                     counts[3].update(nodes.keys())
                 at += 1
-        counts[0][""], counts[1][""], counts[3][""] = total[1], total[0], sum(map(bool, toxic))
-        keys = list(counts[0].keys() | counts[1].keys())
-        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), *[pa.array([c[k] for k in keys], pa.int64()) for c in counts]], ["prefix", "toxic", "other", "whole", "texts"])
+            counts[0][""], counts[1][""], counts[3][""] = total[1], total[0], sum(map(bool, toxic[first:at]))
+            keys = list(counts[0].keys() | counts[1].keys())
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), *[pa.array([c[k] for k in keys], pa.int64()) for c in counts]], ["prefix", "toxic", "other", "whole", "texts"])
 
 
 def lexicon(rows: list[tuple[str, int, int, int]], toxic: int, other: int, price: float) -> list[tuple[str, bool]]:
