@@ -218,7 +218,7 @@ def predictions_meet_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stream.drained(out, "append").withColumns({"predicted_value": F.round("predicted_value", 4), "value": F.round("value", 4)})
 
 
-@query("str_4_incremental_returns", "SELECT symbol, ts, round(close / lag(close) OVER w - 1, 6) + 0.0::DOUBLE AS ret, round((SELECT count(*) FROM bars AS b WHERE b.symbol = a.symbol AND b.ts <= a.ts AND b.close <= a.close AND b.ts > a.ts - INTERVAL 1764 DAY) / least(252, row_number() OVER w), 6) AS place FROM bars AS a WINDOW w AS (PARTITION BY symbol ORDER BY ts) QUALIFY row_number() OVER w <= 200", bars="brand_week")
+@query("str_4_incremental_returns", "SELECT symbol, ts, round(close / lag(close) OVER w - 1, 6) + 0.0::DOUBLE AS ret, round((SELECT count(*) FROM bars AS b WHERE b.symbol = a.symbol AND b.ts <= a.ts AND b.close <= a.close) / least(252, row_number() OVER w), 6) AS place FROM bars AS a WINDOW w AS (PARTITION BY symbol ORDER BY ts) QUALIFY row_number() OVER w <= 200", bars="brand_week")
 def incremental(spark: SparkSession, sf_dir: str, bars: DataFrame) -> DataFrame:
     """The first 200 bars of each symbol as a stream: the state is the last 252 closes."""
     at = stream.folder_of(spark, "bar-stream")
