@@ -153,13 +153,20 @@ def _inverse_erf(y: float) -> float:
 # --- on series of a few hundred months: the driver's NumPy ---------------------------------------------------------------
 
 
-def block_bootstrap(values: np.ndarray, block: int, draws: int = 2000, seed: int = 7) -> dict[str, float]:
-    """Moving blocks: mean, its 95 % interval, and the shares of centred means at or beyond it either way (plus one)."""
+def moving_block_means(values: np.ndarray, block: int, draws: int, seed: int) -> np.ndarray:
+    """Means of so many draws of whole blocks, cut to the series' length."""
     x, n = np.asarray(values, float), len(values)
     starts = np.random.default_rng(seed).integers(0, max(1, n - block + 1), (draws, -(-n // block)))
-    means = x[np.minimum((starts[:, :, None] + np.arange(block)).reshape(draws, -1)[:, :n], n - 1)].mean(axis=1)
-    centred = means - means.mean()
-    return {"mean": float(x.mean()), "low": float(np.quantile(means, 0.025)), "high": float(np.quantile(means, 0.975)), "lower_p": (1 + int((centred <= x.mean()).sum())) / (draws + 1), "upper_p": (1 + int((centred >= x.mean()).sum())) / (draws + 1)}
+    return x[np.minimum((starts[:, :, None] + np.arange(block)).reshape(draws, -1)[:, :n], n - 1)].mean(axis=1)
+
+
+def block_bootstrap(values: np.ndarray, block: int, draws: int = 2000, seed: int = 7, comparisons: int = 2) -> dict[str, float]:
+    """Moving blocks: mean, its 95 % interval, the simultaneous upper bound of so many comparisons, and the shares of draws,
+    centred on the mean, at or beyond it either way (plus one)."""
+    mean, means = float(np.mean(values)), moving_block_means(values, block, draws, seed)
+    low, high, upper = np.quantile(means, [0.025, 0.975, 1 - 0.05 / comparisons])
+    centred = means - mean
+    return {"mean": mean, "low": float(low), "high": float(high), "upper": float(upper), "lower_p": (1 + int((centred <= mean).sum())) / (draws + 1), "upper_p": (1 + int((centred >= mean).sum())) / (draws + 1)}
 
 
 def chi2_sf(x: float, df: int) -> float:

@@ -318,6 +318,16 @@ def unflattened(flat: DataFrame) -> DataFrame:
     return flat.select("episode_id", *parts)
 
 
+def halved(store: DataFrame) -> DataFrame:
+    """The store with every part rounded to 16-bit floats."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            yield frame.assign(**{p: [np.asarray(x, np.float16).astype(float) for x in frame[p]] for p in PARTS})
+
+    return store.mapInPandas(run, store.schema)
+
+
 def rank_neighbours(pairs: DataFrame, features: list[str], k: int) -> DataFrame:
     """For each query: windows by the sum over features of |their rank - the query's| / n, one for each symbol.
 

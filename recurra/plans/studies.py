@@ -125,7 +125,7 @@ def support(spark: SparkSession, sf_dir: str, bars: DataFrame) -> DataFrame:
 @query("sco_7_8_block_bootstrap", **PAIR)
 def bootstrap(spark: SparkSession, sf_dir: str, bars: DataFrame, bench: DataFrame) -> DataFrame:
     months = scoring.month_means(_scored(spark, sf_dir, bars, bench), "brier", "reference").orderBy("month").select("difference").toPandas()["difference"]
-    return spark.createDataFrame([scoring.block_bootstrap(months.to_numpy(), 3)], "mean double, low double, high double, lower_p double, upper_p double")
+    return spark.createDataFrame([scoring.block_bootstrap(months.to_numpy(), 3)], "mean double, low double, high double, upper double, lower_p double, upper_p double")
 
 
 @query("sco_11_coverage_tests", **PAIR)
