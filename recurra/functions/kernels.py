@@ -233,22 +233,28 @@ def lb_keogh(x: np.ndarray, y: np.ndarray, band: int) -> np.ndarray:
     return np.maximum(one_way(x, y), one_way(y, x))
 
 
-def components(rows: dict[str, np.ndarray], query: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
-    """All parts of the composite but the elastic one; price is the rigid part."""
-    x, y = rows["coarse"].astype(float), query["coarse"].astype(float)
-    scale = np.maximum(np.concatenate([x, np.broadcast_to(y, x.shape)], axis=1).std(axis=1), 1e-6)
-    rms = lambda k: np.sqrt(((rows[k] - query[k]) ** 2).mean(axis=1))
-    out = {"coarse": np.sqrt((((x - y) / scale[:, None]) ** 2).mean(axis=1)), "stage": rms("stage"), "structural": rms("structural")}
-    return out | {g: group_distance(rows, query, names) for g, names in GROUPS.items()}
+def components(rows: dict[str, np.ndarray], query: dict[str, np.ndarray], names: tuple[str, ...] = tuple(WEIGHTS)) -> dict[str, np.ndarray]:
+    """The named parts of the composite but the elastic one; price is the rigid part."""
+    out = {}
+    for name in names:
+        if name == "coarse":
+            x, y = rows["coarse"].astype(float), query["coarse"].astype(float)
+            scale = np.maximum(np.concatenate([x, np.broadcast_to(y, x.shape)], axis=1).std(axis=1), 1e-6)
+            out[name] = np.sqrt((((x - y) / scale[:, None]) ** 2).mean(axis=1))
+        elif name in GROUPS:
+            out[name] = group_distance(rows, query, GROUPS[name])
+        else:
+            out[name] = np.sqrt(((rows[name] - query[name]) ** 2).mean(axis=1))
+    return out
 
 
-def lower_bound(parts: dict[str, np.ndarray]) -> np.ndarray:
+def lower_bound(parts: dict[str, np.ndarray], weights: dict[str, float] = WEIGHTS) -> np.ndarray:
     """The composite with nothing for the elastic part."""
-    return sum(w * (parts[k] * RIGID if k == "price" else parts[k]) for k, w in WEIGHTS.items())
+    return sum(w * (parts[k] * RIGID if k == "price" else parts[k]) for k, w in weights.items())
 
 
-def composite(parts: dict[str, np.ndarray], elastic_part: np.ndarray) -> np.ndarray:
-    return lower_bound(parts) + WEIGHTS["price"] * (1 - RIGID) * elastic_part
+def composite(parts: dict[str, np.ndarray], elastic_part: np.ndarray, weights: dict[str, float] = WEIGHTS) -> np.ndarray:
+    return lower_bound(parts, weights) + weights["price"] * (1 - RIGID) * elastic_part
 
 
 # --- cheap views of windows ------------------------------------------------------------------------------------------

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from recurra.functions import kernels as K
+from recurra.functions import signature
 
 BARS = ("open", "high", "low", "close", "volume", "bench_close")
 
@@ -166,8 +167,18 @@ def representations(bars: DataFrame, request: Request) -> DataFrame:
     return out.withColumn("episode_id", F.substring(F.sha2(F.concat_ws("|", "symbol", F.date_format("cutoff", "yyyy-MM-dd'T'HH:mm:ss"), F.lit(str(request.lookback))), 256), 1, 24))
 
 
-def _matrix(frame: pd.DataFrame) -> dict[str, np.ndarray]:
-    return {p: np.stack(frame[p].to_numpy()).astype(float) for p in PARTS}
+#: The price component alone, for searches of one component.
+PRICE = {"price": 1.0}
+
+
+def parts_of(weights: dict[str, float]) -> tuple[str, ...]:
+    """The arrays that a distance of these weights needs."""
+    own = {f"s48_{k}" for g in weights if g in K.GROUPS for k in K.GROUPS[g]} | {f"s64_{k}" for k in K.ELASTIC} | set(weights)
+    return tuple(p for p in PARTS if p in own)
+
+
+def _matrix(frame: pd.DataFrame, parts: tuple[str, ...] = PARTS) -> dict[str, np.ndarray]:
+    return {p: np.stack(frame[p].to_numpy()).astype(float) for p in parts}
 
 
 def query_representation(bars: DataFrame, request: Request) -> dict[str, np.ndarray]:
@@ -179,26 +190,27 @@ def query_representation(bars: DataFrame, request: Request) -> dict[str, np.ndar
 NAMES = ("coarse", "stage", "structural", *K.GROUPS)
 
 
-def _measured(rows: dict[str, np.ndarray], query: dict[str, np.ndarray], exact: bool) -> tuple[dict[str, np.ndarray], np.ndarray]:
-    """The parts of the composite, and its lower bound or, if exact, the composite."""
-    parts = K.components(rows, query)
+def _measured(rows: dict[str, np.ndarray], query: dict[str, np.ndarray], exact: bool, weights: dict[str, float] = K.WEIGHTS) -> tuple[dict[str, np.ndarray], np.ndarray]:
+    """The parts of the distance, and its lower bound or, if exact, the distance."""
+    parts = K.components(rows, query, tuple(weights))
     if not exact:
-        return parts, K.lower_bound(parts)
+        return parts, K.lower_bound(parts, weights)
     parts["price"] = K.RIGID * parts["price"] + (1 - K.RIGID) * K.warped(rows, query)
-    return parts, sum(w * parts[k] for k, w in K.WEIGHTS.items())
+    return parts, sum(w * parts[k] for k, w in weights.items())
 
 
-def scored(store: DataFrame, query: dict[str, np.ndarray], exact: bool) -> DataFrame:
+def scored(store: DataFrame, query: dict[str, np.ndarray], exact: bool, weights: dict[str, float] = K.WEIGHTS) -> DataFrame:
     """episode_id, symbol, cutoff, pos, the parts of the distance, and its lower bound or, if exact, the distance."""
+    names, needed = [n for n in NAMES if n in weights], parts_of(weights)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             if len(frame):
-                parts, distance = _measured(_matrix(frame), query, exact)
-                yield frame[["episode_id", "symbol", "cutoff", "pos"]].assign(**{f"d_{n}": parts[n] for n in NAMES}, distance=distance)
+                parts, distance = _measured(_matrix(frame, needed), query, exact, weights)
+                yield frame[["episode_id", "symbol", "cutoff", "pos"]].assign(**{f"d_{n}": parts[n] for n in names}, distance=distance)
 
-    schema = "episode_id string, symbol string, cutoff timestamp, pos int, " + ", ".join(f"d_{n} double" for n in NAMES) + ", distance double"
-    return store.select("episode_id", "symbol", "cutoff", "pos", *PARTS).mapInPandas(run, schema)
+    schema = "episode_id string, symbol string, cutoff timestamp, pos int, " + ", ".join(f"d_{n} double" for n in names) + ", distance double"
+    return store.select("episode_id", "symbol", "cutoff", "pos", *needed).mapInPandas(run, schema)
 
 
 def scored_many(store: DataFrame, queries: dict[str, dict[str, np.ndarray]], exact: bool = True) -> DataFrame:
@@ -214,28 +226,29 @@ def scored_many(store: DataFrame, queries: dict[str, dict[str, np.ndarray]], exa
     return store.select("episode_id", "symbol", "pos", *PARTS).mapInPandas(run, "query_id string, episode_id string, symbol string, pos int, distance double")
 
 
-def between(store: DataFrame, query: dict[str, np.ndarray], low: float, high: float) -> DataFrame:
+def between(store: DataFrame, query: dict[str, np.ndarray], low: float, high: float, weights: dict[str, float] = K.WEIGHTS) -> DataFrame:
     """episode_id, symbol, cutoff, pos, bound, distance: the distance of windows with low < bound <= high, null for others.
 
     The bound is the rigid one; where that is at most `high`, the envelope of the elastic channels raises it first, and
     only what is still at most `high` is warped.
     """
+    needed = parts_of(weights)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             if len(frame):
-                rows = _matrix(frame)
-                parts = K.components(rows, query)
-                bound, distance = K.lower_bound(parts), np.full(len(frame), np.nan)
+                rows = _matrix(frame, needed)
+                parts = K.components(rows, query, tuple(weights))
+                bound, distance = K.lower_bound(parts, weights), np.full(len(frame), np.nan)
                 some = lambda at: {p: x[at] for p, x in rows.items()}
                 if len(at := np.flatnonzero(bound <= high)):
-                    tighter = K.composite({k: x[at] for k, x in parts.items()}, K.warped(some(at), query, K.lb_keogh)) - 1e-9
+                    tighter = K.composite({k: x[at] for k, x in parts.items()}, K.warped(some(at), query, K.lb_keogh), weights) - 1e-9
                     bound[at] = np.maximum(bound[at], tighter)
                 if len(at := np.flatnonzero((bound > low) & (bound <= high))):
-                    distance[at] = K.composite({k: x[at] for k, x in parts.items()}, K.warped(some(at), query))
+                    distance[at] = K.composite({k: x[at] for k, x in parts.items()}, K.warped(some(at), query), weights)
                 yield frame[["episode_id", "symbol", "cutoff", "pos"]].assign(bound=bound, distance=distance)
 
-    out = store.select("episode_id", "symbol", "cutoff", "pos", *PARTS).mapInPandas(run, "episode_id string, symbol string, cutoff timestamp, pos int, bound double, distance double")
+    out = store.select("episode_id", "symbol", "cutoff", "pos", *needed).mapInPandas(run, "episode_id string, symbol string, cutoff timestamp, pos int, bound double, distance double")
     return out.withColumn("distance", F.nanvl("distance", F.lit(None).cast("double")))
 
 
@@ -250,20 +263,20 @@ class Certificate:
     complete: bool
 
 
-def exact_search(store: DataFrame, query: dict[str, np.ndarray], request: Request, eligible: Column, seed: int = 256) -> tuple[list[tuple], Certificate]:
-    """The diversified top k by exact composite distance, measuring only windows whose lower bound could matter.
+def exact_search(store: DataFrame, query: dict[str, np.ndarray], request: Request, eligible: Column, seed: int = 256, weights: dict[str, float] = K.WEIGHTS) -> tuple[list[tuple], Certificate]:
+    """The diversified top k by exact distance (the composite, or the price component alone), measuring only windows whose lower bound could matter.
 
     The windows up to the seed-th least bound are measured; the distance of the last of the k selected among them is the
     next limit, until no unmeasured window's bound is at or under it. Bounds and distances stay on the executors: a limit,
     two counts and the k selected rows are all that the driver sees, and each round is one pass over the store.
     """
     pool = store.where(eligible)
-    least = scored(pool, query, exact=False).select(F.col("distance").alias("bound"))
+    least = scored(pool, query, False, weights).select(F.col("distance").alias("bound"))
     low, high, n, parts = -np.inf, least.orderBy("bound").limit(seed).agg(F.max("bound")).first()[0], seed, []
     if high is None:
         return [], Certificate(0, 0, np.inf, np.inf, True)
     while True:
-        part = between(pool, query, low, high).persist()
+        part = between(pool, query, low, high, weights).persist()
         stats = part.agg(F.count("*").alias("n"), F.min(F.when(F.col("bound") > high, F.col("bound"))).alias("next")).first()
         parts.append(part.where("distance is not null"))
         rows = reduce(DataFrame.unionByName, parts).withColumn("query_id", F.lit("query"))
@@ -279,6 +292,45 @@ def exact_search(store: DataFrame, query: dict[str, np.ndarray], request: Reques
         low, high = high, threshold if np.isfinite(threshold) else max(following, least.orderBy("bound").limit(n).agg(F.max("bound")).first()[0])
 
 
+# --- persisted signatures ----------------------------------------------------------------------------------------------
+
+
+def signatures(bars: DataFrame, request: Request) -> DataFrame:
+    """lookback, symbol, cutoff, pos, episode_id and the signature of each window at the stride: what a store of views keeps."""
+
+    def one(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values("ts", kind="stable").reset_index(drop=True)
+        ends, blocks = np.arange(request.lookback - 1, len(frame), request.stride), []
+        for i in range(0, len(ends), 2048):
+            blocks.extend(signature.signed(_arrays(frame, ends[i : i + 2048], request.lookback)).astype(np.float32))
+        return pd.DataFrame({"lookback": request.lookback, "symbol": frame["symbol"].iloc[0], "cutoff": frame["ts"].to_numpy()[ends], "pos": frame["pos"].to_numpy()[ends], "signature": blocks})
+
+    out = bars.select("symbol", "ts", "pos", *BARS).groupBy("symbol").applyInPandas(one, "lookback int, symbol string, cutoff timestamp, pos int, signature array<float>")
+    return out.withColumn("episode_id", F.concat_ws("@", "symbol", F.col("pos").cast("string")))
+
+
+def query_signature(bars: DataFrame, request: Request) -> np.ndarray:
+    return signature.signed(_arrays(query_window(bars, request), np.array([request.lookback - 1]), request.lookback)).astype(np.float32)[0]
+
+
+def signature_scan(store: DataFrame, asked: np.ndarray) -> DataFrame:
+    """The seven view distances of every stored signature to one: arrays in batches, no bars are read."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            if len(frame):
+                d = signature.distances(np.stack(frame["signature"].to_numpy()), asked)
+                yield frame[["episode_id", "symbol", "cutoff", "pos"]].assign(**{v: d[v] for v in K.VIEWS})
+
+    return store.select("episode_id", "symbol", "cutoff", "pos", "signature").mapInPandas(run, "episode_id string, symbol string, cutoff timestamp, pos int, " + ", ".join(f"{v} double" for v in K.VIEWS))
+
+
+def store_search(store: DataFrame, asked: np.ndarray, request: Request, eligible: Column, size: int) -> DataFrame:
+    """Shards of the lookback, each symbol's nearest in any view, and their fusion."""
+    near = signature_scan(store.where(F.col("lookback") == request.lookback).where(eligible), asked)
+    return fused(union_of_views(near, K.VIEWS, request.local), K.VIEWS, size)
+
+
 # --- baselines and lists ----------------------------------------------------------------------------------------------
 
 

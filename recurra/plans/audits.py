@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from recurra.functions.rolling import by
-from recurra.operators import audits, quality, scoring
+from recurra.operators import audits, comparison, quality, scoring
 from recurra.operators import search as S
 from recurra.plans.diagnostics import SEGMENT_SQL, _folded, _pairs
 from recurra.plans.features import W, rnd, rounded
@@ -17,7 +17,8 @@ from recurra.plans.registry import query
 from recurra.plans.search import QUERY_SQL, RANK_SQL, VIEW_SQL, VIEWS, _queries, _store, _views, rank_neighbours
 from recurra.plans.studies import PATHS_SQL, _future
 from recurra.sources import bars as B
-from recurra.sources import stores
+from recurra.sources import stores, synthetic
+from recurra.sources.bars import positions
 from recurra.streaming.bars import folder_of
 
 
@@ -283,3 +284,41 @@ def labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
     start = F.concat_ws(",", F.date_format("o_orderdate", "yyyy-MM-dd"), F.lit("x"), symbol, "o_orderstatus", name, F.lit('"a, b"'), *[F.lit(str(i)) for i in range(6, 15)], F.lit(" note "))
     lines = orders.select(F.when(F.col("o_orderkey") % 7 == 0, start).otherwise(F.concat(start, F.lit(","))).alias("value"))
     return audits.examples(lines)
+
+
+@query(
+    "dst_24_chart_distances",
+    FEATS_SQL + """, lq AS (SELECT symbol, ret_20, ret_63, vol_20 FROM b QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY ts DESC) = 1), va AS (SELECT symbol || '@' || strftime(ts, '%Y-%m-%d') AS episode_id, f, v FROM b UNPIVOT (v FOR f IN (ret_20, ret_63, vol_20))), qv AS (SELECT symbol, f, v FROM lq UNPIVOT (v FOR f IN (ret_20, ret_63, vol_20))),
+    pl AS (SELECT f, v, CASE WHEN any_value(lo) = any_value(hi) THEN sign(v - any_value(lo)) ELSE greatest(-1, least(1, (2 * count(*) FILTER (q < v) + count(*) FILTER (q = v) - count(*)) / (count(*) - 1)::DOUBLE)) END AS z
+        FROM (SELECT DISTINCT f, v FROM va) JOIN (SELECT f, v AS q, min(v) OVER (PARTITION BY f) AS lo, max(v) OVER (PARTITION BY f) AS hi FROM qv) USING (f) GROUP BY f, v)
+    SELECT qv.symbol AS query_id, va.episode_id, round(sqrt(avg((a.z - b.z) * (a.z - b.z))), 6) AS distance FROM qv JOIN pl AS a ON a.f = qv.f AND a.v = qv.v JOIN va ON va.f = qv.f JOIN pl AS b ON b.f = va.f AND b.v = va.v GROUP BY ALL""",
+    bars="brand_week",
+)
+def charts(spark: SparkSession, sf_dir: str, bars: DataFrame) -> DataFrame:
+    """Each symbol's last row against all rows."""
+    names = ["ret_20", "ret_63", "vol_20"]
+    f = _feats(bars)
+    last = f.groupBy("symbol").agg(F.max_by(F.struct(*names), "ts").alias("x")).select("symbol", "x.*").orderBy("symbol").toPandas()  # a row for each symbol
+    rows = f.withColumn("episode_id", F.concat_ws("@", "symbol", F.date_format("ts", "yyyy-MM-dd")))
+    return rounded(comparison.chart_distances(rows, "episode_id", names, last["symbol"].tolist(), last[names].to_numpy(float)), "query_id", "episode_id")
+
+
+@query("syn_3_latent_corpus")
+def latent_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return synthetic.latent_corpus(spark)
+
+
+@query("syn_5_method_comparison")
+def methods(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Half the cases in other units ask for themselves, their family and not their reverse, by each distance."""
+    seeds = 5
+    base = synthetic.corpus(spark, seeds)
+    bars = base.unionByName(synthetic.variants(base, ("unit", "reverse")))
+    store = S.representations(positions(bars).withColumn("bench_close", F.lit(None).cast("double")), S.Request("", lookback=252, stride=1))
+    names = sorted(f"{f}-{s}" for f in synthetic.FAMILIES for s in range(seeds))[::2]
+    asked = store.where(F.col("symbol").isin([f"{n}/unit" for n in names])).select("symbol", *S.PARTS).collect()  # the stated queries
+    queries = {r["symbol"].split("/")[0]: {p: np.array([r[p]], float) for p in S.PARTS} for r in asked}
+    d = comparison.by_method(store.where("symbol not like '%/unit'"), queries)
+    case, family = F.split_part("symbol", F.lit("/"), F.lit(1)), lambda c: F.regexp_replace(c, "-[0-9]+$", "")
+    d = d.select("method", "query_id", case.alias("case"), F.split_part("symbol", F.lit("/"), F.lit(2)).alias("kind"), "distance")
+    return comparison.method_metrics(d.withColumns({"own": F.col("case") == F.col("query_id"), "same": family("case") == family("query_id")}), seeds)

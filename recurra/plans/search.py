@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+import numpy as np
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from recurra.functions import features as X
@@ -11,6 +12,7 @@ from recurra.operators import search as S
 from recurra.plans.features import W, rnd, rounded
 from recurra.plans.outcomes import FEATS_SQL, _feats
 from recurra.plans.registry import query
+from recurra.sources import stores
 from recurra.sources.bars import positions
 from recurra.streaming.bars import folder_of
 
@@ -52,10 +54,26 @@ def views(spark: SparkSession, sf_dir: str, bars: DataFrame, bench: DataFrame) -
     return S.scan(_bars(bars, bench), REQUEST, K.VIEWS)
 
 
+def _view_store(spark: SparkSession, bars: DataFrame, bench: DataFrame, request: S.Request) -> tuple[DataFrame, np.ndarray, Column]:
+    """Signatures written in shards of a lookback, the query's own, and which windows it may be shown."""
+    rows, at = _bars(bars, bench), folder_of(spark, "signatures")
+    window = S.query_window(rows, request)
+    stores.write_partitions(S.signatures(rows, request), at, ["lookback"])
+    eligible = (F.col("cutoff") <= F.lit(window["ts"].iloc[-request.gap - 1])) & ((F.col("symbol") != request.symbol) | (F.col("pos") < int(window["pos"].iloc[0])))
+    return spark.read.parquet(at), S.query_signature(rows, request), eligible
+
+
+@query("dst_18_signature_views", **PAIR)
+def signature_views(spark: SparkSession, sf_dir: str, bars: DataFrame, bench: DataFrame) -> DataFrame:
+    store, asked, eligible = _view_store(spark, bars, bench, REQUEST)
+    return S.signature_scan(store.where(eligible), asked)
+
+
 @query("top_17_multiview_search", **PAIR)
 def multiview(spark: SparkSession, sf_dir: str, bars: DataFrame, bench: DataFrame) -> DataFrame:
-    rows = S.union_of_views(S.scan(_bars(bars, bench), REQUEST, K.VIEWS), K.VIEWS, REQUEST.local)
-    return S.fused(rows.withColumn("episode_id", F.concat_ws("@", "symbol", F.col("pos").cast("string"))), K.VIEWS, 175)
+    """Over the persisted signatures: bars are read for the query's own window only."""
+    store, asked, eligible = _view_store(spark, bars, bench, REQUEST)
+    return S.store_search(store, asked, REQUEST, eligible, 175)
 
 
 #: Three plain views for the SQL checks: distances of features to the query symbol's latest.
@@ -231,3 +249,15 @@ def certified(spark: SparkSession, sf_dir: str, bars: DataFrame, bench: DataFram
     chosen, proof = S.exact_search(spark.read.parquet(kept), q, REQUEST, eligible)
     rows = [(i + 1, r[1], r[2], r[3], float(r[0]), proof.candidates, proof.measured, proof.complete) for i, r in enumerate(chosen)]
     return spark.createDataFrame(rows, "rank int, episode_id string, symbol string, pos int, distance double, candidates long, measured long, complete boolean")
+
+
+@query("top_15_16_component_search", **PAIR)
+def component(spark: SparkSession, sf_dir: str, bars: DataFrame, bench: DataFrame) -> DataFrame:
+    """The nearest windows by the price component alone, one of each symbol, in stages: rigid bounds, envelopes, warping."""
+    request = S.Request("Brand#1", per_symbol=1)
+    _, store, q, eligible = _store(bars, bench, request)
+    kept = folder_of(spark, "component-store")
+    store.write.parquet(kept)
+    chosen, proof = S.exact_search(spark.read.parquet(kept), q, request, eligible, weights=S.PRICE)
+    rows = [(i + 1, r[1], r[2], r[3], float(r[0]), proof.candidates, proof.measured, proof.complete) for i, r in enumerate(chosen)]
+    return spark.createDataFrame(rows, "rank int, episode_id string, symbol string, pos int, distance double, candidates long, measured long, complete boolean")
